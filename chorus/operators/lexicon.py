@@ -97,29 +97,33 @@ def _with_valence(df: DataFrame, cap_diff: str = "_capdiff") -> DataFrame:
     return out
 
 
-def lexicon_scores(df: DataFrame, lexicon: DataFrame | None = None,
-                   text_col: str = "clean_comment", id_col: str = "comment_id",
-                   score_col: str = "lexicon_score", label_col: str = "lexicon_label",
-                   title_case: bool = False) -> DataFrame:
-    """Ops 13 + 14: add ``score_col`` (compound in [-1, 1], rounded to 4) and
-    ``label_col`` (>= 0.05 positive, <= -0.05 negative, else neutral)."""
+def lexicon_sums(df: DataFrame, lexicon: DataFrame | None = None,
+                 text_col: str = "clean_comment", id_col: str = "comment_id") -> DataFrame:
+    """Keyed partial result ``(<id_col>, _sum, _amp)`` for comments with at
+    least one lexicon hit.  A comment without a hit scores 0, so callers can
+    left-join this small table instead of re-shuffling the text."""
     spark = df.sparkSession
     lex = F.broadcast(lexicon_table(spark)) if lexicon is None else lexicon
     lex = lex.select(F.lower("token").alias("_lt"), F.col("valence").cast("double").alias("_val"))
 
-    toks = vader_tokens(F.col(text_col))
-    base = df.select(F.col(id_col).alias("_id"), toks.alias("_toks"))
+    text = F.col(text_col)
+    ep = F.least(count_char(text, "!"), F.lit(L.EXCLAMATION_MAX)) * L.EXCLAMATION_STEP
+    qm = count_char(text, "?")
+    qa = (F.when((qm > 1) & (qm <= 3), qm * L.QUESTION_STEP)
+          .when(qm > 3, F.lit(L.QUESTION_MAX_AMP)).otherwise(F.lit(0.0)))
+    base = df.select(F.col(id_col).alias("_id"), vader_tokens(text).alias("_toks"),
+                     (ep + qa).alias("_amp"))
     n_caps = F.size(F.filter("_toks", is_all_caps))
     # Per-comment flags first: the generate below then carries only scalars,
     # never the token array itself (copying it into every exploded row would
     # be quadratic in the length of the text).
     flags = base.select(
-        "_id", "_toks",
+        "_id", "_toks", "_amp",
         ((n_caps > 0) & (n_caps < F.size("_toks"))).alias("_capdiff"),
         (F.array_position(F.transform("_toks", F.lower), "but") - 1).alias("_but"),
     )
     ctx = flags.select(
-        "_id", "_capdiff", "_but",
+        "_id", "_amp", "_capdiff", "_but",
         F.inline(F.transform("_toks", lambda t, i: F.struct(
             i.alias("pos"), t.alias("tok"),
             F.get("_toks", i - 1).alias("p1"), F.get("_toks", i - 2).alias("p2"),
@@ -131,26 +135,33 @@ def lexicon_scores(df: DataFrame, lexicon: DataFrame | None = None,
         is_all_caps(F.col("tok")) & F.col("_capdiff"),
         F.when(v0 > 0, v0 + L.CAPS_INCREMENT).otherwise(v0 - L.CAPS_INCREMENT)).otherwise(v0))
     hits = _with_valence(hits)
-    v = F.col("_v3")
     but = (F.when(F.col("_but") < 0, 1.0)
            .when(F.col("pos") < F.col("_but"), L.BUT_BEFORE)
            .when(F.col("pos") > F.col("_but"), L.BUT_AFTER)
            .otherwise(1.0))
-    sums = hits.groupBy("_id").agg(F.sum(v * but).alias("_sum"))
+    return (hits.groupBy("_id", "_amp").agg(F.sum(F.col("_v3") * but).alias("_sum"))
+            .withColumnRenamed("_id", id_col))
 
-    out = df.join(sums, df[id_col] == sums["_id"], "left").drop("_id")
-    s = F.coalesce(F.col("_sum"), F.lit(0.0))
-    text = F.col(text_col)
-    ep = F.least(count_char(text, "!"), F.lit(L.EXCLAMATION_MAX)) * L.EXCLAMATION_STEP
-    qm = count_char(text, "?")
-    qa = (F.when((qm > 1) & (qm <= 3), qm * L.QUESTION_STEP)
-          .when(qm > 3, F.lit(L.QUESTION_MAX_AMP)).otherwise(F.lit(0.0)))
-    # one named column per step keeps each expression small
-    out = out.withColumns({"_s": s, "_amp": ep + qa})
-    s, amp = F.col("_s"), F.col("_amp")
+
+def finish_lexicon(df: DataFrame, score_col: str = "lexicon_score",
+                   label_col: str = "lexicon_label", title_case: bool = False) -> DataFrame:
+    """Turn ``_sum``/``_amp`` (null = no hit) into the compound score and label."""
+    out = df.withColumns({"_s": F.coalesce(F.col("_sum"), F.lit(0.0)),
+                          "_a": F.coalesce(F.col("_amp"), F.lit(0.0))})
+    s, amp = F.col("_s"), F.col("_a")
     out = out.withColumn("_s2", F.when(s > 0, s + amp).when(s < 0, s - amp).otherwise(s))
     s2 = F.col("_s2")
     comp = s2 / F.sqrt(s2 * s2 + L.NORMALIZE_ALPHA)
     out = out.withColumn(score_col, F.round(F.greatest(F.least(comp, F.lit(1.0)), F.lit(-1.0)), 4))
-    return (out.drop("_sum", "_s", "_amp", "_s2")
+    return (out.drop("_sum", "_amp", "_s", "_a", "_s2")
             .withColumn(label_col, sentiment_label(score_col, title_case)))
+
+
+def lexicon_scores(df: DataFrame, lexicon: DataFrame | None = None,
+                   text_col: str = "clean_comment", id_col: str = "comment_id",
+                   score_col: str = "lexicon_score", label_col: str = "lexicon_label",
+                   title_case: bool = False) -> DataFrame:
+    """Ops 13 + 14: add ``score_col`` (compound in [-1, 1], rounded to 4) and
+    ``label_col`` (>= 0.05 positive, <= -0.05 negative, else neutral)."""
+    sums = lexicon_sums(df, lexicon, text_col, id_col)
+    return finish_lexicon(df.join(sums, id_col, "left"), score_col, label_col, title_case)

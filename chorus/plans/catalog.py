@@ -14,8 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chorus import sources as S
+from chorus.data import fixed_values as fv
+from chorus.operators import classify as CL
 from chorus.operators import cleaning as C
 from chorus.operators import lexicon as LX
+from chorus.operators import reports as R
 from chorus.plans import oracle as O
 from chorus.plans.stage import stage
 
@@ -99,3 +102,121 @@ def q_lexicon_score(spark, sf_dir):
 SELECT comment_id, lexicon_label FROM lex_scored""")
 def q_lexicon_label(spark, sf_dir):
     return lexicon_results(spark, sf_dir).select("comment_id", "lexicon_label")
+
+
+def classifier_results(spark: SparkSession, sf_dir: str, scheme: str) -> DataFrame:
+    p = prepared_stage(spark, sf_dir)
+    return CL.classifier_scores(p, S.read_table(spark, sf_dir, "labels"), scheme)
+
+
+for _scheme in ("binary", "ternary"):
+    def _q(spark, sf_dir, _s=_scheme):
+        return classifier_results(spark, sf_dir, _s).select(
+            "comment_id", f"{_s}_label", F.round(f"{_s}_score", 6).alias(f"{_s}_score"))
+    register(f"{_scheme}_scores", f"""{O.BASE},
+{O.nb_ctes(_scheme)}
+SELECT comment_id, {_scheme}_label, round({_scheme}_score, 6) AS {_scheme}_score FROM {_scheme}_scored""")(_q)
+
+
+# ---------------------------------------------------------------- 2.3/2.4 results and reports
+
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.sentiment_results(prepared_stage(spark, sf_dir), S.read_table(spark, sf_dir, "labels"))
+
+
+def results_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(results(spark, sf_dir), "results")
+
+
+_ALL_SCORES = f"""{O.BASE},
+{O.lexicon_ctes()},
+{O.nb_ctes("binary")},
+{O.nb_ctes("ternary")},
+results AS (
+  SELECT p.*, l.lexicon_label, l.lexicon_score, b.binary_label, b.binary_score,
+         t.ternary_label, t.ternary_score
+  FROM prepared p JOIN lex_scored l USING (comment_id) JOIN binary_scored b USING (comment_id)
+  JOIN ternary_scored t USING (comment_id))"""
+
+
+@register("sentiment_results", f"""{_ALL_SCORES}
+SELECT comment_id, video_id, clean_comment, lexicon_label, round(lexicon_score, 6) AS lexicon_score,
+       binary_label, round(binary_score, 6) AS binary_score, ternary_label, round(ternary_score, 6) AS ternary_score
+FROM results""")
+def q_results(spark, sf_dir):
+    return results(spark, sf_dir).select(
+        "comment_id", "video_id", "clean_comment", "lexicon_label", F.round("lexicon_score", 6).alias("lexicon_score"),
+        "binary_label", F.round("binary_score", 6).alias("binary_score"),
+        "ternary_label", F.round("ternary_score", 6).alias("ternary_score"))
+
+
+_LONG = """long AS (
+  SELECT 'lexicon' AS model, lexicon_label AS sentiment_label FROM results
+  UNION ALL SELECT 'binary', binary_label FROM results
+  UNION ALL SELECT 'ternary', ternary_label FROM results)"""
+
+
+@register("label_distribution", f"""{_ALL_SCORES},
+{_LONG}
+SELECT model, sentiment_label, comment_count, round(comment_count / sum(comment_count) OVER (PARTITION BY model), 6) AS share
+FROM (SELECT model, sentiment_label, count(*) AS comment_count FROM long
+      WHERE sentiment_label IS NOT NULL GROUP BY 1, 2)""")
+def q_label_distribution(spark, sf_dir):
+    d = R.label_distribution(results(spark, sf_dir))
+    return d.select("model", "sentiment_label", "comment_count", F.round("share", 6).alias("share"))
+
+
+_WIDE = f"""wide AS (
+  SELECT sentiment_label,
+         count_if(model = 'lexicon') AS lexicon_count,
+         count_if(model = 'binary') AS binary_count,
+         count_if(model = 'ternary') AS ternary_count
+  FROM long WHERE sentiment_label IS NOT NULL GROUP BY sentiment_label)"""
+
+
+@register("model_comparison", f"""{_ALL_SCORES},
+{_LONG},
+{_WIDE}
+SELECT * FROM wide ORDER BY sentiment_label""")
+def q_model_comparison(spark, sf_dir):
+    return R.model_comparison(results(spark, sf_dir))
+
+
+@register("model_comparison_long", f"""{_ALL_SCORES},
+{_LONG},
+{_WIDE}
+SELECT sentiment_label, 'lexicon' AS model, lexicon_count AS comment_count FROM wide
+UNION ALL SELECT sentiment_label, 'binary', binary_count FROM wide
+UNION ALL SELECT sentiment_label, 'ternary', ternary_count FROM wide""")
+def q_model_comparison_long(spark, sf_dir):
+    return R.model_comparison_long(R.model_comparison(results(spark, sf_dir)))
+
+
+@register("top_by_score", f"""{_ALL_SCORES}
+SELECT direction, comment_id, date, comment, lexicon_label, round(lexicon_score, 6) AS lexicon_score, rank FROM (
+  SELECT 'positive' AS direction, *, row_number() OVER (ORDER BY lexicon_score DESC, comment_id) AS rank FROM results
+  UNION ALL
+  SELECT 'negative' AS direction, *, row_number() OVER (ORDER BY lexicon_score ASC, comment_id) AS rank FROM results)
+WHERE rank <= {fv.TOP_COMMENTS}""")
+def q_top_by_score(spark, sf_dir):
+    t = R.top_by_score(results(spark, sf_dir))
+    return t.withColumn("lexicon_score", F.round("lexicon_score", 6))
+
+
+@register("top_by_label", f"""{_ALL_SCORES}
+SELECT model, sentiment_label, comment_id, score, rank FROM (
+  SELECT 'binary' AS model, binary_label AS sentiment_label, comment_id, round(binary_score, 6) AS score,
+         row_number() OVER (PARTITION BY binary_label ORDER BY round(binary_score, 6) DESC, comment_id) AS rank FROM results
+  UNION ALL
+  SELECT 'ternary', ternary_label, comment_id, round(ternary_score, 6),
+         row_number() OVER (PARTITION BY ternary_label ORDER BY round(ternary_score, 6) DESC, comment_id) FROM results)
+WHERE rank <= {fv.TOP_COMMENTS}""")
+def q_top_by_label(spark, sf_dir):
+    r = results_stage(spark, sf_dir)
+    parts = []
+    for m in ("binary", "ternary"):
+        rr = r.withColumn(f"{m}_score", F.round(f"{m}_score", 6))
+        t = R.top_by_label(rr, m, cols=())
+        parts.append(t.select(F.lit(m).alias("model"), F.col(f"{m}_label").alias("sentiment_label"),
+                              "comment_id", F.col(f"{m}_score").alias("score"), "rank"))
+    return parts[0].unionByName(parts[1])

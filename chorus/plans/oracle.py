@@ -130,3 +130,42 @@ def lexicon_ctes(src: str = "prepared") -> str:
          WHEN lexicon_score <= {fv.NEGATIVE_AT_OR_BELOW} THEN 'negative' ELSE 'neutral' END AS lexicon_label
   FROM (SELECT comment_id, round(greatest(least(s2 / sqrt(s2 * s2 + {L.NORMALIZE_ALPHA}), 1.0), -1.0), 4) AS lexicon_score FROM lx_b))""")
     return ",\n".join(parts)
+
+
+NB_CLASSES = {"binary": ("negative", "positive"), "ternary": ("negative", "neutral", "positive")}
+
+
+def nb_ctes(scheme: str, src: str = "prepared") -> str:
+    """CTEs ending in ``<scheme>_scored(comment_id, <scheme>_label, <scheme>_score)``."""
+    cs = NB_CLASSES[scheme]
+    s = f"nb_{scheme}"
+    if scheme == "binary":
+        lab = "CASE WHEN l.quality = 1 THEN 'positive' ELSE 'negative' END"
+    else:
+        lab = "CASE WHEN l.toxic = 1 THEN 'negative' WHEN l.quality = 1 THEN 'positive' ELSE 'neutral' END"
+    toks = "unnest(regexp_extract_all(lower(clean_comment), '[a-z0-9]+')[1:512])"
+    order = sorted(cs)
+    arg = "CASE " + " ".join(
+        f"WHEN {' AND '.join(f'e_{c} >= e_{o}' for o in order[i + 1:]) or 'true'} THEN '{c}'"
+        for i, c in enumerate(order[:-1])) + f" ELSE '{order[-1]}' END"
+    return ",\n".join([
+        f"{s}_train AS (SELECT p.comment_id, p.clean_comment, {lab} AS label FROM {src} p JOIN labels l ON p.comment_id = l.doc_id)",
+        f"{s}_tok AS (SELECT label, {toks} AS term FROM {s}_train)",
+        f"{s}_cnt AS (SELECT term, " + ", ".join(
+            f"sum(CASE WHEN label = '{c}' THEN 1 ELSE 0 END) AS n_{c}" for c in cs) + f" FROM {s}_tok GROUP BY term)",
+        f"{s}_w AS (SELECT term, " + ", ".join(
+            f"ln((n_{c} + 1.0) / ((SELECT CAST(sum(n_{c}) AS DOUBLE) FROM {s}_cnt) + (SELECT CAST(count(*) AS DOUBLE) FROM {s}_cnt))) AS lp_{c}"
+            for c in cs) + f" FROM {s}_cnt)",
+        f"{s}_pri AS (SELECT " + ", ".join(
+            f"ln(CAST(count_if(label = '{c}') AS DOUBLE) / count(*)) AS pr_{c}" for c in cs) + f" FROM {s}_train)",
+        f"{s}_q AS (SELECT comment_id, {toks} AS term FROM {src})",
+        f"{s}_sum AS (SELECT q.comment_id, " + ", ".join(f"sum(w.lp_{c}) AS s_{c}" for c in cs)
+        + f", count(*) AS m FROM {s}_q q JOIN {s}_w w ON q.term = w.term GROUP BY q.comment_id)",
+        f"{s}_z AS (SELECT p.comment_id, " + ", ".join(
+            f"(SELECT pr_{c} FROM {s}_pri) + coalesce(x.s_{c} / x.m, 0.0) AS z_{c}" for c in cs)
+        + f" FROM {src} p LEFT JOIN {s}_sum x ON p.comment_id = x.comment_id)",
+        f"{s}_e AS (SELECT comment_id, " + ", ".join(
+            f"exp(z_{c} - greatest({', '.join('z_' + o for o in cs)})) AS e_{c}" for c in cs) + f" FROM {s}_z)",
+        f"{scheme}_scored AS (SELECT comment_id, {arg} AS {scheme}_label, "
+        f"greatest({', '.join('e_' + c for c in cs)}) / ({' + '.join('e_' + c for c in cs)}) AS {scheme}_score FROM {s}_e)",
+    ])

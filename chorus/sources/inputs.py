@@ -16,7 +16,18 @@ from chorus.data import fixed_values as fv
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that yields fewer splits than the session has
+    cores (one small file with one row group).  A large input already has
+    more splits than cores and is left alone, so this never adds a shuffle
+    at scale."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
