@@ -19,6 +19,7 @@ from chorus.operators import classify as CL
 from chorus.operators import cleaning as C
 from chorus.operators import lexicon as LX
 from chorus.operators import reports as R
+from chorus.operators import tokens as TK
 from chorus.plans import oracle as O
 from chorus.plans.stage import stage
 
@@ -220,3 +221,99 @@ def q_top_by_label(spark, sf_dir):
         parts.append(t.select(F.lit(m).alias("model"), F.col(f"{m}_label").alias("sentiment_label"),
                               "comment_id", F.col(f"{m}_score").alias("score"), "rank"))
     return parts[0].unionByName(parts[1])
+
+
+# ---------------------------------------------------------------- 2.5 tokens and words
+
+def nlp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return TK.lemmatize_comments(prepared(spark, sf_dir))
+
+
+def nlp_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(nlp(spark, sf_dir), "nlp")
+
+
+_NLP = f"""{O.BASE},
+{O.nlp_cte(TK.general_stopwords())}"""
+_WORDS = """words AS (SELECT unnest(token_clean) AS word FROM nlp),
+wc AS (SELECT word, count(*) AS count FROM words GROUP BY word)"""
+
+
+@register("simple_tokens", f"""{_NLP}
+SELECT comment_id, array_to_string(tokens, ' ') AS tokens FROM nlp""")
+def q_simple_tokens(spark, sf_dir):
+    return nlp(spark, sf_dir).select("comment_id", F.concat_ws(" ", "tokens").alias("tokens"))
+
+
+@register("lemma_tokens", f"""{_NLP}
+SELECT comment_id, array_to_string(token_clean, ' ') AS token_clean FROM nlp""")
+def q_lemma_tokens(spark, sf_dir):
+    return nlp(spark, sf_dir).select("comment_id", F.concat_ws(" ", "token_clean").alias("token_clean"))
+
+
+@register("token_count", f"""{_NLP}
+SELECT comment_id, CAST(len(token_clean) AS BIGINT) AS token_count FROM nlp""")
+def q_token_count(spark, sf_dir):
+    return nlp(spark, sf_dir).select("comment_id", "token_count")
+
+
+@register("token_count_profile", f"""{_NLP}
+SELECT count(n) AS count, round(avg(n), 6) AS mean, round(stddev_samp(n), 6) AS std,
+       round(CAST(min(n) AS DOUBLE), 6) AS min, round(quantile_cont(n, 0.25), 6) AS q25,
+       round(quantile_cont(n, 0.5), 6) AS q50, round(quantile_cont(n, 0.75), 6) AS q75,
+       round(CAST(max(n) AS DOUBLE), 6) AS max
+FROM (SELECT len(token_clean) AS n FROM nlp)""")
+def q_token_count_profile(spark, sf_dir):
+    p = TK.token_count_profile(nlp(spark, sf_dir))
+    return p.select("count", *[F.round(c, 6).alias(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")])
+
+
+@register("token_count_shape", f"""{_NLP}
+SELECT CAST(len(token_clean) AS BIGINT) AS token_count, count(*) AS comments FROM nlp GROUP BY 1""")
+def q_token_count_shape(spark, sf_dir):
+    return TK.token_count_shape(nlp(spark, sf_dir))
+
+
+@register("short_comments", f"""{_NLP}
+SELECT comment_id, CAST(len(token_clean) AS BIGINT) AS token_count FROM nlp WHERE len(token_clean) <= 3""")
+def q_short_comments(spark, sf_dir):
+    return TK.short_comments(nlp(spark, sf_dir)).select("comment_id", "token_count")
+
+
+@register("word_counts", f"""{_NLP},
+{_WORDS}
+SELECT word, count FROM wc""")
+def q_word_counts(spark, sf_dir):
+    return TK.word_counts(nlp(spark, sf_dir))
+
+
+@register("unique_words", f"""{_NLP}
+SELECT count(DISTINCT word) AS unique_words FROM (SELECT unnest(token_clean) AS word FROM nlp)""")
+def q_unique_words(spark, sf_dir):
+    return TK.unique_words(nlp(spark, sf_dir))
+
+
+@register("top_words", f"""{_NLP},
+{_WORDS}
+SELECT word, count, round(count / sum(count) OVER (), 6) AS share
+FROM (SELECT * FROM wc ORDER BY count DESC, word LIMIT {fv.TREEMAP_WORDS})""")
+def q_top_words(spark, sf_dir):
+    t = TK.top_words(TK.word_counts(nlp(spark, sf_dir)))
+    return t.withColumn("share", F.round("share", 6))
+
+
+@register("word_weights", f"""{_NLP},
+{_WORDS}
+SELECT word, count, round(count / max(count) OVER (), 6) AS weight
+FROM (SELECT * FROM wc ORDER BY count DESC, word LIMIT {fv.WORD_CLOUD_MAX_WORDS})""")
+def q_word_weights(spark, sf_dir):
+    t = TK.word_weights(TK.word_counts(nlp(spark, sf_dir)))
+    return t.withColumn("weight", F.round("weight", 6))
+
+
+@register("kpis", f"""{_NLP}
+SELECT count(*) AS total_comments, round(avg(length(clean_comment)), 1) AS avg_length,
+       (SELECT count(DISTINCT w) FROM (SELECT unnest(token_clean) AS w FROM nlp)) AS unique_words
+FROM nlp""")
+def q_kpis(spark, sf_dir):
+    return TK.kpis(nlp_stage(spark, sf_dir))

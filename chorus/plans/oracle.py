@@ -169,3 +169,30 @@ def nb_ctes(scheme: str, src: str = "prepared") -> str:
         f"{scheme}_scored AS (SELECT comment_id, {arg} AS {scheme}_label, "
         f"greatest({', '.join('e_' + c for c in cs)}) / ({' + '.join('e_' + c for c in cs)}) AS {scheme}_score FROM {s}_e)",
     ])
+
+
+def simple_tokens_sql(col: str) -> str:
+    return (f"list_filter(regexp_extract_all(translate(lower({col}), {q(ACCENTED)}, {q(PLAIN)}), '[a-z]+'), "
+            f"lambda x: length(x) BETWEEN 2 AND 15)")
+
+
+def lemma_sql(t: str) -> str:
+    forms = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in sorted(IRREGULAR_LEMMAS.items()))
+    return (f"CASE WHEN {t} IN {in_list(IRREGULAR_LEMMAS)} THEN (CASE {t} {forms} END) "
+            f"WHEN length({t}) > 4 AND suffix({t}, 'ies') THEN left({t}, length({t}) - 3) || 'y' "
+            f"WHEN suffix({t}, 'sses') THEN left({t}, length({t}) - 2) "
+            f"WHEN length({t}) > 3 AND regexp_matches({t}, '[^sui]s$') THEN left({t}, length({t}) - 1) "
+            f"ELSE {t} END")
+
+
+def lemma_tokens_sql(col: str, stopwords) -> str:
+    words = f"regexp_extract_all(lower({col}), '[a-z0-9]+(?:[''.][a-z0-9]+)*')"
+    kept = f"list_filter({words}, lambda t: t NOT IN {in_list(stopwords)})"
+    return f"list_filter(list_transform({kept}, lambda t: {lemma_sql('t')}), lambda t: length(t) >= 3)"
+
+
+def nlp_cte(stopwords, src: str = "prepared") -> str:
+    return f"""nlp AS (
+  SELECT comment_id, clean_comment, {simple_tokens_sql('clean_comment')} AS tokens,
+         {lemma_tokens_sql('clean_comment', stopwords)} AS token_clean
+  FROM {src})"""
