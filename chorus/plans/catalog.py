@@ -19,7 +19,9 @@ from chorus.operators import classify as CL
 from chorus.operators import cleaning as C
 from chorus.operators import lexicon as LX
 from chorus.operators import reports as R
+from chorus.operators import phrases as PH
 from chorus.operators import tokens as TK
+from chorus.operators import topics as TP
 from chorus.plans import oracle as O
 from chorus.plans.stage import stage
 
@@ -317,3 +319,159 @@ SELECT count(*) AS total_comments, round(avg(length(clean_comment)), 1) AS avg_l
 FROM nlp""")
 def q_kpis(spark, sf_dir):
     return TK.kpis(nlp_stage(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- 2.6/2.7 topics, phrases, keywords
+
+USER_STOPWORDS = "Subscribe, LINK , ,lol,"     # a user string with blanks, case and a trailing comma
+RERUN_STOPWORDS = "the, ereth, thth"           # words excluded on the topic-only rerun
+STOPS = TP.topic_stopwords(USER_STOPWORDS)
+
+
+def topic_base(spark, sf_dir, stops=STOPS) -> DataFrame:
+    """Comments with non-empty topic text and their vectoriser tokens."""
+    return PH.phrase_tokens(TP.topic_text(nlp(spark, sf_dir), stops))
+
+
+def _topic_sql(stops) -> str:
+    return f"""{_NLP},
+topic AS (
+  SELECT comment_id, list_filter(token_clean, lambda t: t NOT IN {O.in_list(stops)} AND length(t) >= 3) AS toks
+  FROM nlp),
+tdocs AS (SELECT comment_id, toks, array_to_string(toks, ' ') AS topic_text FROM topic WHERE len(toks) > 0),
+pdocs AS (SELECT comment_id, {O.vtokens_sql('topic_text')} AS vtokens FROM tdocs)"""
+
+
+_TOPIC = _topic_sql(STOPS)
+
+
+@register("topic_stopwords", f"""{_NLP}
+SELECT word, count(*) AS occurrences FROM (SELECT unnest(token_clean) AS word FROM nlp)
+WHERE word IN {O.in_list(STOPS)} GROUP BY word""")
+def q_topic_stopwords(spark, sf_dir):
+    stops = spark.createDataFrame([(w,) for w in STOPS], "word STRING")
+    counts = TK.word_counts(nlp(spark, sf_dir))
+    return counts.join(F.broadcast(stops), "word", "left_semi").withColumnRenamed("count", "occurrences")
+
+
+@register("topic_tokens", f"""{_TOPIC}
+SELECT comment_id, array_to_string(toks, ' ') AS token_clean_topic FROM topic""")
+def q_topic_tokens(spark, sf_dir):
+    t = TP.add_topic_tokens(nlp(spark, sf_dir), STOPS)
+    return t.select("comment_id", F.concat_ws(" ", "token_clean_topic").alias("token_clean_topic"))
+
+
+@register("topic_text", f"""{_TOPIC}
+SELECT comment_id, topic_text FROM tdocs""")
+def q_topic_text(spark, sf_dir):
+    return TP.topic_text(nlp(spark, sf_dir), STOPS).select("comment_id", "topic_text")
+
+
+@register("vocabulary", f"""{_TOPIC}
+SELECT term, doc_freq FROM (
+  SELECT term, count(*) AS doc_freq FROM (SELECT unnest(list_distinct(toks)) AS term FROM tdocs) GROUP BY term)
+WHERE doc_freq >= {fv.LDA_NO_BELOW} AND doc_freq <= floor((SELECT count(*) FROM tdocs) * CAST({fv.LDA_NO_ABOVE} AS DOUBLE))""")
+def q_vocabulary(spark, sf_dir):
+    docs = stage(TP.topic_docs(nlp(spark, sf_dir), STOPS), "topic-docs")
+    return TP.vocabulary(docs)
+
+
+_VOCAB = f"""vocab AS (
+  SELECT term FROM (
+    SELECT term, count(*) AS doc_freq FROM (SELECT unnest(list_distinct(toks)) AS term FROM tdocs) GROUP BY term)
+  WHERE doc_freq >= {fv.LDA_NO_BELOW} AND doc_freq <= floor((SELECT count(*) FROM tdocs) * CAST({fv.LDA_NO_ABOVE} AS DOUBLE)))"""
+
+
+@register("bag_of_words", f"""{_TOPIC},
+{_VOCAB}
+SELECT comment_id, term, count(*) AS count FROM (SELECT comment_id, unnest(toks) AS term FROM tdocs)
+WHERE term IN (SELECT term FROM vocab) GROUP BY 1, 2""")
+def q_bag_of_words(spark, sf_dir):
+    docs = stage(TP.topic_docs(nlp(spark, sf_dir), STOPS), "topic-docs")
+    return TP.bag_of_words(docs, TP.vocabulary(docs)).select("comment_id", "term", "count")
+
+
+@register("corpus_stats", f"""{_TOPIC},
+{_VOCAB}
+SELECT (SELECT count(*) FROM vocab) AS vocabulary_size, count(*) AS documents FROM tdocs""")
+def q_corpus_stats(spark, sf_dir):
+    docs = stage(TP.topic_docs(nlp(spark, sf_dir), STOPS), "topic-docs")
+    return TP.corpus_stats(docs, TP.vocabulary(docs))
+
+
+@register("phrase_retokenise", f"""{_TOPIC}
+SELECT comment_id, array_to_string(vtokens, ' ') AS vtokens FROM pdocs""")
+def q_phrase_retokenise(spark, sf_dir):
+    return topic_base(spark, sf_dir).select("comment_id", F.concat_ws(" ", "vtokens").alias("vtokens"))
+
+
+@register("top_trigrams", f"""{_TOPIC}
+{O.top_ngrams_sql('pdocs', 3, fv.TOP_PHRASES)}""")
+def q_top_trigrams(spark, sf_dir):
+    return PH.top_ngrams(stage(topic_base(spark, sf_dir), "phrase-docs"), 3)
+
+
+@register("top_bigrams", f"""{_NLP},
+bdocs AS (SELECT comment_id, {O.vtokens_sql("array_to_string(token_clean, ' ')", fv.PHRASE_STOPWORDS_NOTEBOOK)} AS vtokens FROM nlp)
+{O.top_ngrams_sql('bdocs', 2, fv.TOP_PHRASES)}""")
+def q_top_bigrams(spark, sf_dir):
+    # notebook variant: all documents (empty ones count in N), own stop list
+    docs = nlp(spark, sf_dir).withColumn("topic_text", F.concat_ws(" ", "token_clean"))
+    docs = PH.phrase_tokens(docs, stopwords=fv.PHRASE_STOPWORDS_NOTEBOOK)
+    return PH.top_ngrams(stage(docs.select("comment_id", "vtokens"), "bigram-docs"), 2)
+
+
+@register("tfidf_keywords", f"""{_TOPIC}
+{O.tfidf_sql('pdocs', fv.TOP_KEYWORDS)}""")
+def q_tfidf_keywords(spark, sf_dir):
+    k = PH.tfidf_keywords(stage(topic_base(spark, sf_dir), "phrase-docs"))
+    return k.select("term", F.round("tfidf_score", 6).alias("tfidf_score"))
+
+
+_RERUN_STOPS = TP.topic_stopwords(RERUN_STOPWORDS)
+
+
+@register("topics_rerun", f"""{_topic_sql(_RERUN_STOPS)}
+{O.tfidf_sql('pdocs', fv.TOP_KEYWORDS)}""")
+def q_topics_rerun(spark, sf_dir):
+    """Op 45: topic-only rerun with extra excluded words, reading the
+    staged token table (sentiment is not recomputed)."""
+    staged = nlp_stage(spark, sf_dir)
+    docs = PH.phrase_tokens(TP.topic_text(staged, _RERUN_STOPS))
+    k = PH.tfidf_keywords(docs)
+    return k.select("term", F.round("tfidf_score", 6).alias("tfidf_score"))
+
+
+# LDA (rows-only: the sampler is not reproducible across engines)
+
+def topic_model(spark, sf_dir):
+    docs = stage(TP.topic_docs(nlp(spark, sf_dir), STOPS).select("comment_id", "token_clean_topic"),
+                 "topic-docs")
+    return TP.fit_topics(docs)
+
+
+@register("lda_topic_terms")
+def q_lda_topic_terms(spark, sf_dir):
+    return topic_model(spark, sf_dir).topics
+
+
+@register("dominant_topic")
+def q_dominant_topic(spark, sf_dir):
+    return topic_model(spark, sf_dir).assignments.select("comment_id", "topic_id", "topic_score")
+
+
+@register("topic_keywords")
+def q_topic_keywords(spark, sf_dir):
+    return topic_model(spark, sf_dir).keywords
+
+
+@register("topic_summary")
+def q_topic_summary(spark, sf_dir):
+    m = topic_model(spark, sf_dir)
+    return TP.topic_summary(m.assignments, m.keywords)
+
+
+@register("topic_comments")
+def q_topic_comments(spark, sf_dir):
+    m = topic_model(spark, sf_dir)
+    return TP.topic_comments(m.assignments).select("comment_id", "topic_id", "topic_score")

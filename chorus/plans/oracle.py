@@ -196,3 +196,45 @@ def nlp_cte(stopwords, src: str = "prepared") -> str:
   SELECT comment_id, clean_comment, {simple_tokens_sql('clean_comment')} AS tokens,
          {lemma_tokens_sql('clean_comment', stopwords)} AS token_clean
   FROM {src})"""
+
+
+def ngrams_sql(t: str, n: int) -> str:
+    return (f"CASE WHEN len({t}) >= {n} THEN list_transform(range(1, len({t}) - {n} + 2), "
+            f"lambda i: array_to_string({t}[i:i + {n - 1}], ' ')) ELSE [] END")
+
+
+def vtokens_sql(text: str, stopwords=None) -> str:
+    t = f"regexp_extract_all(lower({text}), '[a-z0-9_]{{2,}}')"
+    if stopwords:
+        t = f"list_filter({t}, lambda w: w NOT IN {in_list(stopwords)})"
+    return t
+
+
+def top_ngrams_sql(docs: str, n: int, top: int, min_df: int = 2, max_df: float = 0.8) -> str:
+    """``docs(comment_id, vtokens)`` -> top n-grams."""
+    return f"""SELECT term AS ngram, count FROM (
+  SELECT term, sum(tf) AS count, count(*) AS doc_freq FROM (
+    SELECT comment_id, term, count(*) AS tf FROM (
+      SELECT comment_id, unnest({ngrams_sql('vtokens', n)}) AS term FROM {docs}) GROUP BY 1, 2)
+  GROUP BY term)
+WHERE doc_freq >= {min_df} AND doc_freq <= (SELECT count(*) FROM {docs}) * CAST({max_df} AS DOUBLE)
+ORDER BY count DESC, term LIMIT {top}"""
+
+
+def tfidf_sql(docs: str, top: int, min_df: int = 2, max_df: float = 0.8) -> str:
+    n = f"(SELECT CAST(count(*) AS DOUBLE) FROM {docs})"
+    terms = f"list_concat({ngrams_sql('vtokens', 1)}, {ngrams_sql('vtokens', 2)})"
+    return f"""SELECT term, round(score, 6) AS tfidf_score FROM (
+  SELECT term, sum(r / norm) / {n} AS score FROM (
+    SELECT *, sqrt(sum(r * r) OVER (PARTITION BY comment_id)) AS norm FROM (
+      SELECT tf.comment_id, tf.term, tf.tf * (ln(({n} + 1.0) / (k.doc_freq + 1.0)) + 1.0) AS r
+      FROM (SELECT comment_id, term, count(*) AS tf FROM (
+              SELECT comment_id, unnest({terms}) AS term FROM {docs}) GROUP BY 1, 2) tf
+      JOIN (SELECT term, doc_freq FROM (
+              SELECT term, count(*) AS doc_freq FROM (
+                SELECT DISTINCT comment_id, term FROM (SELECT comment_id, unnest({terms}) AS term FROM {docs}))
+              GROUP BY term)
+            WHERE doc_freq >= {min_df} AND doc_freq <= {n} * CAST({max_df} AS DOUBLE)) k
+      ON tf.term = k.term))
+  GROUP BY term)
+ORDER BY round(score, 9) DESC, term LIMIT {top}"""
