@@ -128,3 +128,73 @@ def classifier_scores(df: DataFrame, labels: DataFrame, scheme: str,
                       text_col: str = "clean_comment") -> DataFrame:
     """Ops 15 / 16: train on the labelled rows of ``df``, score every row."""
     return naive_bayes_scores(df, fit_scheme(df, labels, scheme, text_col), scheme, text_col=text_col)
+
+
+# ---------------------------------------------------------------- op 17: user batch model
+
+def export_model(model: NaiveBayesModel, path: str) -> str:
+    """Write the model as parquet (weights + one priors row) to a shared
+    folder, where each Python worker loads it once."""
+    model.weights.write.mode("overwrite").parquet(f"{path}/weights")
+    spark = model.weights.sparkSession
+    spark.range(1).select(*[model.log_prior[c].alias(c) for c in model.classes]) \
+        .write.mode("overwrite").parquet(f"{path}/priors")
+    return path
+
+
+def _read_parquet(path: str):
+    import pyarrow.dataset as ds
+    from pyarrow import fs as pafs
+    if "://" in path and not path.startswith("file:"):
+        filesystem, p = pafs.FileSystem.from_uri(path)
+    else:
+        filesystem, p = None, path.removeprefix("file://").removeprefix("file:")
+    return ds.dataset(p, filesystem=filesystem, format="parquet").to_table()
+
+
+def make_predict_fn(path: str, classes: tuple[str, ...], max_tokens: int = 512):
+    """``make_predict_fn`` for ``predict_batch_udf``: loads the exported
+    model once per Python worker and scores batches of texts with NumPy.
+    Same tokens, smoothing and tie rule as ``naive_bayes_scores``."""
+
+    def load():
+        import re
+
+        import numpy as np
+        w = _read_parquet(f"{path}/weights").to_pandas()
+        pri = _read_parquet(f"{path}/priors").to_pandas()
+        prior = np.array([float(pri[c].iloc[0]) for c in classes])
+        mat = w[[f"lp_{c}" for c in classes]].to_numpy(dtype=float)
+        index = {t: i for i, t in enumerate(w["term"].tolist())}
+        order = np.argsort(np.array(classes))          # alphabetical tie rule
+        names = np.array(classes, dtype=object)
+        pat = re.compile(r"[a-z0-9]+")
+
+        def predict(texts):
+            n = len(texts)
+            z = np.tile(prior, (n, 1))
+            for r, t in enumerate(texts):
+                rows = [index[x] for x in pat.findall(str(t).lower())[:max_tokens] if x in index]
+                if rows:
+                    z[r] += mat[rows].sum(axis=0) / len(rows)
+            e = np.exp(z - z.max(axis=1, keepdims=True))
+            p = e / e.sum(axis=1, keepdims=True)
+            best = order[np.argmax(p[:, order], axis=1)]
+            return {"label": names[best], "score": p[np.arange(n), best]}
+
+        return predict
+
+    return load
+
+
+def batch_model_scores(df: DataFrame, path: str, classes: tuple[str, ...], prefix: str,
+                       text_col: str = "clean_comment", batch_size: int = 32) -> DataFrame:
+    """Op 17: score ``text_col`` with a user batch model through
+    ``predict_batch_udf`` (Arrow batches of ``batch_size`` texts)."""
+    from pyspark.ml.functions import predict_batch_udf
+    from pyspark.sql import types as T
+    rt = T.StructType([T.StructField("label", T.StringType()), T.StructField("score", T.DoubleType())])
+    udf = predict_batch_udf(make_predict_fn(path, tuple(classes)), return_type=rt, batch_size=batch_size)
+    out = df.withColumn("_pred", udf(F.col(text_col)))
+    return out.withColumns({f"{prefix}_label": F.col("_pred.label"),
+                            f"{prefix}_score": F.col("_pred.score")}).drop("_pred")

@@ -24,6 +24,8 @@ from chorus.operators import tokens as TK
 from chorus.operators import topics as TP
 from chorus.plans import oracle as O
 from chorus.plans.stage import stage
+from chorus.session import scratch_path
+from chorus.sources import sinks as SK
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -475,3 +477,110 @@ def q_topic_summary(spark, sf_dir):
 def q_topic_comments(spark, sf_dir):
     m = topic_model(spark, sf_dir)
     return TP.topic_comments(m.assignments).select("comment_id", "topic_id", "topic_score")
+
+
+# ---------------------------------------------------------------- 2.1 sources
+
+@register("video_id_from_url", f"""WITH u AS (
+  SELECT page_id, CASE page_id % 7
+    WHEN 0 THEN url
+    WHEN 1 THEN 'https://www.youtube.com/watch?v=vid' || page_id || '&list=PL' || page_id
+    WHEN 2 THEN 'https://youtu.be/vid' || page_id || '?t=' || (page_id % 60)
+    WHEN 3 THEN 'https://www.youtube.com/shorts/vid' || page_id
+    WHEN 4 THEN '  vid' || page_id || '  '
+    WHEN 5 THEN 'https://m.youtube.com/watch?feature=share&v=vid' || page_id || '#x'
+    ELSE '' END AS url_or_id FROM pages),
+t AS (SELECT *, regexp_replace(url_or_id, '^\\s+|\\s+$', '', 'g') AS s FROM u)
+SELECT page_id, url_or_id, CASE
+  WHEN url_or_id IS NULL OR url_or_id = '' THEN NULL
+  WHEN regexp_extract(s, 'youtu\\.be/([^?&]+)', 1) <> '' THEN regexp_extract(s, 'youtu\\.be/([^?&]+)', 1)
+  WHEN regexp_extract(s, 'v=([^?&]+)', 1) <> '' THEN regexp_extract(s, 'v=([^?&]+)', 1)
+  WHEN regexp_extract(s, 'shorts/([^?&]+)', 1) <> '' THEN regexp_extract(s, 'shorts/([^?&]+)', 1)
+  ELSE s END AS video_id
+FROM t""")
+def q_video_id(spark, sf_dir):
+    return S.with_video_id(S.url_samples(spark, sf_dir))
+
+
+@register("comments_from_pages", O.page_rows_sql())
+def q_comments_from_pages(spark, sf_dir):
+    return S.comments_from_pages(S.landed_pages(spark, sf_dir))
+
+
+@register("page_cap", O.page_rows_sql(fv.UI_MAX_PAGES))
+def q_page_cap(spark, sf_dir):
+    return S.page_cap(S.landed_pages(spark, sf_dir), fv.UI_MAX_PAGES)
+
+
+@register("page_errors", f"""WITH {O.COMMENTS},
+{O.pages_ctes()}
+SELECT video_id, page_no, 'quota exceeded on page ' || page_no AS message
+FROM page_state WHERE readp AND is_error""")
+def q_page_errors(spark, sf_dir):
+    return S.page_errors(S.landed_pages(spark, sf_dir))
+
+
+MULTI_VIDEOS = ("src1", "src3", "src5")
+
+
+@register("multi_video", f"""SELECT * FROM ({O.page_rows_sql(fv.DEFAULT_MAX_PAGES)})
+WHERE video_id IN {O.in_list(MULTI_VIDEOS)}""")
+def q_multi_video(spark, sf_dir):
+    return S.multi_video(S.page_cap(S.landed_pages(spark, sf_dir), fv.DEFAULT_MAX_PAGES), MULTI_VIDEOS)
+
+
+@register("null_profile", f"""WITH r AS ({O.page_rows_sql()})
+SELECT 'comment_id' AS "column", count(*) - count(comment_id) AS nulls FROM r
+UNION ALL SELECT 'video_id', count(*) - count(video_id) FROM r
+UNION ALL SELECT 'date', count(*) - count(date) FROM r
+UNION ALL SELECT 'comment', count(*) - count(comment) FROM r
+UNION ALL SELECT 'like_count', count(*) - count(like_count) FROM r
+UNION ALL SELECT 'author', count(*) - count(author) FROM r""")
+def q_null_profile(spark, sf_dir):
+    return C.null_profile(S.comments_from_pages(S.landed_pages(spark, sf_dir)))
+
+
+@register("preview", f"""{O.BASE}
+SELECT comment_id, video_id, clean_comment FROM prepared ORDER BY comment_id LIMIT 20""")
+def q_preview(spark, sf_dir):
+    return C.preview(prepared(spark, sf_dir)).select("comment_id", "video_id", "clean_comment")
+
+
+# ---------------------------------------------------------------- op 17: user batch model
+
+@register("batch_model_udf", f"""{O.BASE},
+{O.nb_ctes("binary")}
+SELECT comment_id, binary_label, round(binary_score, 6) AS binary_score FROM binary_scored""")
+def q_batch_model(spark, sf_dir):
+    p = prepared_stage(spark, sf_dir)
+    model = CL.fit_scheme(p, S.read_table(spark, sf_dir, "labels"), "binary")
+    path = CL.export_model(model, scratch_path(spark, "nb-model"))
+    out = CL.batch_model_scores(p, path, model.classes, "binary")
+    return out.select("comment_id", "binary_label", F.round("binary_score", 6).alias("binary_score"))
+
+
+# ---------------------------------------------------------------- 2.8 sinks
+
+@register("write_results_csv", f"""{_ALL_SCORES}
+SELECT comment_id, video_id, date, comment, like_count, author, clean_comment,
+       lexicon_label, round(lexicon_score, 6) AS lexicon_score, binary_label, round(binary_score, 6) AS binary_score,
+       ternary_label, round(ternary_score, 6) AS ternary_score
+FROM results""")
+def q_write_results_csv(spark, sf_dir):
+    r = results(spark, sf_dir).select(
+        "comment_id", "video_id", "date", "comment", "like_count", "author", "clean_comment",
+        "lexicon_label", F.round("lexicon_score", 6).alias("lexicon_score"),
+        "binary_label", F.round("binary_score", 6).alias("binary_score"),
+        "ternary_label", F.round("ternary_score", 6).alias("ternary_score"))
+    path = SK.write_csv(r, scratch_path(spark, "results-csv"))
+    return SK.read_csv(spark, path, r.schema)
+
+
+@register("write_topics_csv")
+def q_write_topics_csv(spark, sf_dir):
+    m = topic_model(spark, sf_dir)
+    out = m.assignments.select("comment_id", "token_clean_topic", "topic_id", "topic_score")
+    path = scratch_path(spark, "topics-csv")
+    if not SK.write_topics_csv(out, path):
+        return out.limit(0)
+    return SK.read_csv(spark, path, out.schema)

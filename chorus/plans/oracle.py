@@ -238,3 +238,25 @@ def tfidf_sql(docs: str, top: int, min_df: int = 2, max_df: float = 0.8) -> str:
       ON tf.term = k.term))
   GROUP BY term)
 ORDER BY round(score, 9) DESC, term LIMIT {top}"""
+
+
+def pages_ctes(cap=None) -> str:
+    """CTEs ending in ``page_state(video_id, page_no, is_error, stop_page, readp)``."""
+    capc = "" if cap is None else f" AND page_no < {int(cap)}"
+    return f"""pg AS (SELECT video_id, comment_id // 100 AS page_no FROM comments GROUP BY 1, 2),
+pgs AS (SELECT video_id, page_no, (page_no * 7 + length(video_id)) % 11 = 0 AS is_error,
+               page_no = max(page_no) OVER (PARTITION BY video_id) AS is_last FROM pg),
+stops AS (SELECT video_id, min(page_no) AS stop_page FROM pgs WHERE is_error OR is_last GROUP BY 1),
+page_state AS (
+  SELECT p.video_id, p.page_no, p.is_error, s.stop_page,
+         (s.stop_page IS NULL OR p.page_no <= s.stop_page){capc} AS readp
+  FROM pgs p LEFT JOIN stops s USING (video_id))"""
+
+
+def page_rows_sql(cap=None) -> str:
+    return f"""WITH {COMMENTS},
+{pages_ctes(cap)}
+SELECT c.comment_id, c.video_id, c.date, c.comment,
+       CASE WHEN c.comment_id % 13 <> 0 THEN c.like_count END AS like_count, c.author
+FROM comments c JOIN page_state s ON c.video_id = s.video_id AND c.comment_id // 100 = s.page_no
+WHERE s.readp AND NOT s.is_error"""
