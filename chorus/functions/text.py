@@ -19,7 +19,7 @@ ColumnOrName = Column | str
 
 # Raw regex literals shared with the oracle SQL.
 URL_RE = r"(?U)http\S+|www\S+"
-STRICT_KEEP_RE = r"[^A-Za-z0-9\s'.,!?]"
+STRICT_KEEP_RE = r"[^A-Za-z0-9\s'.,!?]+"      # runs: same text after the collapse
 SPACES_RE = r"(?U)\s+"
 EDGE_SPACES_RE = r"(?U)^\s+|\s+$"
 ASCII_PUNCT = r"!-/:-@\[-`{-~"          # string.punctuation as ranges
@@ -136,3 +136,14 @@ def vectorizer_tokens(c: ColumnOrName) -> Column:
     """Re-split of joined token text the way the phrase/keyword vectorisers
     do it: lower-case word runs of at least two characters."""
     return F.regexp_extract_all(F.lower(_c(c)), F.lit(VECTORIZER_TOKEN_RE), 0)
+
+
+def explode_tokens(df, cols, arr: Column, name: str):
+    """``explode`` without the inferred ``size(arr) > 0`` filter.
+
+    For an inner explode Catalyst adds ``size(arr) > 0`` and pushes it as
+    far down as it can -- below windows on the text and into the scan --
+    where the whole array expression is computed a second time.  The outer
+    form plus a null test on the produced column keeps the work in one
+    place."""
+    return df.select(*cols, F.explode_outer(arr).alias(name)).filter(F.col(name).isNotNull())

@@ -28,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chorus.functions.text import model_tokens
+from chorus.functions.text import explode_tokens, model_tokens
 
 CLASSES = {
     "binary": ("negative", "positive"),
@@ -63,8 +63,7 @@ class NaiveBayesModel:
 
 def fit_naive_bayes(train: DataFrame, classes: tuple[str, ...],
                     text_col: str = "clean_comment", label_col: str = "label") -> NaiveBayesModel:
-    toks = train.select(F.col(label_col).alias("_cls"),
-                        F.explode(model_tokens(F.col(text_col))).alias("term"))
+    toks = explode_tokens(train, [F.col(label_col).alias("_cls")], model_tokens(F.col(text_col)), "term")
     counts = toks.groupBy("term").agg(*[
         F.sum(F.when(F.col("_cls") == c, 1).otherwise(0)).alias(f"n_{c}") for c in classes])
     vocab = counts.select(F.count("*").cast("double")).scalar()
@@ -82,7 +81,7 @@ def naive_bayes_sums(df: DataFrame, model: NaiveBayesModel, prefix: str,
                      text_col: str = "clean_comment", id_col: str = "comment_id") -> DataFrame:
     """Keyed partial result ``(<id_col>, <prefix>_s_<class>..., <prefix>_m)``
     for comments with at least one known term (others get the priors)."""
-    toks = df.select(F.col(id_col).alias(id_col), F.explode(model_tokens(F.col(text_col))).alias("term"))
+    toks = explode_tokens(df, [id_col], model_tokens(F.col(text_col)), "term")
     hits = toks.join(model.weights, "term")
     return hits.groupBy(id_col).agg(
         *[F.sum(f"lp_{c}").alias(f"{prefix}_s_{c}") for c in model.classes],

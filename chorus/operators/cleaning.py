@@ -35,10 +35,13 @@ def dedup_keep_first(df: DataFrame, col: str = "clean_comment",
     """
     w = Window.partitionBy(col).orderBy(F.col(order_col))
     rn = F.col("_rn")
-    out = df.withColumn("_rn", F.row_number().over(w)).filter(rn == 1)
+    keep = rn <= 1
     if drop_empty:
-        out = out.filter(F.when(F.length(col) > 0, rn).otherwise(F.lit(0)) == 1)
-    return out.drop("_rn")
+        # ``rn <= 1`` (not ``rn = 1``): an equality would let constant
+        # propagation rewrite the second test to ``length > 0`` alone and
+        # push it below the window.
+        keep = keep & (F.length(col) + rn > 1)
+    return df.withColumn("_rn", F.row_number().over(w)).filter(keep).drop("_rn")
 
 
 def prepare_comments(df: DataFrame, strict: bool = True, dedup: bool = True) -> DataFrame:

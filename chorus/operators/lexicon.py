@@ -124,11 +124,11 @@ def lexicon_sums(df: DataFrame, lexicon: DataFrame | None = None,
     )
     ctx = flags.select(
         "_id", "_amp", "_capdiff", "_but",
-        F.inline(F.transform("_toks", lambda t, i: F.struct(
+        F.inline_outer(F.transform("_toks", lambda t, i: F.struct(
             i.alias("pos"), t.alias("tok"),
             F.get("_toks", i - 1).alias("p1"), F.get("_toks", i - 2).alias("p2"),
             F.get("_toks", i - 3).alias("p3")))),
-    )
+    ).filter(F.col("pos").isNotNull())     # outer form: no inferred filter pushed into the scan
     hits = ctx.join(lex, F.lower(F.col("tok")) == F.col("_lt"))
     v0 = F.col("_val")
     hits = hits.withColumn("_v0", F.when(

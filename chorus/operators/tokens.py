@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chorus.data import fixed_values as fv
-from chorus.functions.text import lemma_of, simple_tokens, word_tokens
+from chorus.functions.text import explode_tokens, lemma_of, simple_tokens, word_tokens
 
 
 _STOPWORDS: list[str] = []
@@ -94,13 +94,13 @@ def short_comments(df: DataFrame, col: str = "token_count", max_tokens: int = 3)
 
 def word_counts(df: DataFrame, col: str = "token_clean") -> DataFrame:
     """Op 30: ``(word, count)`` over all token lists, most frequent first."""
-    words = df.select(F.explode(col).alias("word"))
+    words = explode_tokens(df, [], F.col(col), "word")
     return words.groupBy("word").agg(F.count("*").alias("count"))
 
 
 def unique_words(df: DataFrame, col: str = "token_clean", approximate: bool = False) -> DataFrame:
     """Op 31."""
-    words = df.select(F.explode(col).alias("word"))
+    words = explode_tokens(df, [], F.col(col), "word")
     agg = F.approx_count_distinct("word") if approximate else F.count_distinct("word")
     return words.agg(agg.alias("unique_words"))
 
@@ -122,7 +122,7 @@ def word_weights(counts: DataFrame, n: int = fv.WORD_CLOUD_MAX_WORDS) -> DataFra
 def kpis(df: DataFrame, text_col: str = "clean_comment", tokens_col: str = "token_clean") -> DataFrame:
     """Op 24: total comments, mean cleaned length (1 decimal), distinct
     words.  Two aggregates read as scalar subqueries, no join."""
-    words = df.select(F.explode(tokens_col).alias("w")).select(F.count_distinct("w")).scalar()
+    words = explode_tokens(df, [], F.col(tokens_col), "w").select(F.count_distinct("w")).scalar()
     return df.agg(F.count("*").alias("total_comments"),
                   F.round(F.avg(F.length(text_col)), 1).alias("avg_length")).select(
         "total_comments", "avg_length", words.alias("unique_words"))

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chorus.data import fixed_values as fv
+from chorus.functions.text import explode_tokens
 from chorus.operators.tokens import general_stopwords
 
 
@@ -61,7 +62,7 @@ def vocabulary(docs: DataFrame, col: str = "token_clean_topic", no_below: int =
     """Op 37: ``(term, doc_freq)`` kept when ``no_below <= df <=
     int(no_above * N)``.  N arrives as a scalar subquery (no join)."""
     n = docs.select(F.count("*")).scalar()
-    dfs = (docs.select(F.explode(F.array_distinct(col)).alias("term"))
+    dfs = (explode_tokens(docs, [], F.array_distinct(col), "term")
            .groupBy("term").agg(F.count("*").alias("doc_freq")))
     return dfs.filter((F.col("doc_freq") >= no_below) &
                       (F.col("doc_freq") <= F.floor(n * F.lit(no_above))))
@@ -70,7 +71,7 @@ def vocabulary(docs: DataFrame, col: str = "token_clean_topic", no_below: int =
 def bag_of_words(docs: DataFrame, vocab: DataFrame, col: str = "token_clean_topic",
                  id_col: str = "comment_id") -> DataFrame:
     """Op 38: ``(comment_id, term, count)`` for vocabulary terms."""
-    words = docs.select(id_col, F.explode(col).alias("term"))
+    words = explode_tokens(docs, [id_col], F.col(col), "term")
     bags = words.groupBy(id_col, "term").agg(F.count("*").alias("count"))
     return bags.join(vocab.select("term"), "term", "left_semi")
 

@@ -281,7 +281,7 @@ def q_token_count_shape(spark, sf_dir):
 @register("short_comments", f"""{_NLP}
 SELECT comment_id, CAST(len(token_clean) AS BIGINT) AS token_count FROM nlp WHERE len(token_clean) <= 3""")
 def q_short_comments(spark, sf_dir):
-    return TK.short_comments(nlp(spark, sf_dir)).select("comment_id", "token_count")
+    return TK.short_comments(nlp_stage(spark, sf_dir)).select("comment_id", "token_count")
 
 
 @register("word_counts", f"""{_NLP},
@@ -332,7 +332,7 @@ STOPS = TP.topic_stopwords(USER_STOPWORDS)
 
 def topic_base(spark, sf_dir, stops=STOPS) -> DataFrame:
     """Comments with non-empty topic text and their vectoriser tokens."""
-    return PH.phrase_tokens(TP.topic_text(nlp(spark, sf_dir), stops))
+    return PH.phrase_tokens(TP.topic_text(nlp_stage(spark, sf_dir), stops))
 
 
 def _topic_sql(stops) -> str:
@@ -366,7 +366,7 @@ def q_topic_tokens(spark, sf_dir):
 @register("topic_text", f"""{_TOPIC}
 SELECT comment_id, topic_text FROM tdocs""")
 def q_topic_text(spark, sf_dir):
-    return TP.topic_text(nlp(spark, sf_dir), STOPS).select("comment_id", "topic_text")
+    return TP.topic_text(nlp_stage(spark, sf_dir), STOPS).select("comment_id", "topic_text")
 
 
 @register("vocabulary", f"""{_TOPIC}
@@ -374,7 +374,7 @@ SELECT term, doc_freq FROM (
   SELECT term, count(*) AS doc_freq FROM (SELECT unnest(list_distinct(toks)) AS term FROM tdocs) GROUP BY term)
 WHERE doc_freq >= {fv.LDA_NO_BELOW} AND doc_freq <= floor((SELECT count(*) FROM tdocs) * CAST({fv.LDA_NO_ABOVE} AS DOUBLE))""")
 def q_vocabulary(spark, sf_dir):
-    docs = stage(TP.topic_docs(nlp(spark, sf_dir), STOPS), "topic-docs")
+    docs = stage(TP.topic_docs(nlp_stage(spark, sf_dir), STOPS), "topic-docs")
     return TP.vocabulary(docs)
 
 
@@ -389,7 +389,7 @@ _VOCAB = f"""vocab AS (
 SELECT comment_id, term, count(*) AS count FROM (SELECT comment_id, unnest(toks) AS term FROM tdocs)
 WHERE term IN (SELECT term FROM vocab) GROUP BY 1, 2""")
 def q_bag_of_words(spark, sf_dir):
-    docs = stage(TP.topic_docs(nlp(spark, sf_dir), STOPS), "topic-docs")
+    docs = stage(TP.topic_docs(nlp_stage(spark, sf_dir), STOPS), "topic-docs")
     return TP.bag_of_words(docs, TP.vocabulary(docs)).select("comment_id", "term", "count")
 
 
@@ -397,7 +397,7 @@ def q_bag_of_words(spark, sf_dir):
 {_VOCAB}
 SELECT (SELECT count(*) FROM vocab) AS vocabulary_size, count(*) AS documents FROM tdocs""")
 def q_corpus_stats(spark, sf_dir):
-    docs = stage(TP.topic_docs(nlp(spark, sf_dir), STOPS), "topic-docs")
+    docs = stage(TP.topic_docs(nlp_stage(spark, sf_dir), STOPS), "topic-docs")
     return TP.corpus_stats(docs, TP.vocabulary(docs))
 
 
@@ -418,7 +418,7 @@ bdocs AS (SELECT comment_id, {O.vtokens_sql("array_to_string(token_clean, ' ')",
 {O.top_ngrams_sql('bdocs', 2, fv.TOP_PHRASES)}""")
 def q_top_bigrams(spark, sf_dir):
     # notebook variant: all documents (empty ones count in N), own stop list
-    docs = nlp(spark, sf_dir).withColumn("topic_text", F.concat_ws(" ", "token_clean"))
+    docs = nlp_stage(spark, sf_dir).withColumn("topic_text", F.concat_ws(" ", "token_clean"))
     docs = PH.phrase_tokens(docs, stopwords=fv.PHRASE_STOPWORDS_NOTEBOOK)
     return PH.top_ngrams(stage(docs.select("comment_id", "vtokens"), "bigram-docs"), 2)
 
@@ -447,7 +447,7 @@ def q_topics_rerun(spark, sf_dir):
 # LDA (rows-only: the sampler is not reproducible across engines)
 
 def topic_model(spark, sf_dir):
-    docs = stage(TP.topic_docs(nlp(spark, sf_dir), STOPS).select("comment_id", "token_clean_topic"),
+    docs = stage(TP.topic_docs(nlp_stage(spark, sf_dir), STOPS).select("comment_id", "token_clean_topic"),
                  "topic-docs")
     return TP.fit_topics(docs)
 

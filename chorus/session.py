@@ -18,6 +18,7 @@ _DEFAULTS = {
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256k",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Runtime broadcast decision: a join side is broadcast only when its
     # measured (post-shuffle) size is under this bound; otherwise AQE keeps

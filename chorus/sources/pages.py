@@ -66,7 +66,7 @@ def _rows(state: DataFrame) -> DataFrame:
     kept = state.filter(F.col("read") & ~F.col("is_error"))
     items = kept.select("video_id", "page_no", F.posexplode("p.items").alias("pos", "it"))
     sn = F.col("it.snippet.topLevelComment.snippet")
-    return items.select(
+    return items.filter(sn.isNotNull()).select(
         F.col("it.id").cast("long").alias("comment_id"),
         "video_id",
         sn["publishedAt"].alias("date"),
@@ -82,7 +82,7 @@ def comments_from_pages(pages: DataFrame, max_pages: int | None = None) -> DataF
     Items with no inner ``snippet`` come out as nulls, not errors; they are
     returned by ``rejected_items``.
     """
-    return _rows(_page_state(pages, max_pages)).filter(F.col("comment_id").isNotNull())
+    return _rows(_page_state(pages, max_pages))
 
 
 def rejected_items(pages: DataFrame, max_pages: int | None = None) -> DataFrame:

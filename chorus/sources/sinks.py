@@ -3,7 +3,8 @@
 Results are written with a header, UTF-8, ``"`` as quote and escape
 (comments hold quotes, commas and newlines) and read back with
 ``multiLine``.  CSV has no array type, so list columns are written as JSON
-text first.
+text first.  As in a plain CSV export, an empty text and a null cannot be
+told apart on read-back.
 """
 
 from __future__ import annotations

@@ -1,0 +1 @@
+from chorus.streaming.landed import LANDED_SCHEMA, start_landed_scoring  # noqa: F401

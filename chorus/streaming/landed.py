@@ -1,0 +1,59 @@
+"""Incremental scoring of landed response pages (Structured Streaming).
+
+The analysed application has no stream; this is the same ingest -> clean ->
+de-dup -> lexicon score path for pages that keep landing as JSON lines
+``{video_id, page_no, body}`` in a folder:
+
+* flatten and clean are stateless (``from_json`` + ``explode``);
+* de-duplication across micro-batches is ``dropDuplicates(clean_comment)``
+  in the state store (exact; the first arrival wins, which inside one
+  micro-batch is not necessarily the lowest ``comment_id``);
+* scoring runs per micro-batch in ``foreachBatch`` with the batch operator
+  (broadcast lexicon join + per-comment sum) and appends to parquet.
+
+Progress and state live under the checkpoint location, so a restarted
+query resumes where it stopped.  Paging caps are not applied: a stream has
+no "last page" until the fetch ends.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from chorus.functions.text import clean_strict
+from chorus.operators.lexicon import lexicon_scores
+from chorus.sources.pages import PAGE_SCHEMA
+
+LANDED_SCHEMA = T.StructType([
+    T.StructField("video_id", T.StringType()),
+    T.StructField("page_no", T.LongType()),
+    T.StructField("body", T.StringType()),
+])
+
+
+def landed_comments(pages: DataFrame) -> DataFrame:
+    """Stateless flatten of landed pages (error pages yield no rows)."""
+    p = pages.select("video_id", F.from_json("body", PAGE_SCHEMA).alias("p"))
+    items = p.filter(F.col("p.error").isNull()).select("video_id", F.explode("p.items").alias("it"))
+    sn = F.col("it.snippet.topLevelComment.snippet")
+    return items.select(
+        F.col("it.id").cast("long").alias("comment_id"), "video_id",
+        sn["publishedAt"].alias("date"), sn["textDisplay"].alias("comment"),
+        sn["likeCount"].alias("like_count"), sn["authorDisplayName"].alias("author"),
+    ).filter(F.col("comment_id").isNotNull())
+
+
+def start_landed_scoring(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
+                         available_now: bool = True):
+    stream = spark.readStream.schema(LANDED_SCHEMA).json(in_dir)
+    rows = landed_comments(stream).withColumn("clean_comment", clean_strict("comment"))
+    rows = rows.filter(F.length("clean_comment") > 0).dropDuplicates(["clean_comment"])
+
+    def score(batch: DataFrame, batch_id: int) -> None:
+        lexicon_scores(batch).write.mode("append").parquet(out_dir)
+
+    w = rows.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
+    return w.start()

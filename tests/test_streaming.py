@@ -1,0 +1,31 @@
+import json
+import os
+
+from chorus.session import scratch_path
+from chorus.streaming import start_landed_scoring
+
+
+def body(items, token=True):
+    d = {"items": [{"id": str(i), "snippet": {"topLevelComment": {"snippet": {
+        "publishedAt": "d", "textDisplay": t, "likeCount": 1, "authorDisplayName": "a"}}}} for i, t in items]}
+    if token:
+        d["nextPageToken"] = "x"
+    return json.dumps(d)
+
+
+def test_stream_scores_and_dedups_across_batches(spark):
+    base = scratch_path(spark, "stream")
+    src = os.path.join(base.removeprefix("file:"), "in")
+    os.makedirs(src)
+    with open(os.path.join(src, "a.json"), "w") as f:
+        f.write(json.dumps({"video_id": "v", "page_no": 0, "body": body([(1, "good stuff"), (2, "bad")])}) + "\n")
+    out, ck = base + "/out", base + "/ck"
+    q = start_landed_scoring(spark, src, out, ck)
+    q.awaitTermination(120)
+    with open(os.path.join(src, "b.json"), "w") as f:
+        f.write(json.dumps({"video_id": "v", "page_no": 1, "body": body([(3, "good stuff"), (4, "new one")], False)}) + "\n")
+        f.write(json.dumps({"video_id": "w", "page_no": 0, "body": json.dumps({"error": {"message": "x"}})}) + "\n")
+    q = start_landed_scoring(spark, src, out, ck)
+    q.awaitTermination(120)
+    got = {r.comment_id: r.lexicon_label for r in spark.read.parquet(out).collect()}
+    assert got == {1: "positive", 2: "negative", 4: "neutral"}
