@@ -62,7 +62,8 @@ class NaiveBayesModel:
 
 
 def fit_naive_bayes(train: DataFrame, classes: tuple[str, ...],
-                    text_col: str = "clean_comment", label_col: str = "label") -> NaiveBayesModel:
+                    text_col: str = "clean_comment", label_col: str = "label",
+                    materialize: bool = True) -> NaiveBayesModel:
     toks = explode_tokens(train, [F.col(label_col).alias("_cls")], model_tokens(F.col(text_col)), "term")
     counts = toks.groupBy("term").agg(*[
         F.sum(F.when(F.col("_cls") == c, 1).otherwise(0)).alias(f"n_{c}") for c in classes])
@@ -74,6 +75,11 @@ def fit_naive_bayes(train: DataFrame, classes: tuple[str, ...],
         F.count_if(F.col(label_col) == c).cast("double").alias(c) for c in classes],
         F.count("*").cast("double").alias("_all"))
     log_prior = {c: docs.select(F.ln(F.col(c) / F.col("_all"))).scalar() for c in classes}
+    if materialize:
+        # A trained model is written once (shared checkpoint folder) so its
+        # consumers read weights instead of re-aggregating the training set.
+        from chorus.plans.stage import stage
+        weights = stage(weights, "nb-weights")
     return NaiveBayesModel(tuple(classes), weights, log_prior)
 
 

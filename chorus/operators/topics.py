@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import vector_to_array
@@ -110,7 +111,10 @@ def fit_topics(docs: DataFrame, k: int = fv.LDA_TOPICS, max_iter: int = fv.LDA_P
     vocab = list(cvm.vocabulary)
     if not vocab:
         return None
-    bows = cvm.transform(docs)
+    # The online optimizer passes over the corpus once per iteration: keep
+    # the bag-of-words vectors (MEMORY_AND_DISK; a lost block is recomputed
+    # from the stage) instead of re-reading and re-vectorising each time.
+    bows = cvm.transform(docs).persist(StorageLevel.MEMORY_AND_DISK)
     lda = LDA(k=k, maxIter=max_iter, seed=seed, optimizer="online", featuresCol="_bow",
               learningOffset=1.0, learningDecay=0.5, subsamplingRate=1.0,
               optimizeDocConcentration=True, topicDistributionCol="_theta")

@@ -410,7 +410,7 @@ def q_phrase_retokenise(spark, sf_dir):
 @register("top_trigrams", f"""{_TOPIC}
 {O.top_ngrams_sql('pdocs', 3, fv.TOP_PHRASES)}""")
 def q_top_trigrams(spark, sf_dir):
-    return PH.top_ngrams(stage(topic_base(spark, sf_dir), "phrase-docs"), 3)
+    return PH.top_ngrams(topic_base(spark, sf_dir), 3)
 
 
 @register("top_bigrams", f"""{_NLP},
@@ -420,13 +420,13 @@ def q_top_bigrams(spark, sf_dir):
     # notebook variant: all documents (empty ones count in N), own stop list
     docs = nlp_stage(spark, sf_dir).withColumn("topic_text", F.concat_ws(" ", "token_clean"))
     docs = PH.phrase_tokens(docs, stopwords=fv.PHRASE_STOPWORDS_NOTEBOOK)
-    return PH.top_ngrams(stage(docs.select("comment_id", "vtokens"), "bigram-docs"), 2)
+    return PH.top_ngrams(docs.select("comment_id", "vtokens"), 2)
 
 
 @register("tfidf_keywords", f"""{_TOPIC}
 {O.tfidf_sql('pdocs', fv.TOP_KEYWORDS)}""")
 def q_tfidf_keywords(spark, sf_dir):
-    k = PH.tfidf_keywords(stage(topic_base(spark, sf_dir), "phrase-docs"))
+    k = PH.tfidf_keywords(topic_base(spark, sf_dir))
     return k.select("term", F.round("tfidf_score", 6).alias("tfidf_score"))
 
 
