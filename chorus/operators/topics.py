@@ -49,7 +49,9 @@ def topic_text(df: DataFrame, stopwords: list[str], col: str = "token_clean",
     """Op 36: topic tokens joined by a space; empty rows dropped."""
     out = add_topic_tokens(df, stopwords, col).withColumn(
         "topic_text", F.concat_ws(" ", "token_clean_topic"))
-    return out.filter(F.length("topic_text") > 0) if drop_empty else out
+    # tokens are non-empty, so an empty list <=> an empty text; the size test
+    # is the cheaper one to evaluate where Catalyst pushes it
+    return out.filter(F.size("token_clean_topic") > 0) if drop_empty else out
 
 
 def topic_docs(df: DataFrame, stopwords: list[str], col: str = "token_clean") -> DataFrame:

@@ -63,9 +63,35 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+_CREATED: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint dir (never a machine-local
     temp folder on a cluster).  Used for stage tables, model files and sink
-    read-backs."""
+    read-backs.  The path is recorded so ``release_scratch`` can drop it."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/chorus-{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/chorus-{name}-{uuid.uuid4().hex[:12]}"
+    _CREATED.append(path)
+    return path
+
+
+def scratch_mark() -> int:
+    return len(_CREATED)
+
+
+def release_scratch(spark: SparkSession, since: int = 0) -> int:
+    """Delete the folders this process created (from mark ``since`` on)
+    through the Hadoop FileSystem API.  Only recorded paths are touched;
+    call it once their DataFrames are no longer read."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    done = 0
+    while len(_CREATED) > since:
+        path = _CREATED.pop()
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(conf)
+        if fs.exists(p):
+            fs.delete(p, True)
+            done += 1
+    return done
