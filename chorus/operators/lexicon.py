@@ -114,22 +114,20 @@ def lexicon_sums(df: DataFrame, lexicon: DataFrame | None = None,
     base = df.select(F.col(id_col).alias("_id"), vader_tokens(text).alias("_toks"),
                      (ep + qa).alias("_amp"))
     n_caps = F.size(F.filter("_toks", is_all_caps))
-    # Per-comment flags first: the generate below then carries only scalars,
-    # never the token array itself (copying it into every exploded row would
-    # be quadratic in the length of the text).
     flags = base.select(
         "_id", "_toks", "_amp",
         ((n_caps > 0) & (n_caps < F.size("_toks"))).alias("_capdiff"),
         (F.array_position(F.transform("_toks", F.lower), "but") - 1).alias("_but"),
     )
-    ctx = flags.select(
-        "_id", "_amp", "_capdiff", "_but",
-        F.inline_outer(F.transform("_toks", lambda t, i: F.struct(
-            i.alias("pos"), t.alias("tok"),
-            F.get("_toks", i - 1).alias("p1"), F.get("_toks", i - 2).alias("p2"),
-            F.get("_toks", i - 3).alias("p3")))),
-    ).filter(F.col("pos").isNotNull())     # outer form: no inferred filter pushed into the scan
-    hits = ctx.join(lex, F.lower(F.col("tok")) == F.col("_lt"))
+    # posexplode (outer form: no inferred size filter pushed into the scan),
+    # broadcast join to the lexicon, and only then the three neighbours of
+    # each hit.  The token array is dropped in the same fused stage, so it is
+    # never copied into the exploded rows.
+    ctx = flags.select("_id", "_toks", "_amp", "_capdiff", "_but",
+                       F.posexplode_outer("_toks").alias("pos", "tok")).filter(F.col("pos").isNotNull())
+    hits = ctx.join(lex, F.lower(F.col("tok")) == F.col("_lt")).select(
+        "_id", "_amp", "_capdiff", "_but", "pos", "tok", "_val",
+        *[F.get("_toks", F.col("pos") - d).alias(f"p{d}") for d in (1, 2, 3)])
     v0 = F.col("_val")
     hits = hits.withColumn("_v0", F.when(
         is_all_caps(F.col("tok")) & F.col("_capdiff"),
