@@ -33,7 +33,10 @@ def dedup_keep_first(df: DataFrame, col: str = "clean_comment",
     against the row number so Catalyst cannot push it below the cleaning
     projection, which would run the cleaning regexes twice per row.
     """
-    w = Window.partitionBy(col).orderBy(F.col(order_col))
+    # The 64-bit hash leads the key: the shuffle and the sort compare a long
+    # prefix first and touch the full text only on a hash tie; the text stays
+    # in the key, so equal hashes of different texts are never merged.
+    w = Window.partitionBy(F.xxhash64(col), col).orderBy(F.col(order_col))
     rn = F.col("_rn")
     keep = rn <= 1
     if drop_empty:
