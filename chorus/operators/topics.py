@@ -120,7 +120,10 @@ def fit_topics(docs: DataFrame, k: int = fv.LDA_TOPICS, max_iter: int = fv.LDA_P
     lda = LDA(k=k, maxIter=max_iter, seed=seed, optimizer="online", featuresCol="_bow",
               learningOffset=1.0, learningDecay=0.5, subsamplingRate=1.0,
               optimizeDocConcentration=True, topicDistributionCol="_theta")
-    model = lda.fit(bows)
+    try:
+        model = lda.fit(bows)
+    finally:
+        bows.unpersist()
 
     words = spark.createDataFrame(list(enumerate(vocab)), "term_index INT, term STRING")
     desc = model.describeTopics(max(topn, 10))
@@ -136,7 +139,7 @@ def fit_topics(docs: DataFrame, k: int = fv.LDA_TOPICS, max_iter: int = fv.LDA_P
     prior_score = alpha[prior_id] / sum(alpha)
     # Spark gives an empty bag an all-zero topic vector (K values, small).
     theta = vector_to_array(F.col("_theta"))
-    assigned = model.transform(bows).withColumn("_th", theta)
+    assigned = model.transform(cvm.transform(docs)).withColumn("_th", theta)
     nonzero = F.array_max("_th") > 0
     assigned = assigned.withColumns({
         "topic_id": F.when(nonzero, F.array_position("_th", F.array_max("_th")) - 1)
