@@ -19,7 +19,7 @@ from chorus.session import get_session, release_scratch, scratch_mark  # noqa: E
 
 HEADLINE = {
     "clean_dedup": "prepare_comments",
-    "lexicon_split": "label_distribution",
+    "lexicon_split": "lexicon_split",
     "model_comparison": "model_comparison",
     "top_words": "top_words",
     "trigrams": "top_trigrams",

@@ -171,6 +171,16 @@ def q_label_distribution(spark, sf_dir):
     return d.select("model", "sentiment_label", "comment_count", F.round("share", 6).alias("share"))
 
 
+@register("lexicon_split", f"""{O.BASE},
+{O.lexicon_ctes()}
+SELECT sentiment_label, comment_count, round(comment_count / sum(comment_count) OVER (), 6) AS share
+FROM (SELECT lexicon_label AS sentiment_label, count(*) AS comment_count FROM lex_scored GROUP BY 1)""")
+def q_lexicon_split(spark, sf_dir):
+    """Ops 10, 13, 14, 19 for the lexicon model alone: how comments split."""
+    d = R.label_distribution(lexicon_results(spark, sf_dir), models=("lexicon",))
+    return d.select("sentiment_label", "comment_count", F.round("share", 6).alias("share"))
+
+
 _WIDE = f"""wide AS (
   SELECT sentiment_label,
          count_if(model = 'lexicon') AS lexicon_count,
@@ -234,7 +244,8 @@ def nlp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nlp_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stage(nlp(spark, sf_dir), "nlp")
+    """The token table, written once; its readers need no raw text fields."""
+    return stage(nlp(spark, sf_dir).drop("comment", "date", "like_count", "author"), "nlp")
 
 
 _NLP = f"""{O.BASE},
