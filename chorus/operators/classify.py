@@ -124,9 +124,45 @@ def naive_bayes_scores(df: DataFrame, model: NaiveBayesModel, prefix: str,
     return finish_naive_bayes(df.join(sums, id_col, "left"), model, prefix)
 
 
+def _scheme_label(scheme: str):
+    if scheme == "binary":
+        return F.when(F.col("quality") == 1, "positive").otherwise("negative")
+    if scheme == "ternary":
+        return (F.when(F.col("toxic") == 1, "negative")
+                .when(F.col("quality") == 1, "positive").otherwise("neutral"))
+    raise ValueError(scheme)
+
+
+def fit_schemes(df: DataFrame, labels: DataFrame, schemes=("binary", "ternary"),
+                text_col: str = "clean_comment", id_col: str = "comment_id") -> dict[str, NaiveBayesModel]:
+    """Train several label schemes on the same labelled texts in one pass:
+    one explode, one aggregate of per-(scheme, class) counts per term, written
+    once; each scheme's weights and priors are then read off that table."""
+    from chorus.plans.stage import stage
+    lab = labels.select(F.col("doc_id").alias(id_col), "quality", "toxic")
+    train = df.select(id_col, text_col).join(lab, id_col).select(
+        text_col, *[_scheme_label(s).alias(f"_y_{s}") for s in schemes])
+    toks = explode_tokens(train, [f"_y_{s}" for s in schemes], model_tokens(F.col(text_col)), "term")
+    counts = stage(toks.groupBy("term").agg(*[
+        F.sum(F.when(F.col(f"_y_{s}") == c, 1).otherwise(0)).alias(f"n_{s}_{c}")
+        for s in schemes for c in CLASSES[s]]), "nb-counts")
+    vocab = counts.select(F.count("*").cast("double")).scalar()
+    docs = train.agg(*[F.count_if(F.col(f"_y_{s}") == c).cast("double").alias(f"d_{s}_{c}")
+                       for s in schemes for c in CLASSES[s]], F.count("*").cast("double").alias("_all"))
+    models = {}
+    for s in schemes:
+        cs = CLASSES[s]
+        totals = {c: counts.select(F.sum(f"n_{s}_{c}").cast("double")).scalar() for c in cs}
+        weights = counts.select("term", *[
+            F.ln((F.col(f"n_{s}_{c}") + 1.0) / (totals[c] + vocab)).alias(f"lp_{c}") for c in cs])
+        log_prior = {c: docs.select(F.ln(F.col(f"d_{s}_{c}") / F.col("_all"))).scalar() for c in cs}
+        models[s] = NaiveBayesModel(cs, weights, log_prior)
+    return models
+
+
 def fit_scheme(df: DataFrame, labels: DataFrame, scheme: str,
                text_col: str = "clean_comment") -> NaiveBayesModel:
-    return fit_naive_bayes(training_labels(df, labels, scheme), CLASSES[scheme], text_col=text_col)
+    return fit_schemes(df, labels, (scheme,), text_col=text_col)[scheme]
 
 
 def classifier_scores(df: DataFrame, labels: DataFrame, scheme: str,

@@ -22,7 +22,7 @@ def sentiment_results(prepared: DataFrame, labels: DataFrame,
     """
     key = prepared.select(id_col, "clean_comment")
     lx = LX.lexicon_sums(key, lexicon, id_col=id_col)
-    models = {s: CL.fit_scheme(prepared, labels, s) for s in ("binary", "ternary")}
+    models = CL.fit_schemes(prepared, labels, ("binary", "ternary"), id_col=id_col)
     out = prepared.join(lx, id_col, "left")
     for s, m in models.items():
         out = out.join(CL.naive_bayes_sums(key, m, s, id_col=id_col), id_col, "left")
