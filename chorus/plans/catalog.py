@@ -92,6 +92,22 @@ def q_prepare(spark, sf_dir):
                                           "like_count", "author", "clean_comment")
 
 
+@register("notebook_lexicon_labels", f"""WITH short AS (
+  SELECT conv_id * 1000 + turn AS comment_id, 'conv' || conv_id AS video_id, text AS comment
+  FROM conversations WHERE role = 'user'),
+prepared AS (SELECT comment_id, {O.clean_sql('comment', strict=False)} AS clean_comment FROM short),
+{O.lexicon_ctes()}
+SELECT comment_id, round(lexicon_score, 6) AS lexicon_score,
+       upper(left(lexicon_label, 1)) || substr(lexicon_label, 2) AS lexicon_label
+FROM lex_scored""")
+def q_notebook_lexicon(spark, sf_dir):
+    """Notebook variant on short comments: light cleaning (ops 7), no
+    drop/de-dup, title-case labels (op 14 option)."""
+    c = C.prepare_comments(S.short_comments(spark, sf_dir), strict=False, dedup=False)
+    r = LX.lexicon_scores(stage(c, "short"), title_case=True)
+    return r.select("comment_id", F.round("lexicon_score", 6).alias("lexicon_score"), "lexicon_label")
+
+
 # ---------------------------------------------------------------- 2.3 lexicon
 
 @register("lexicon_score", f"""{O.BASE},
