@@ -126,10 +126,9 @@ def lemma_of(t: Column) -> Column:
             .otherwise(t))
 
 
-def model_tokens(c: ColumnOrName, max_tokens: int = fv.MAX_MODEL_TOKENS) -> Column:
-    """Classifier input: lower-cased letter/digit runs, cut to ``max_tokens``."""
-    toks = F.regexp_extract_all(F.lower(_c(c)), F.lit(MODEL_TOKEN_RE), 0)
-    return F.slice(toks, 1, max_tokens)
+def model_tokens(c: ColumnOrName) -> Column:
+    """Classifier input: the lower-cased letter/digit runs of the whole text."""
+    return F.regexp_extract_all(F.lower(_c(c)), F.lit(MODEL_TOKEN_RE), 0)
 
 
 def vectorizer_tokens(c: ColumnOrName) -> Column:

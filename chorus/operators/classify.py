@@ -4,8 +4,8 @@ The transformer pipelines of the analysed application cannot run offline,
 so the classifier is re-aimed as a Spark scoring job: a multinomial naive
 Bayes model trained from aggregates only (counts per class and term, class
 priors, Laplace smoothing) and applied with an explode -> join -> sum per
-comment -> softmax plan.  Input is cut to the first 512 tokens, as the
-transformer pipelines truncate at 512.
+comment -> softmax plan.  Whole texts are trained on and scored: the input
+limit of the transformer pipelines is theirs, a sum over tokens has none.
 
 * binary:  positive / negative
 * ternary: positive / neutral / negative
@@ -36,24 +36,6 @@ CLASSES = {
 }
 
 
-def training_labels(comments: DataFrame, labels: DataFrame, scheme: str,
-                    id_col: str = "comment_id") -> DataFrame:
-    """Join comments to ``labels(doc_id, quality, toxic)`` and derive the class.
-
-    binary: quality=1 positive, else negative.  ternary: toxic=1 negative;
-    quality=1 (not toxic) positive; else neutral.
-    """
-    lab = labels.select(F.col("doc_id").alias(id_col), "quality", "toxic")
-    if scheme == "binary":
-        cls = F.when(F.col("quality") == 1, "positive").otherwise("negative")
-    elif scheme == "ternary":
-        cls = (F.when(F.col("toxic") == 1, "negative")
-               .when(F.col("quality") == 1, "positive").otherwise("neutral"))
-    else:
-        raise ValueError(scheme)
-    return comments.join(lab, id_col).withColumn("label", cls)
-
-
 @dataclass
 class NaiveBayesModel:
     classes: tuple[str, ...]
@@ -61,28 +43,6 @@ class NaiveBayesModel:
     log_prior: dict[str, Column]    # scalar subqueries
 
 
-def fit_naive_bayes(train: DataFrame, classes: tuple[str, ...],
-                    text_col: str = "clean_comment", label_col: str = "label",
-                    materialize: bool = True) -> NaiveBayesModel:
-    toks = explode_tokens(train, [F.col(label_col).alias("_cls")], model_tokens(F.col(text_col)), "term")
-    counts = toks.groupBy("term").agg(*[
-        F.sum(F.when(F.col("_cls") == c, 1).otherwise(0)).alias(f"n_{c}") for c in classes])
-    vocab = counts.select(F.count("*").cast("double")).scalar()
-    totals = {c: counts.select(F.sum(f"n_{c}").cast("double")).scalar() for c in classes}
-    weights = counts.select("term", *[
-        F.ln((F.col(f"n_{c}") + 1.0) / (totals[c] + vocab)).alias(f"lp_{c}") for c in classes])
-    docs = train.groupBy().agg(*[
-        F.count_if(F.col(label_col) == c).cast("double").alias(c) for c in classes],
-        F.count("*").cast("double").alias("_all"))
-    log_prior = {c: docs.select(F.ln(F.col(c) / F.col("_all"))).scalar() for c in classes}
-    if materialize:
-        # A trained model is written once (shared checkpoint folder) so its
-        # consumers read weights instead of re-aggregating the training set.
-        from chorus.plans.stage import stage
-        weights = stage(weights, "nb-weights")
-    return NaiveBayesModel(tuple(classes), weights, log_prior)
-
-
 def naive_bayes_sums(df: DataFrame, model: NaiveBayesModel, prefix: str,
                      text_col: str = "clean_comment", id_col: str = "comment_id") -> DataFrame:
     """Keyed partial result ``(<id_col>, <prefix>_s_<class>..., <prefix>_m)``
@@ -183,17 +143,7 @@ def export_model(model: NaiveBayesModel, path: str) -> str:
     return path
 
 
-def _read_parquet(path: str):
-    import pyarrow.dataset as ds
-    from pyarrow import fs as pafs
-    if "://" in path and not path.startswith("file:"):
-        filesystem, p = pafs.FileSystem.from_uri(path)
-    else:
-        filesystem, p = None, path.removeprefix("file://").removeprefix("file:")
-    return ds.dataset(p, filesystem=filesystem, format="parquet").to_table()
-
-
-def make_predict_fn(path: str, classes: tuple[str, ...], max_tokens: int = 512):
+def make_predict_fn(path: str, classes: tuple[str, ...]):
     """``make_predict_fn`` for ``predict_batch_udf``: loads the exported
     model once per Python worker and scores batches of texts with NumPy.
     Same tokens, smoothing and tie rule as ``naive_bayes_scores``."""
@@ -202,6 +152,16 @@ def make_predict_fn(path: str, classes: tuple[str, ...], max_tokens: int = 512):
         import re
 
         import numpy as np
+        import pyarrow.dataset as ds
+        from pyarrow import fs as pafs
+
+        def _read_parquet(p):
+            if "://" in p and not p.startswith("file:"):
+                filesystem, p = pafs.FileSystem.from_uri(p)
+            else:
+                filesystem, p = None, p.removeprefix("file://").removeprefix("file:")
+            return ds.dataset(p, filesystem=filesystem, format="parquet").to_table()
+
         w = _read_parquet(f"{path}/weights").to_pandas()
         pri = _read_parquet(f"{path}/priors").to_pandas()
         prior = np.array([float(pri[c].iloc[0]) for c in classes])
@@ -214,10 +174,13 @@ def make_predict_fn(path: str, classes: tuple[str, ...], max_tokens: int = 512):
         def predict(texts):
             n = len(texts)
             z = np.tile(prior, (n, 1))
-            for r, t in enumerate(texts):
-                rows = [index[x] for x in pat.findall(str(t).lower())[:max_tokens] if x in index]
-                if rows:
-                    z[r] += mat[rows].sum(axis=0) / len(rows)
+            found = [[i for i in map(index.get, pat.findall(str(t).lower())) if i is not None] for t in texts]
+            sizes = np.array([len(f) for f in found])
+            hit = np.flatnonzero(sizes)
+            if hit.size:
+                flat = np.fromiter((i for f in found for i in f), dtype=np.int64, count=int(sizes.sum()))
+                starts = np.concatenate(([0], np.cumsum(sizes[hit])[:-1]))
+                z[hit] += np.add.reduceat(mat[flat], starts, axis=0) / sizes[hit, None]
             e = np.exp(z - z.max(axis=1, keepdims=True))
             p = e / e.sum(axis=1, keepdims=True)
             best = order[np.argmax(p[:, order], axis=1)]

@@ -10,7 +10,6 @@ aggregation, so frequent words do not concentrate rows in one task.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,30 +17,9 @@ from chorus.data import fixed_values as fv
 from chorus.functions.text import explode_tokens, lemma_of, simple_tokens, word_tokens
 
 
-_STOPWORDS: list[str] = []
-
-
 def general_stopwords() -> list[str]:
-    """The general English stop list: Spark ML's built-in list, read from
-    the installed spark-mllib jar (no JVM needed), else from the JVM."""
-    if not _STOPWORDS:
-        import glob
-        import os
-        import zipfile
-
-        import pyspark
-        jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-        words: list[str] = []
-        for j in jars:
-            with zipfile.ZipFile(j) as z:
-                name = "org/apache/spark/ml/feature/stopwords/english.txt"
-                if name in z.namelist():
-                    words = [w.strip() for w in z.read(name).decode("utf-8").splitlines() if w.strip()]
-                    break
-        if not words:
-            words = list(StopWordsRemover.loadDefaultStopWords("english"))
-        _STOPWORDS.extend(words)
-    return list(_STOPWORDS)
+    """The general English stop list (Spark ML's 181 words, a fixed list)."""
+    return list(fv.ENGLISH_STOPWORDS)
 
 
 def add_simple_tokens(df: DataFrame, text_col: str = "clean_comment", out: str = "tokens") -> DataFrame:

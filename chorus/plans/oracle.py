@@ -143,7 +143,7 @@ def nb_ctes(scheme: str, src: str = "prepared") -> str:
         lab = "CASE WHEN l.quality = 1 THEN 'positive' ELSE 'negative' END"
     else:
         lab = "CASE WHEN l.toxic = 1 THEN 'negative' WHEN l.quality = 1 THEN 'positive' ELSE 'neutral' END"
-    toks = "unnest(regexp_extract_all(lower(clean_comment), '[a-z0-9]+')[1:512])"
+    toks = "unnest(regexp_extract_all(lower(clean_comment), '[a-z0-9]+'))"
     order = sorted(cs)
     arg = "CASE " + " ".join(
         f"WHEN {' AND '.join(f'e_{c} >= e_{o}' for o in order[i + 1:]) or 'true'} THEN '{c}'"

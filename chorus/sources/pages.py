@@ -109,7 +109,3 @@ def multi_video(df: DataFrame, video_ids: str | Iterable[str], col: str = "video
     """Op 5: keep the rows of one or several videos (a pushed-down ``IN``)."""
     ids = [video_ids] if isinstance(video_ids, str) else list(video_ids)
     return df.filter(F.col(col).isin(ids))
-
-
-def id_column(c: Column) -> Column:  # pragma: no cover - convenience alias
-    return _video_id_expr(c)
