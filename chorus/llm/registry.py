@@ -3,12 +3,13 @@ where SQL can express them."""
 
 from __future__ import annotations
 
-from chorus.llm import exact_dedup, language_id
+from chorus.llm import exact_dedup, language_id, packing
 
 
 def queries() -> dict:
     return {
         "op1_language_id": language_id.op1_language_id,
+        "op5_packing": packing.op5_packing,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     }
 
