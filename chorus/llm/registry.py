@@ -3,13 +3,15 @@ where SQL can express them."""
 
 from __future__ import annotations
 
-from chorus.llm import exact_dedup, language_id, packing
+from chorus.llm import exact_dedup, language_id, line_crf, packing, quality_model
 
 
 def queries() -> dict:
     return {
         "op1_language_id": language_id.op1_language_id,
+        "op3_quality_classifier": quality_model.op3_quality_classifier,
         "op5_packing": packing.op5_packing,
+        "op7_quality_rules": line_crf.op7_quality_rules,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     }
 
