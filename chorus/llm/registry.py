@@ -3,14 +3,16 @@ where SQL can express them."""
 
 from __future__ import annotations
 
-from chorus.llm import exact_dedup, language_id, line_crf, packing, quality_model
+from chorus.llm import exact_dedup, language_id, line_crf, packing, quality_model, url_filter, warc
 
 
 def queries() -> dict:
     return {
         "op1_language_id": language_id.op1_language_id,
         "op3_quality_classifier": quality_model.op3_quality_classifier,
+        "op4_url_filter": url_filter.op4_url_filter,
         "op5_packing": packing.op5_packing,
+        "op6_warc": warc.op6_warc,
         "op7_quality_rules": line_crf.op7_quality_rules,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     }
