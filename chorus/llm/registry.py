@@ -3,12 +3,13 @@ where SQL can express them."""
 
 from __future__ import annotations
 
-from chorus.llm import exact_dedup, language_id, line_crf, packing, quality_model, url_filter, warc
+from chorus.llm import exact_dedup, language_id, line_crf, packing, pieces, quality_model, url_filter, warc
 
 
 def queries() -> dict:
     return {
         "op1_language_id": language_id.op1_language_id,
+        "op2_sentencepiece": pieces.op2_sentencepiece,
         "op3_quality_classifier": quality_model.op3_quality_classifier,
         "op4_url_filter": url_filter.op4_url_filter,
         "op5_packing": packing.op5_packing,
