@@ -3,7 +3,7 @@ where SQL can express them."""
 
 from __future__ import annotations
 
-from chorus.llm import exact_dedup, jaccard_join, language_id, line_crf, packing, pieces, quality_model, url_filter, warc
+from chorus.llm import exact_dedup, jaccard_join, language_id, line_crf, packing, pieces, quality_model, suffix_dedup, url_filter, warc
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op5_packing": packing.op5_packing,
         "op6_warc": warc.op6_warc,
         "op7_quality_rules": line_crf.op7_quality_rules,
+        "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_jaccard_join": jaccard_join.op10_jaccard_join,
     }
