@@ -253,7 +253,11 @@ def compare_salts(min_len: int):
         if not parts:
             return
         w = np.concatenate(parts)
-        w = w[np.argsort(w["hash"], kind="stable")]
+        # one window may come by several of its anchors: it is no equal of itself
+        w = w[np.lexsort((w["start"], w["ref"], w["hash"]))]
+        fresh = np.ones(len(w), dtype=bool)
+        fresh[1:] = (w["hash"][1:] != w["hash"][:-1]) | (w["ref"][1:] != w["ref"][:-1]) | (w["start"][1:] != w["start"][:-1])
+        w = w[fresh]
         same = w["hash"][1:] == w["hash"][:-1]
         hit = np.zeros(len(w), dtype=bool)
         hit[1:] |= same
