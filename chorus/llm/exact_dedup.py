@@ -35,6 +35,7 @@ from chorus.plans.stage import stage
 
 FAN_IN = 8
 ROWS_PER_PARTITION = 200_000
+BROADCAST_ROWS = 300_000        # rows of some fifty bytes that may be broadcast
 RUN = "digest binary, n_bytes bigint, best_id bigint, best_row bigint, group_size bigint, home int"
 
 
@@ -119,6 +120,26 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kee
                       F.lower(F.hex("digest")).alias("text_sha256"), "row_no")
 
 
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: str = "largest") -> DataFrame:
+    """The documents, of equal texts only the row that stays.  The rows to
+    drop are few as a rule: their list is broadcast if it is short."""
+    rows = stage(digests(docs, doc_id, text), "digests")
+    groups = merged_groups(rows, keep)
+    judged = rows.join(groups, ["digest", "n_bytes"]).filter("group_size > 1")
+    same = judged.groupBy(F.col("doc_id").alias("_drop_id"), F.col("digest").alias("_drop_digest")).agg(
+        (~F.max(F.col("row_no") == F.col("best_row"))).alias("_gone"), F.count("*").alias("_times"))
+    same = stage(same.filter("_gone or _times > 1"), "drop")
+    few = same.count() <= BROADCAST_ROWS
+    digest = F.unhex(F.sha2(full_text(text).cast("binary"), 256))
+    match = F.col(doc_id).eqNullSafe(F.col("_drop_id")) & (digest == F.col("_drop_digest"))
+    out = docs.join(F.broadcast(same) if few else same, match, "left").filter("_gone is null or not _gone")
+    once = out.filter("_times is null or _times = 1")
+    if not same.filter("not _gone").isEmpty():           # rows that repeat both id and text: one of them
+        again = out.filter("_times > 1").dropDuplicates(["_drop_id", "_drop_digest"])
+        once = once.unionByName(again)
+    return once.select(*[once[c] for c in docs.columns])
+
+
 def op9_exact_dedup(spark, sf_dir):
     return deduplicate(table(spark, sf_dir, "documents")).drop("row_no")
 

@@ -32,7 +32,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chorus.llm.common import ByteHashes, full_text, mix64, slices_by_size, table, utf8_buffers
@@ -285,6 +285,11 @@ def merged(spans: list) -> list:
     return out
 
 
+def text_ref(t: Column) -> Column:
+    """Sixty bits of the text's SHA-256 name it."""
+    return F.conv(F.substring(F.sha2(t.cast("binary"), 256), 1, 15), 16, 10).cast("bigint")
+
+
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_len: int = MIN_LEN, group_cap: int = GROUP_CAP):
     """``(rows, copies, spans)``: the documents as ``doc_id, ref, text``, the
     classes of several long texts, and the merged spans of the texts that
@@ -293,7 +298,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     left = min_len - gram
     t = full_text(text)
     rows = docs.select(F.col(doc_id).alias("doc_id"), t.alias("text"), F.octet_length(t).cast("bigint").alias("n_bytes"),
-                       F.conv(F.substring(F.sha2(t.cast("binary"), 256), 1, 15), 16, 10).cast("bigint").alias("ref"))
+                       text_ref(t).alias("ref"))
     long = rows.filter(F.col("n_bytes") >= min_len)
     copies = stage(long.groupBy("ref", "n_bytes").agg(F.count("*").alias("copies"), F.min("doc_id").alias("stands")).filter("copies > 1"), "copies")
     few = copies.count() <= BROADCAST_ROWS
@@ -325,25 +330,51 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return rows, copies, stage(spans, "merged-spans")
 
 
+def all_cuts(copies: DataFrame, spans: DataFrame):
+    """``ref, spans`` of every text that loses bytes, and whether the table
+    is short enough to be broadcast."""
+    gone = copies.select("ref", F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.col("n_bytes").alias("stop"))).alias("spans"))
+    cuts = gone.unionByName(spans.join(gone, "ref", "left_anti"))
+    size = cuts.agg(F.count("*").alias("r"), F.coalesce(F.sum(F.size("spans")), F.lit(0)).alias("n")).first()
+    return cuts, size.r <= BROADCAST_ROWS and size.n <= BROADCAST_POSITIONS
+
+
+def without(raw: bytes, spans: list | None) -> bytes:
+    if not spans:
+        return raw
+    ends = [0] + [x["stop"] for x in spans]
+    return b"".join(raw[a:b] for a, b in zip(ends, [x["start"] for x in spans] + [len(raw)]))
+
+
+def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chars: str = "n_chars") -> DataFrame:
+    """The documents with the repeated passages cut from their texts (bytes
+    of a character cut in two go with them) and ``chars``, if there, counted
+    anew; documents of which nothing is left go."""
+    rows, copies, spans = repeated_spans(docs, doc_id, text)
+    cuts, few = all_cuts(copies, spans)
+    cuts = cuts.select(F.col("ref").alias("_cut_ref"), F.col("spans").alias("_cut_spans"))
+
+    @F.arrow_udf("string")
+    def left_over(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        return pa.array([without(t.as_py().encode(), s).decode("utf-8", "ignore") for t, s in zip(texts, spans.to_pylist())], pa.string())
+
+    out = docs.join(F.broadcast(cuts) if few else cuts, text_ref(full_text(text)) == F.col("_cut_ref"), "left")
+    cut = out.filter("_cut_ref is not null").withColumn(text, left_over(full_text(text), "_cut_spans")).filter(F.length(text) > 0)
+    if chars in docs.columns:
+        cut = cut.withColumn(chars, F.length(text).cast(docs.schema[chars].dataType))
+    return out.filter("_cut_ref is null").select(*docs.columns).unionByName(cut.select(*docs.columns))
+
+
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_len: int = MIN_LEN, group_cap: int = GROUP_CAP) -> DataFrame:
     """``doc_id, n_bytes, spans, kept`` (the remaining bytes) of every
     document."""
     rows, copies, spans = repeated_spans(docs, doc_id, text, min_len, group_cap)
-    gone = copies.select("ref", F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.col("n_bytes").alias("stop"))).alias("spans"))
-    cuts = gone.unionByName(spans.join(gone, "ref", "left_anti"))
-    size = cuts.agg(F.count("*").alias("r"), F.coalesce(F.sum(F.size("spans")), F.lit(0)).alias("n")).first()
-    small = size.r <= BROADCAST_ROWS and size.n <= BROADCAST_POSITIONS
+    cuts, small = all_cuts(copies, spans)
     out = rows.join(F.broadcast(cuts) if small else cuts, "ref", "left")
 
     @F.arrow_udf("binary")
     def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        out = []
-        for t, s in zip(texts, spans.to_pylist()):
-            raw = t.as_py().encode()
-            if s:
-                ends = [0] + [x["stop"] for x in s]
-                raw = b"".join(raw[a:b] for a, b in zip(ends, [x["start"] for x in s] + [len(raw)]))
-            out.append(raw)
+        out = [without(t.as_py().encode(), s) for t, s in zip(texts, spans.to_pylist())]
         return pa.array(out, pa.binary())
 
     kept = F.when(F.col("spans").isNull(), F.col("text").cast("binary")).otherwise(cut("text", "spans"))
