@@ -43,8 +43,8 @@ MIN_LEN = 400
 GRAM_SHARE = 5                  # a gram is a fifth of the string's length
 BLOCK = 64
 GROUP_CAP = 2000
-CHUNK = 1 << 22                 # bytes handled at a time; positions take 22 bits
-TASK_CONTEXTS = 4000            # contexts sorted together, unless one group is larger
+CHUNK = 1 << 20                 # bytes handled at a time; positions take 20 bits
+TASK_CONTEXTS = 3000            # contexts sorted together, unless one group is larger
 BUCKETS = 256
 BROADCAST_ROWS = 300_000
 BROADCAST_POSITIONS = 2_000_000
