@@ -49,7 +49,7 @@ CLASS_RATIO = 0.6              # lower / upper size of a size class
 LEAF = 400
 PIVOTS = 8
 FAMILY_CAP = 3000
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 1_000_000
 BROADCAST_ROWS = 300_000       # rows of some forty bytes that may be broadcast
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32

@@ -39,7 +39,7 @@ SAMPLE_DOCS = 64
 MAX_LANGS = 64
 MAX_LETTERS = 400
 SEGMENT = 1024
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 2_000_000
 UNKNOWN = "und"
 # A text in a learned language is parsed into phrases of several letters;
 # below this mean length its letters fit no learned language.

@@ -32,7 +32,7 @@ from chorus.llm.textstats import TextStats
 SAMPLE_DOCS = 3000
 SAMPLE_BYTES = 16_000
 FIT_STEPS = 200
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 1_000_000
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MIN_CONTENT_SHARE = 0.5

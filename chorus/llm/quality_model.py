@@ -32,7 +32,7 @@ SAMPLE_DOCS = 4000
 SAMPLE_BYTES = 16_000
 BUCKETS = 1 << 14
 GRAMS = (2, 4)
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 EM_STEPS = 200
 FIT_STEPS = 300
 KEEP_AT = 0.5
