@@ -44,7 +44,7 @@ GRAM_SHARE = 5                  # a gram is a fifth of the string's length
 BLOCK = 64
 GROUP_CAP = 2000
 CHUNK = 1 << 20                 # bytes handled at a time; positions take 20 bits
-TASK_CONTEXTS = 3000            # contexts sorted together, unless one group is larger
+TASK_CONTEXTS = 1500            # contexts sorted together, unless one group is larger
 BUCKETS = 256
 BROADCAST_ROWS = 300_000
 BROADCAST_POSITIONS = 2_000_000
@@ -226,7 +226,7 @@ def settle_groups(min_len: int, left: int):
 
     def run(batches):
         held = {c: [] for c in names}
-        for batch in batches:
+        for batch in (b.slice(a, TASK_CONTEXTS) for b in batches for a in range(0, b.num_rows, TASK_CONTEXTS)):
             for c in names:
                 held[c].extend(batch.column(c).to_pylist())
             n = len(held["anchor"])
@@ -305,7 +305,8 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     held = copies.select("ref", "stands", "copies")
     one = long.join(F.broadcast(held) if few else held, "ref", "left").filter(
         F.col("copies").isNull() | F.col("doc_id").eqNullSafe(F.col("stands"))).select("ref", "text")
-    anchors = one.mapInArrow(find_anchors(min_len, gram), "anchor bigint, ref bigint, pos bigint").repartition("anchor")
+    anchors = one.mapInArrow(find_anchors(min_len, gram), "anchor bigint, ref bigint, pos bigint")
+    anchors = stage(anchors, "anchors").repartition("anchor")        # counted and joined: read twice, made once
     often = anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select(
         "anchor", F.ceil(F.col("n") / group_cap).cast("int").alias("salts"))
     spots = anchors.join(often.hint("shuffle_hash"), "anchor").groupBy("ref").agg(F.collect_list(F.struct("anchor", "pos", "salts")).alias("spots"))
