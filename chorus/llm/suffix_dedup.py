@@ -94,13 +94,46 @@ def _chunk_anchors(data: np.ndarray, bounds: np.ndarray, min_len: int, gram: int
     return row, pick - bounds[row], h[pick]
 
 
+def periodic_runs(row: np.ndarray, place: np.ndarray, h: np.ndarray, min_len: int, gram: int):
+    """``(drop, row, start, stop)``.  Equal anchors at a steady distance of
+    at most a gram lie in periodic text.  Where such a run holds every window
+    twice, it is a span of its own; of its anchors the first two, whose
+    windows show the whole period, stay for other texts to meet, and those
+    whose windows reach past its end; the others go."""
+    drop = np.zeros(len(row), dtype=bool)
+    gap = np.diff(place)
+    link = (np.diff(row) == 0) & (h[1:] == h[:-1]) & (gap <= gram)
+    at = np.flatnonzero(link)
+    if not len(at):
+        z = np.zeros(0, np.int64)
+        return drop, z, z, z
+    new = np.concatenate(([True], (np.diff(at) > 1) | (np.diff(gap[at]) != 0)))
+    head = at[new]
+    tail = at[np.append(np.flatnonzero(new)[1:], len(at)) - 1] + 1
+    start, stop = place[head], place[tail] + gram
+    long = stop - start >= min_len + gap[head]
+    head, tail, start, stop = head[long], tail[long], start[long], stop[long]
+    for a, b, end in zip(head.tolist(), tail.tolist(), stop.tolist()):
+        drop[a + 2:b + 1] = place[a + 2:b + 1] + min_len <= end
+    return drop, row[head], start, stop
+
+
 def find_anchors(min_len: int, gram: int):
+    """Anchors, and with a null anchor the spans of periodic runs."""
+
     def run(batches):
         for batch in batches:
             data, offsets = utf8_buffers(batch.column("text"))
             row, place, h = anchors_of(data, offsets, min_len, gram)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column("ref").take(pa.array(row)), pa.array(place)],
-                                             names=["anchor", "ref", "pos"])
+            drop, r, start, stop = periodic_runs(row, place, h, min_len, gram)
+            row, place, h = row[~drop], place[~drop], h[~drop]
+            n, k = len(row), len(r)
+            none = np.ones(n + k, dtype=bool)
+            none[:n] = False
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([h.view(np.int64), np.zeros(k, np.int64)]), mask=none),
+                 batch.column("ref").take(pa.array(np.concatenate([row, r]))), pa.array(np.concatenate([place, start])),
+                 pa.array(np.concatenate([np.zeros(n, np.int64), stop]), mask=~none)], names=["anchor", "ref", "pos", "stop"])
 
     return run
 
@@ -206,7 +239,11 @@ def settle(cols: dict, min_len: int, left: int):
         at = bounds[r] + ahead[first][r] - left + c
         w = np.zeros(len(r), dtype=WINDOW)
         w["hash"], w["ref"], w["start"], w["alone"] = hashes.ranges(at, at + min_len), ref[first][r], pos[first][r] - left + c, ~repeated[r, c]
-        w = w[np.unique(w["hash"], return_index=True)[1]]         # one of each; a window alone in its salt is there once
+        # all that are alone, and of the others two of each: one may be the very window it is compared with
+        w = w[np.lexsort((w["start"], w["ref"], w["alone"], w["hash"]))]
+        new = np.ones(len(w), dtype=bool)
+        new[1:] = (w["hash"][1:] != w["hash"][:-1]) | (w["alone"][1:] != w["alone"][:-1])
+        w = w[w["alone"] | new | np.append(new[1:], True)]
         bucket = (w["hash"] >> np.uint64(32)) % np.uint64(BUCKETS)
         for k in np.unique(bucket):
             packed.append((int(k), w[bucket == k].tobytes()))
@@ -305,20 +342,21 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     held = copies.select("ref", "stands", "copies")
     one = long.join(F.broadcast(held) if few else held, "ref", "left").filter(
         F.col("copies").isNull() | F.col("doc_id").eqNullSafe(F.col("stands"))).select("ref", "text")
-    anchors = one.mapInArrow(find_anchors(min_len, gram), "anchor bigint, ref bigint, pos bigint")
-    anchors = stage(anchors, "anchors").repartition("anchor")        # counted and joined: read twice, made once
+    anchors = one.mapInArrow(find_anchors(min_len, gram), "anchor bigint, ref bigint, pos bigint, stop bigint")
+    made = stage(anchors, "anchors")        # counted and joined: read twice, made once
+    anchors = made.filter("anchor is not null").select("anchor", "ref", "pos")
     often = anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select(
         "anchor", F.ceil(F.col("n") / group_cap).cast("int").alias("salts"))
-    spots = anchors.join(often.hint("shuffle_hash"), "anchor").groupBy("ref").agg(F.collect_list(F.struct("anchor", "pos", "salts")).alias("spots"))
+    spots = anchors.join(often, "anchor").groupBy("ref").agg(F.collect_list(F.struct("anchor", "pos", "salts")).alias("spots"))
     spots = stage(spots, "spots")
-    total = spots.agg(F.coalesce(F.sum(F.size("spots")), F.lit(0)).alias("n"), F.coalesce(F.max(F.array_max("spots.salts")), F.lit(1)).alias("salts")).first()
-    wanted = F.broadcast(spots) if total.n <= BROADCAST_POSITIONS else spots
-    contexts = one.join(wanted, "ref").mapInArrow(
+    most = spots.agg(F.coalesce(F.max(F.array_max("spots.salts")), F.lit(1)).alias("salts")).first()
+    contexts = one.join(spots, "ref").mapInArrow(
         cut_contexts(min_len, left), "anchor bigint, salt int, ref bigint, pos bigint, ahead int, context binary, salts int")
     contexts = contexts.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
     found = stage(contexts.mapInArrow(settle_groups(min_len, left), SPANS), "spans")
-    spans = found.filter("kind = 0").select("ref", "start", "stop")
-    if total.salts > 1:
+    spans = found.filter("kind = 0").select("ref", "start", "stop").unionByName(
+        made.filter("anchor is null").select("ref", F.col("pos").alias("start"), "stop"))
+    if most.salts > 1:
         across = found.filter("kind = 1").select(F.col("ref").cast("int").alias("bucket"), "packed").repartition(BUCKETS, "bucket")
         spans = spans.unionByName(across.mapInArrow(compare_salts(min_len), "ref bigint, start bigint, stop bigint"))
 
