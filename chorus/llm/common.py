@@ -14,6 +14,18 @@ WORD_GAPS = np.zeros(256, dtype=bool)
 WORD_GAPS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
+BATCH_ROWS = "1000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python in batches of ``BATCH_ROWS`` rows, a tenth of
+    Spark's default, unless the session says otherwise: a batch is held on
+    both sides of the pipe, and texts are long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chorus.llm.common import ByteHashes, mix64, slices_by_size, table, utf8_buffers, word_bounds
+from chorus.llm.common import ByteHashes, mix64, slices_by_size, small_batches, table, utf8_buffers, word_bounds
 from chorus.llm.components import connected_components
 from chorus.plans.stage import stage
 
@@ -293,6 +293,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     num: int = NUM, den: int = DEN, family_cap: int = FAMILY_CAP) -> DataFrame:
     """``doc_id, n_shingles, component_id, class_size, n_links`` of every
     document; ``n_links`` counts the documents it links with."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     seen = stage(rows.mapInArrow(sketch(shingle, num, den), "doc_id bigint, n bigint, k1 bigint, k2 bigint, sigs array<bigint>"), "sketch")
     classes = stage(seen.filter("k1 is not null").groupBy("k1", "k2").agg(

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chorus.llm.common import slices_by_size, table, worker_state
+from chorus.llm.common import slices_by_size, small_batches, table, worker_state
 
 SAMPLE_CHARS = 24_000
 SAMPLE_DOCS = 64
@@ -235,6 +235,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 def predict_column(model: PhraseModel, docs: DataFrame, text: str = "text") -> Column:
     """The prediction for each whole text as a struct column."""
     sent = docs.sparkSession.sparkContext.broadcast(vars(model))     # plain arrays and lists
+    small_batches(docs.sparkSession)
 
     @F.arrow_udf(RESULT)
     def predict(column: pa.Array) -> pa.Array:

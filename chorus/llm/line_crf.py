@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chorus.llm.common import slices_by_size, table, utf8_buffers
+from chorus.llm.common import slices_by_size, small_batches, table, utf8_buffers
 from chorus.llm.textstats import TextStats
 
 SAMPLE_DOCS = 3000
@@ -181,6 +181,7 @@ def judge_column(field: ChainField | None, text: str = "text") -> Column:
 
 def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     field = fit(docs, labels, doc_id, text)
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return rows.select("doc_id", judge_column(field).alias("j")).select("doc_id", "j.*")
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chorus.llm.common import full_text, table, worker_state
+from chorus.llm.common import full_text, small_batches, table, worker_state
 from chorus.plans.stage import stage
 
 WINDOW = 2048
@@ -333,6 +333,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: in
     sequence_id, offset``."""
     path = tokenizer or tokenizer_path()
     spark = docs.sparkSession
+    small_batches(spark)
     texts = keyed(docs, doc_id, text)
     pieces = stage(texts.mapInArrow(cut_documents(path, window, end_id), PIECES), "pieces")
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chorus.llm.common import table, worker_state
+from chorus.llm.common import small_batches, table, worker_state
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -175,6 +175,7 @@ def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
     """``doc_id, n_pieces, ids_crc32, score, round_trip``: encodes and
     decodes every text in one pass, so ids need not leave the task."""
     where = path or model_path()
+    small_batches(docs.sparkSession)
 
     @F.arrow_udf("struct<n_pieces:bigint,ids_crc32:bigint,score:double,round_trip:boolean>")
     def both(column: pa.Array) -> pa.Array:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chorus.llm.common import WORD_GAPS, row_sums, rows_of, slices_by_size, table, utf8_buffers
+from chorus.llm.common import WORD_GAPS, row_sums, rows_of, slices_by_size, small_batches, table, utf8_buffers
 from chorus.llm.textstats import LETTER, TextStats
 
 SAMPLE_DOCS = 4000
@@ -174,6 +174,7 @@ class LinearScorer:
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS,
         sample_bytes: int = SAMPLE_BYTES):
     """``(LabelModel, LinearScorer, documents with pattern)``."""
+    small_batches(docs.sparkSession)
     from chorus.plans.stage import stage
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     voted = stage(rows.select("doc_id", F.octet_length("text").alias("n"), pattern_column().alias("pattern")), "votes")

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chorus.llm.common import ByteHashes, full_text, mix64, slices_by_size, table, utf8_buffers
+from chorus.llm.common import ByteHashes, full_text, mix64, slices_by_size, small_batches, table, utf8_buffers
 from chorus.llm.grouping_sort import neighbour_matches, suffix_array
 from chorus.plans.stage import stage
 
@@ -331,6 +331,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """``(rows, copies, spans)``: the documents as ``doc_id, ref, text``, the
     classes of several long texts, and the merged spans of the texts that
     stand alone, ``ref, spans``.  Nothing of a text is in the last two."""
+    small_batches(docs.sparkSession)
     gram = min_len // GRAM_SHARE
     left = min_len - gram
     t = full_text(text)
