@@ -10,10 +10,13 @@ classes are joined in three steps, exactly.
    emits one signature per slice, in the table of its size class and, near
    the lower end of its class, in that of the class below.  An empty slice
    agrees with any other and gives no signature, unless so many of a set's
-   slices are empty that a link could rest on those alone (``_lonely``);
+   slices are empty that a link could rest on those alone;
    only such sets emit them, and both ends of such a link are such sets.
-   Sets that share a signature are tied to the least of them; components of
-   the ties are the families, and no link leaves a family.
+   Linked sets agree on more slices than one, say ``a`` at least, so each
+   set may leave out its ``a - 1`` commonest signatures: of the slices that
+   two linked sets share, the rarest has ``a - 1`` commoner ones in both.
+   Sets that share one of the others are tied to the least that has it;
+   components of the ties are the families, and no link leaves a family.
 2. Regions.  A family is joined in one task.  Beyond ``LEAF`` sets, pivots
    are taken, every set goes to the Voronoi region of its nearest pivot, and
    to each other region whose pivot is at most ``2 * radius`` farther (the
@@ -36,7 +39,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chorus.llm.common import ByteHashes, mix64, slices_by_size, small_batches, table, utf8_buffers, word_bounds
@@ -99,11 +102,13 @@ class SliceTables:
                 mid = (lo + hi) // 2
                 lo, hi = (mid, hi) if size_class(mid) <= j else (lo, mid)
             differ = (self.den - self.num) * lo // self.num
-            self.rows[j] = lo, differ + 3 + differ // 20
+            self.rows[j] = lo, differ + 3 + differ // 4
         return self.rows[j]
 
-    def signatures(self, s: np.ndarray) -> np.ndarray:
-        n = len(s)
+    def signatures(self, s: np.ndarray) -> tuple[np.ndarray, int]:
+        """Signatures, whose last bit tells the table, and by table how many
+        of the commonest the set may leave out (16 bits each)."""
+        n, drops = len(s), 0
         own = (self.den - self.num) * n // self.num          # differences to a set no smaller than this
         j = size_class(n) if n else 0
         out = []
@@ -120,14 +125,18 @@ class SliceTables:
             total = np.add.reduceat(mix64(s[order] + np.uint64(1)), at)
             used = sorted_part[at]
             out.append(self._named(t, used, total))
-            if len(used) <= min(own, (self.den - self.num) * most // self.num):      # lonely: links may rest on empty slices
+            agree = slices - min(own, (self.den - self.num) * most // self.num)      # slices that a linked set shares, at least
+            empty = slices - len(used)
+            drops |= min(max(0, agree - 1 - empty), 0x7FFF) << (16 * (t & 1))
+            if empty >= agree:                           # lonely: links may rest on empty slices alone
                 empty = np.setdiff1d(np.arange(slices), used)
                 out.append(self._named(t, empty, np.zeros(len(empty), np.uint64)))
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        return np.concatenate(out) if out else np.zeros(0, np.uint64), drops
 
     @staticmethod
     def _named(t: int, part: np.ndarray, total: np.ndarray) -> np.ndarray:
-        return mix64(total ^ mix64((np.uint64(t) << np.uint64(32)) + part.astype(np.uint64)))
+        name = mix64(total ^ mix64((np.uint64(t) << np.uint64(32)) + part.astype(np.uint64)))
+        return name & ~np.uint64(1) | np.uint64(t & 1)
 
 
 def set_keys(s: np.ndarray) -> tuple[int, int]:
@@ -137,25 +146,28 @@ def set_keys(s: np.ndarray) -> tuple[int, int]:
 
 
 def sketch(k: int, num: int, den: int):
-    """``doc_id, n, k1, k2, sigs`` of each text; keys are null without words."""
+    """``doc_id, n, k1, k2, drops, sigs`` of each text; keys are null without words."""
 
     def run(batches):
         tables = SliceTables(num, den)
         for batch in batches:
             data, offsets = utf8_buffers(batch.column("text"))
-            n, k1, k2, sigs = [], [], [], []
+            n, k1, k2, drops, sigs = [], [], [], [], []
             for a, b in slices_by_size(offsets, BLOCK_BYTES):
                 for s in doc_sets(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], k):
                     n.append(len(s))
                     x, y = set_keys(s) if len(s) else (None, None)
                     k1.append(x)
                     k2.append(y)
-                    sigs.append(tables.signatures(s).view(np.int64))
+                    named, most = tables.signatures(s)
+                    drops.append(most)
+                    sigs.append(named.view(np.int64))
             ends = np.cumsum([0] + [len(x) for x in sigs])
             flat = np.concatenate(sigs) if sigs else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["doc_id", "n", "k1", "k2", "sigs"])
+                 pa.array(drops, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
+                names=["doc_id", "n", "k1", "k2", "drops", "sigs"])
 
     return run
 
@@ -295,13 +307,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     document; ``n_links`` counts the documents it links with."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    seen = stage(rows.mapInArrow(sketch(shingle, num, den), "doc_id bigint, n bigint, k1 bigint, k2 bigint, sigs array<bigint>"), "sketch")
+    seen = stage(rows.mapInArrow(sketch(shingle, num, den), "doc_id bigint, n bigint, k1 bigint, k2 bigint, drops int, sigs array<bigint>"), "sketch")
     classes = stage(seen.filter("k1 is not null").groupBy("k1", "k2").agg(
         F.min("doc_id").alias("rep"), F.count("*").alias("size")), "classes")
-    # sets that share a signature are tied to the least of them
+    # sets that share a signature are tied to the least of them; each set
+    # leaves out its commonest signatures, as many as it may
     named = seen.select(F.explode("sigs").alias("sig"), "k1").repartition("sig")
-    least = named.groupBy("sig").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).filter("lo < hi").select("sig", "lo")
-    ties = named.join(least.hint("shuffle_hash"), "sig").filter("k1 > lo").select("k1", "lo")
+    least = named.groupBy("sig").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
+    shared = named.join(least.select("sig", "lo", "n").hint("shuffle_hash"), "sig").distinct()
+    may = seen.filter("k1 is not null").groupBy("k1").agg(F.min("drops").alias("drops"))
+    in_table = Window.partitionBy("k1", F.col("sig").bitwiseAND(1)).orderBy(F.desc("n"), "sig")
+    shared = shared.join(may, "k1").withColumn("nth", F.row_number().over(in_table))
+    drop = F.when(F.col("sig").bitwiseAND(1) == 1, F.shiftright("drops", 16)).otherwise(F.col("drops").bitwiseAND(0x7FFF))
+    ties = stage(shared.filter((F.col("nth") > drop) & (F.col("k1") > F.col("lo"))).select("k1", "lo").distinct(), "ties")
     families = connected_components(ties, "k1", "lo")
     members = classes.filter("rep is not null").join(families, F.col("k1") == F.col("node")).select(
         "k1", "k2", "rep", "size", F.col("root").alias("family"))
