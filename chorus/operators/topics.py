@@ -11,13 +11,15 @@ the vocabulary cap.
 
 from __future__ import annotations
 
+import re
+
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chorus.data import fixed_values as fv
@@ -26,8 +28,9 @@ from chorus.operators.tokens import general_stopwords
 
 
 def user_stopwords(text: str | None) -> list[str]:
-    """User string split on commas; trimmed, lower-cased, blanks dropped."""
-    return sorted({w.strip().lower() for w in (text or "").split(",") if w.strip()})
+    """The words of a user string: what stands between commas, from its
+    first to its last character that is not blank, in lower case."""
+    return sorted(dict.fromkeys(re.findall(r"[^,\s](?:[^,]*[^,\s])?", (text or "").lower())))
 
 
 def topic_stopwords(user_text: str = "", domain: list[str] | None = None) -> list[str]:
@@ -37,6 +40,15 @@ def topic_stopwords(user_text: str = "", domain: list[str] | None = None) -> lis
     return sorted(set(general_stopwords()) | set(dom) | set(user_stopwords(user_text)))
 
 
+def stopword_table(spark: SparkSession, user_text: str = "", domain: list[str] | None = None) -> DataFrame:
+    """Op 34 as a table: the union of the general list, the domain list and
+    the user string's words."""
+    dom = fv.DOMAIN_STOPWORDS if domain is None else domain
+    fixed = spark.createDataFrame([(w,) for w in (*general_stopwords(), *dom)], "word STRING")
+    said = spark.createDataFrame([(user_text,)], "said STRING").select(F.explode(F.split("said", ",")).alias("word"))
+    return fixed.union(said.select(F.lower(F.trim("word")).alias("word")).filter("word <> ''")).distinct()
+
+
 def add_topic_tokens(df: DataFrame, stopwords: list[str], col: str = "token_clean",
                      out: str = "token_clean_topic", min_len: int = 3) -> DataFrame:
     """Op 35: drop stop words and tokens shorter than ``min_len``; order and
@@ -94,25 +106,31 @@ class TopicModel:
     keywords: DataFrame          # topic_id, topic_keywords, topic_name
 
 
+def no_topics(docs: DataFrame) -> TopicModel:
+    spark = docs.sparkSession
+    assigned = docs.withColumns({"topic_id": F.lit(None).cast("int"), "topic_score": F.lit(None).cast("double")}).limit(0)
+    return TopicModel([], spark.createDataFrame([], "topic_id INT, rank INT, weight DOUBLE, term STRING"), assigned,
+                      spark.createDataFrame([], "topic_id INT, topic_keywords STRING, topic_name STRING"))
+
+
 def fit_topics(docs: DataFrame, k: int = fv.LDA_TOPICS, max_iter: int = fv.LDA_PASSES,
                seed: int = fv.LDA_SEED, no_below: int = fv.LDA_NO_BELOW,
                no_above: float = fv.LDA_NO_ABOVE, keep_n: int = fv.LDA_KEEP_N,
-               topn: int = fv.TOPIC_KEYWORDS_N, col: str = "token_clean_topic") -> TopicModel | None:
-    """Ops 40-42.  Returns None when the vocabulary is empty (empty outputs
-    in the reference)."""
+               topn: int = fv.TOPIC_KEYWORDS_N, col: str = "token_clean_topic") -> TopicModel:
+    """Ops 40-42.  An empty corpus or vocabulary gives empty tables."""
     spark = docs.sparkSession
     n = docs.count()
     if n == 0:
-        return None
+        return no_topics(docs)
     max_df = float(int(no_above * n))
     if max_df < no_below:
-        return None
+        return no_topics(docs)
     cv = CountVectorizer(inputCol=col, outputCol="_bow", minDF=float(no_below),
                          maxDF=max_df, vocabSize=keep_n)
     cvm = cv.fit(docs)
     vocab = list(cvm.vocabulary)
     if not vocab:
-        return None
+        return no_topics(docs)
     # The online optimizer passes over the corpus once per iteration: keep
     # the bag-of-words vectors (MEMORY_AND_DISK; a lost block is recomputed
     # from the stage) instead of re-reading and re-vectorising each time.

@@ -223,14 +223,16 @@ def q_model_comparison_long(spark, sf_dir):
     return R.model_comparison_long(R.model_comparison(results(spark, sf_dir)))
 
 
-@register("top_by_score", f"""{_ALL_SCORES}
+@register("top_by_score", f"""{O.BASE},
+{O.lexicon_ctes()},
+results AS (SELECT p.*, l.lexicon_label, l.lexicon_score FROM prepared p JOIN lex_scored l USING (comment_id))
 SELECT direction, comment_id, date, comment, lexicon_label, round(lexicon_score, 6) AS lexicon_score, rank FROM (
   SELECT 'positive' AS direction, *, row_number() OVER (ORDER BY lexicon_score DESC, comment_id) AS rank FROM results
   UNION ALL
   SELECT 'negative' AS direction, *, row_number() OVER (ORDER BY lexicon_score ASC, comment_id) AS rank FROM results)
 WHERE rank <= {fv.TOP_COMMENTS}""")
 def q_top_by_score(spark, sf_dir):
-    t = R.top_by_score(results(spark, sf_dir))
+    t = R.top_by_score(lexicon_results(spark, sf_dir))
     return t.withColumn("lexicon_score", F.round("lexicon_score", 6))
 
 
@@ -308,7 +310,7 @@ def q_token_count_shape(spark, sf_dir):
 @register("short_comments", f"""{_NLP}
 SELECT comment_id, CAST(len(token_clean) AS BIGINT) AS token_count FROM nlp WHERE len(token_clean) <= 3""")
 def q_short_comments(spark, sf_dir):
-    return TK.short_comments(nlp_stage(spark, sf_dir)).select("comment_id", "token_count")
+    return TK.short_comments(nlp(spark, sf_dir)).select("comment_id", "token_count")
 
 
 @register("word_counts", f"""{_NLP},
@@ -375,12 +377,14 @@ _TOPIC = _topic_sql(STOPS)
 
 
 @register("topic_stopwords", f"""{_NLP}
-SELECT word, count(*) AS occurrences FROM (SELECT unnest(token_clean) AS word FROM nlp)
-WHERE word IN {O.in_list(STOPS)} GROUP BY word""")
+SELECT s.word, coalesce(c.n, 0) AS occurrences FROM (SELECT unnest([{O.in_list(STOPS)[1:-1]}]) AS word) s
+LEFT JOIN (SELECT word, count(*) AS n FROM (SELECT unnest(token_clean) AS word FROM nlp) GROUP BY word) c USING (word)""")
 def q_topic_stopwords(spark, sf_dir):
-    stops = spark.createDataFrame([(w,) for w in STOPS], "word STRING")
-    counts = TK.word_counts(nlp(spark, sf_dir))
-    return counts.join(F.broadcast(stops), "word", "left_semi").withColumnRenamed("count", "occurrences")
+    """Op 34: the union of the three lists, with how often each word is left
+    among the clean tokens."""
+    stops = TP.stopword_table(spark, USER_STOPWORDS)
+    counts = TK.word_counts(nlp(spark, sf_dir)).withColumnRenamed("count", "occurrences")
+    return stops.join(counts, "word", "left").withColumn("occurrences", F.coalesce("occurrences", F.lit(0)))
 
 
 @register("topic_tokens", f"""{_TOPIC}
@@ -393,7 +397,7 @@ def q_topic_tokens(spark, sf_dir):
 @register("topic_text", f"""{_TOPIC}
 SELECT comment_id, topic_text FROM tdocs""")
 def q_topic_text(spark, sf_dir):
-    return TP.topic_text(nlp_stage(spark, sf_dir), STOPS).select("comment_id", "topic_text")
+    return TP.topic_text(nlp(spark, sf_dir), STOPS).select("comment_id", "topic_text")
 
 
 @register("vocabulary", f"""{_TOPIC}

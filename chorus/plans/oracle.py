@@ -242,9 +242,11 @@ ORDER BY round(score, 9) DESC, term LIMIT {top}"""
 
 def pages_ctes(cap=None) -> str:
     """CTEs ending in ``page_state(video_id, page_no, is_error, stop_page, readp)``."""
-    capc = "" if cap is None else f" AND page_no < {int(cap)}"
+    capc = "" if cap is None else f" AND p.nth <= {int(cap)}"
     return f"""pg AS (SELECT video_id, comment_id // 100 AS page_no FROM comments GROUP BY 1, 2),
-pgs AS (SELECT video_id, page_no, (page_no * 7 + length(video_id)) % 11 = 0 AS is_error,
+pgs AS (SELECT video_id, page_no, ascii(right(video_id, 1)) % 5 = 0
+                 AND page_no = max(page_no) OVER (PARTITION BY video_id) - 1 AS is_error,
+               row_number() OVER (PARTITION BY video_id ORDER BY page_no) AS nth,
                page_no = max(page_no) OVER (PARTITION BY video_id) AS is_last FROM pg),
 stops AS (SELECT video_id, min(page_no) AS stop_page FROM pgs WHERE is_error OR is_last GROUP BY 1),
 page_state AS (

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from typing import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,7 +58,12 @@ def _page_state(pages: DataFrame, max_pages: int | None) -> DataFrame:
     p = p.join(stops, "video_id", "left")
     read = F.col("stop_page").isNull() | (F.col("page_no") <= F.col("stop_page"))
     if max_pages is not None:
-        read = read & (F.col("page_no") < F.lit(int(max_pages)))
+        # pages read are counted, whatever their numbers; the first few of a
+        # video are picked by id (a partial group limit before the shuffle)
+        order = Window.partitionBy("video_id").orderBy("page_no")
+        first = pages.select("video_id", "page_no").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= int(max_pages))
+        p = p.join(first, ["video_id", "page_no"], "left")
+        read = read & F.col("nth").isNotNull()
     return p.withColumn("read", read)
 
 

@@ -26,3 +26,17 @@ def test_partition_independence(spark):
     r1 = sorted(catalog.lexicon_results(spark, SF).repartition(1).select("comment_id", "lexicon_score").collect())
     r2 = sorted(catalog.lexicon_results(spark, SF).repartition(16).select("comment_id", "lexicon_score").collect())
     assert r1 == r2
+
+
+def test_imports_from_elsewhere_without_a_session(tmp_path):
+    """As the driver does: pyspark from its zip, another folder, no JVM."""
+    import os
+    import subprocess
+    import sys
+
+    import pyspark
+    home = os.path.dirname(pyspark.__file__)
+    zips = [os.path.join(home, "python", "lib", f) for f in os.listdir(os.path.join(home, "python", "lib")) if f.endswith(".zip")]
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; assert len(e.queries()) >= 54 and e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120, env=os.environ | {"PYTHONPATH": os.pathsep.join([*zips, repo])})

@@ -70,6 +70,12 @@ def test_paging_semantics(spark):
     assert ids(S.multi_video(S.comments_from_pages(p), ["b", "c"])) == [5, 8, 9, 10, 11, 12]
 
 
+def test_cap_counts_pages_read(spark):
+    rows = [("d", n, page([item(n)])) for n in (5, 6, 7)]
+    p = spark.createDataFrame(rows, "video_id string, page_no long, body string")
+    assert ids(S.page_cap(p, 2)) == [5, 6] and ids(S.page_cap(p, 9)) == [5, 6, 7]
+
+
 def test_landed_pages_contract(spark):
     from conftest import SF
     lp = S.landed_pages(spark, SF)

@@ -37,3 +37,11 @@ def test_lda_invariants(spark):
 def test_empty_vocabulary_gives_no_model(spark):
     docs = spark.createDataFrame([(1, ["aa"]), (2, ["bb"])], "comment_id long, token_clean_topic array<string>")
     assert TP.fit_topics(docs) is None
+
+
+def test_empty_corpus_gives_empty_tables(spark):
+    from chorus.operators import topics as TP
+    docs = spark.createDataFrame([], "comment_id long, token_clean_topic array<string>")
+    m = TP.fit_topics(docs)
+    assert m.topics.count() == m.assignments.count() == m.keywords.count() == 0
+    assert TP.topic_summary(m.assignments, m.keywords).count() == TP.topic_comments(m.assignments).count() == 0
