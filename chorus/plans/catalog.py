@@ -610,7 +610,8 @@ def q_write_results_csv(spark, sf_dir):
 @register("write_topics_csv")
 def q_write_topics_csv(spark, sf_dir):
     m = topic_model(spark, sf_dir)
-    out = m.assignments.select("comment_id", "token_clean_topic", "topic_id", "topic_score")
+    out = m.assignments.join(m.keywords, "topic_id", "left").select(
+        "comment_id", "token_clean_topic", "topic_id", "topic_score", "topic_keywords", "topic_name")
     path = scratch_path(spark, "topics-csv")
     if not SK.write_topics_csv(out, path):
         return out.limit(0)

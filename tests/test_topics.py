@@ -34,9 +34,10 @@ def test_lda_invariants(spark):
     assert TP.topic_comments(m.assignments, 3).count() == 3
 
 
-def test_empty_vocabulary_gives_no_model(spark):
+def test_empty_vocabulary_gives_empty_tables(spark):
     docs = spark.createDataFrame([(1, ["aa"]), (2, ["bb"])], "comment_id long, token_clean_topic array<string>")
-    assert TP.fit_topics(docs) is None
+    m = TP.fit_topics(docs)
+    assert m.topics.count() == m.assignments.count() == m.keywords.count() == 0
 
 
 def test_empty_corpus_gives_empty_tables(spark):
