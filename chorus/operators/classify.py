@@ -41,6 +41,7 @@ class NaiveBayesModel:
     classes: tuple[str, ...]
     weights: DataFrame              # term, lp_<class> ...
     log_prior: dict[str, Column]    # scalar subqueries
+    joint_weights: DataFrame        # term, lp_<scheme>_<class> ... of all schemes trained together
 
 
 def naive_bayes_sums(df: DataFrame, model: NaiveBayesModel, prefix: str,
@@ -54,6 +55,17 @@ def naive_bayes_sums(df: DataFrame, model: NaiveBayesModel, prefix: str,
         F.count("*").alias(f"{prefix}_m"))
 
 
+def scheme_sums(df: DataFrame, models: dict[str, NaiveBayesModel],
+                text_col: str = "clean_comment", id_col: str = "comment_id") -> DataFrame:
+    """``naive_bayes_sums`` of schemes that ``fit_schemes`` trained together,
+    side by side: one explode of the tokens, one join, one aggregate."""
+    toks = explode_tokens(df, [id_col], model_tokens(F.col(text_col)), "term")
+    hits = toks.join(next(iter(models.values())).joint_weights, "term")
+    return hits.groupBy(id_col).agg(
+        *[F.sum(f"lp_{s}_{c}").alias(f"{s}_s_{c}") for s, m in models.items() for c in m.classes],
+        *[F.count("*").alias(f"{s}_m") for s in models])
+
+
 def finish_naive_bayes(df: DataFrame, model: NaiveBayesModel, prefix: str) -> DataFrame:
     """Softmax over classes from the (possibly null) keyed sums."""
     classes = model.classes
@@ -109,14 +121,15 @@ def fit_schemes(df: DataFrame, labels: DataFrame, schemes=("binary", "ternary"),
     vocab = counts.select(F.count("*").cast("double")).scalar()
     docs = train.agg(*[F.count_if(F.col(f"_y_{s}") == c).cast("double").alias(f"d_{s}_{c}")
                        for s in schemes for c in CLASSES[s]], F.count("*").cast("double").alias("_all"))
+    totals = {(s, c): counts.select(F.sum(f"n_{s}_{c}").cast("double")).scalar() for s in schemes for c in CLASSES[s]}
+    joint = counts.select("term", *[
+        F.ln((F.col(f"n_{s}_{c}") + 1.0) / (total + vocab)).alias(f"lp_{s}_{c}") for (s, c), total in totals.items()])
     models = {}
     for s in schemes:
         cs = CLASSES[s]
-        totals = {c: counts.select(F.sum(f"n_{s}_{c}").cast("double")).scalar() for c in cs}
-        weights = counts.select("term", *[
-            F.ln((F.col(f"n_{s}_{c}") + 1.0) / (totals[c] + vocab)).alias(f"lp_{c}") for c in cs])
+        weights = joint.select("term", *[F.col(f"lp_{s}_{c}").alias(f"lp_{c}") for c in cs])
         log_prior = {c: docs.select(F.ln(F.col(f"d_{s}_{c}") / F.col("_all"))).scalar() for c in cs}
-        models[s] = NaiveBayesModel(cs, weights, log_prior)
+        models[s] = NaiveBayesModel(cs, weights, log_prior, joint)
     return models
 
 

@@ -1,12 +1,13 @@
 """Rule-based lexicon sentiment (ops 13-14).
 
-Plan: per comment, whitespace tokens with outer punctuation stripped; a
-higher-order ``transform`` turns them into ``(pos, tok, p1, p2, p3)`` structs
-(the three preceding tokens), ``inline`` makes rows, an inner **broadcast
-hash join** to the ``(token, valence)`` table keeps only lexicon hits, the
+Plan: per comment, whitespace tokens with outer punctuation stripped;
+``arrays_zip`` of the token array and its shifts pairs each token with the
+three before it, ``posexplode`` makes rows, an inner join to the ``(token,
+valence)`` table (the shipped one is broadcast) keeps only lexicon hits, the
 context rules are column expressions on the hit row, and one aggregate per
-comment sums.  Context comes from the array before the explode, so the
-only shuffle is the (partially aggregated) sum per comment and the join back.
+comment sums.  Context comes from the array before the explode, so with the
+shipped table the only shuffle is the (partially aggregated) sum per comment
+and the join back.
 
 Rules: caps emphasis, boosters/dampeners at distance 1-3 with decay,
 negation (x -0.74, "never so/this" x 1.25, "without doubt" no flip), "but"
@@ -114,20 +115,23 @@ def lexicon_sums(df: DataFrame, lexicon: DataFrame | None = None,
     base = df.select(F.col(id_col).alias("_id"), vader_tokens(text).alias("_toks"),
                      (ep + qa).alias("_amp"))
     n_caps = F.size(F.filter("_toks", is_all_caps))
+    nothing = F.lit(None).cast("string")
     flags = base.select(
-        "_id", "_toks", "_amp",
+        "_id", "_amp",
         ((n_caps > 0) & (n_caps < F.size("_toks"))).alias("_capdiff"),
         (F.array_position(F.transform("_toks", F.lower), "but") - 1).alias("_but"),
+        F.col("_toks").alias("tok"),
+        *[F.concat(F.array(*[nothing] * d), "_toks").alias(f"p{d}") for d in (1, 2, 3)],
     )
-    # posexplode (outer form: no inferred size filter pushed into the scan),
-    # broadcast join to the lexicon, and only then the three neighbours of
-    # each hit.  The token array is dropped in the same fused stage, so it is
-    # never copied into the exploded rows.
-    ctx = flags.select("_id", "_toks", "_amp", "_capdiff", "_but",
-                       F.posexplode_outer("_toks").alias("pos", "tok")).filter(F.col("pos").isNotNull())
-    hits = ctx.join(lex, F.lower(F.col("tok")) == F.col("_lt")).select(
-        "_id", "_amp", "_capdiff", "_but", "pos", "tok", "_val",
-        *[F.get("_toks", F.col("pos") - d).alias(f"p{d}") for d in (1, 2, 3)])
+    # Zipped with itself shifted by one, two and three places, the token array
+    # gives each token its neighbours before the explode (outer form: no
+    # inferred size filter pushed into the scan), so whatever join the lexicon
+    # table's size calls for moves four words a row and never an array.
+    ctx = flags.select("_id", "_amp", "_capdiff", "_but",
+                       F.posexplode_outer(F.arrays_zip("tok", "p1", "p2", "p3")).alias("pos", "_w"))
+    ctx = ctx.filter(F.col("_w.tok").isNotNull()).select(
+        "_id", "_amp", "_capdiff", "_but", "pos", *[F.col(f"_w.{c}").alias(c) for c in ("tok", "p1", "p2", "p3")])
+    hits = ctx.join(lex, F.lower(F.col("tok")) == F.col("_lt")).drop("_lt")
     v0 = F.col("_val")
     hits = hits.withColumn("_v0", F.when(
         is_all_caps(F.col("tok")) & F.col("_capdiff"),

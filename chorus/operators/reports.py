@@ -16,16 +16,15 @@ def sentiment_results(prepared: DataFrame, labels: DataFrame,
                       lexicon: DataFrame | None = None, id_col: str = "comment_id") -> DataFrame:
     """Op 18: one row per comment with all three labels and scores.
 
-    Each model yields a small keyed table (id + partial sums, text-free);
-    the comments are joined to the three on ``comment_id``, so the text
-    rows move once whatever the number of models.
+    The lexicon and the two classifiers, which share one pass over the
+    tokens, each yield a small keyed table (id + partial sums, text-free);
+    the comments are joined to both on ``comment_id``, so the text rows move
+    once whatever the number of models.
     """
     key = prepared.select(id_col, "clean_comment")
     lx = LX.lexicon_sums(key, lexicon, id_col=id_col)
     models = CL.fit_schemes(prepared, labels, ("binary", "ternary"), id_col=id_col)
-    out = prepared.join(lx, id_col, "left")
-    for s, m in models.items():
-        out = out.join(CL.naive_bayes_sums(key, m, s, id_col=id_col), id_col, "left")
+    out = prepared.join(lx, id_col, "left").join(CL.scheme_sums(key, models, id_col=id_col), id_col, "left")
     out = LX.finish_lexicon(out)
     for s, m in models.items():
         out = CL.finish_naive_bayes(out, m, s)
