@@ -66,4 +66,9 @@ def test_topic_docs_drop_all_filtered(spark):
     docs = TP.topic_docs(df, TP.topic_stopwords()).collect()
     assert [(d.comment_id, d.token_clean_topic) for d in docs] == [(2, ["cat", "cat"])]
     empty = spark.createDataFrame([(1, [])], "comment_id long, token_clean_topic array<string>")
-    assert TP.fit_topics(empty) is None
+    model = TP.fit_topics(empty)
+    assert model.vocabulary == []
+    assert model.topics.columns == ["topic_id", "rank", "weight", "term"]
+    assert model.assignments.columns == ["comment_id", "token_clean_topic", "topic_id", "topic_score"]
+    assert model.keywords.columns == ["topic_id", "topic_keywords", "topic_name"]
+    assert all(t.isEmpty() for t in (model.topics, model.assignments, model.keywords))
