@@ -350,10 +350,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                       (F.coalesce("class_size", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
+             num: int = NUM, den: int = DEN) -> DataFrame:
     """The documents, of each group that links reach only the one with the
     least id.  Where rows repeat an id, it stays if one of them stays."""
-    judged = near_duplicates(docs, doc_id, text).filter("doc_id is not null")
+    judged = near_duplicates(docs, doc_id, text, shingle, num, den).filter("doc_id is not null")
     drop = judged.groupBy(F.col("doc_id").alias("_drop_id")).agg(F.min(F.col("component_id") != F.col("doc_id")).alias("gone"))
     drop = stage(drop.filter("gone").select("_drop_id"), "drop")
     few = drop.count() <= BROADCAST_ROWS

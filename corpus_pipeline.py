@@ -6,7 +6,7 @@ last return the columns of ``docs``.
 
 * language_id: documents without a letter, or in no learned language, go.
 * exact_dedup: of equal texts the one with the largest ``doc_id`` stays.
-* jaccard_join: of documents that links of four-word shingles (85 %) reach,
+* jaccard_join: of documents that links of five-word shingles (80 %) reach,
   the one with the least ``doc_id`` stays.
 * suffix_dedup: passages of 400 bytes or more that occur twice are cut out;
   documents of which nothing is left go.
@@ -25,6 +25,8 @@ from chorus.llm import suffix_dedup as _suffix
 from chorus.llm.common import table
 from chorus.plans.stage import stage
 
+SHINGLE, NUM, DEN = 5, 80, 100
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _language.keep_known(docs)
@@ -35,7 +37,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _jaccard.keep_one(docs)
+    return _jaccard.keep_one(docs, shingle=SHINGLE, num=NUM, den=DEN)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -276,3 +276,16 @@ def test_pipeline(spark, sf):
     for _, apply in corpus_pipeline.STAGES:
         assert apply(spark, odd, sf).count() <= 3
         assert apply(spark, odd.limit(0), sf).count() == 0
+
+
+def test_pipeline_near_copies_link_at_five_words_and_80_percent(spark, sf):
+    import corpus_pipeline
+    words = [f"w{k}" for k in range(235)]
+    spread = [f"x{k}" if k in (30, 75, 120, 165, 210) else w for k, w in enumerate(words)]
+    run = [f"v{k}" for k in range(200)]
+    replaced = [f"y{k}" if 90 <= k < 104 else w for k, w in enumerate(run)]
+    loose = [f"z{k}" for k in range(200)]
+    apart = [f"q{k}" if k % 30 == 15 else w for k, w in enumerate(loose)]             # 7 changed words: J 0.70
+    docs = docs_of(spark, [" ".join(x) for x in (words, spread, run, replaced, loose, apart)])
+    assert sorted(r.doc_id for r in corpus_pipeline.jaccard_join(spark, docs, sf).collect()) == [0, 2, 4, 5]
+    assert sorted({r.component_id for r in jaccard_join.near_duplicates(docs).collect()}) == [0, 1, 2, 3, 4, 5]
