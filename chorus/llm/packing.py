@@ -55,7 +55,8 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 class TextEncoder:
     """Ids of whole texts.  The vocabulary is read from the ``tokenizers``
     file; texts are encoded by ``tiktoken`` with that vocabulary as ranks,
-    which gives the same ids in less time."""
+    which gives the same ids in less time.  A text that holds an added token
+    literally gets that token's id there, as the library gives it."""
 
     def __init__(self, path: str):
         import json
@@ -69,13 +70,13 @@ class TextEncoder:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = [b for b in range(256) if b not in set(plain)]
         byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
-        special = {t["content"] for t in spec["added_tokens"]}
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(byte_of[ch] for ch in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-        self.coder = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.coder = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     def encode(self, text: str | None, end: bytes) -> bytes:
         """Little-endian 32-bit ids of the text, the end id included."""
-        return self.coder.encode_to_numpy(text or "", disallowed_special=()).astype("<u4").tobytes() + end
+        return self.coder.encode_to_numpy(text or "", allowed_special="all").astype("<u4").tobytes() + end
 
 
 def encoder(path: str) -> TextEncoder:

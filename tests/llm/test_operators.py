@@ -289,3 +289,17 @@ def test_pipeline_near_copies_link_at_five_words_and_80_percent(spark, sf):
     docs = docs_of(spark, [" ".join(x) for x in (words, spread, run, replaced, loose, apart)])
     assert sorted(r.doc_id for r in corpus_pipeline.jaccard_join(spark, docs, sf).collect()) == [0, 2, 4, 5]
     assert sorted({r.component_id for r in jaccard_join.near_duplicates(docs).collect()}) == [0, 1, 2, 3, 4, 5]
+
+
+def test_packing_reads_added_tokens_as_the_library_does(spark):
+    from tokenizers import Tokenizer
+    coder = Tokenizer.from_file(packing.tokenizer_path())
+    end = "<|endoftext|>"
+    held = [f"a {end} b", end, end * 3, f"x{end}y\n{end} ", f"  {end}  z", f"{end[:-1]} {end}>", f"<{end}", f"don't{end}'s é", "<|endof" + "text|", f"{end}\n\n  {end}"]
+    mine = packing.encoder(packing.tokenizer_path())
+    ids = [np.array(coder.encode(t, add_special_tokens=False).ids + [1], "<u4") for t in held]
+    assert [mine.encode(t, b"\1\0\0\0") for t in held] == [x.tobytes() for x in ids]
+    assert ids[0].tolist() == [64, 220, 50256, 275, 1]
+    got = packing.pack(docs_of(spark, held)).collect()
+    assert all((r.doc_tokens, r.ids_crc32) == (len(ids[r.doc_id]), zlib.crc32(ids[r.doc_id][r.start:r.start + r.length].tobytes())) for r in got)
+    assert sum(r.length for r in got) == sum(map(len, ids))
