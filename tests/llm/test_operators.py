@@ -303,3 +303,14 @@ def test_packing_reads_added_tokens_as_the_library_does(spark):
     got = packing.pack(docs_of(spark, held)).collect()
     assert all((r.doc_tokens, r.ids_crc32) == (len(ids[r.doc_id]), zlib.crc32(ids[r.doc_id][r.start:r.start + r.length].tobytes())) for r in got)
     assert sum(r.length for r in got) == sum(map(len, ids))
+
+
+def test_every_labelled_language_is_learned(spark):
+    rng = random.Random(8)
+    pool = [chr(c) for c in (*range(0x4E00, 0x4E00 + 1500), *range(0x430, 0x450), *range(0x3B1, 0x3C9))]
+    words = [["".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(60)] for letters in (rng.sample(pool, 25) for _ in range(70))]
+    rows = [(k * 100 + n, " ".join(rng.choice(words[k]) for _ in range(40)), f"l{k:02d}") for k in range(70) for n in range(9 if k < 66 else 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(language_id.fit(docs).langs) == 70
+    got = language_id.identify(docs).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {i: l for i, _, l in rows}
