@@ -42,9 +42,6 @@ LANG_GROUP = 64                 # languages that are scored in one step
 SEGMENT = 1024
 BATCH_CHARS = 2_000_000
 UNKNOWN = "und"
-# A text in a learned language is parsed into phrases of several letters;
-# below this mean length its letters fit no learned language.
-MIN_PHRASE = 2.0
 RESULT = "struct<lang_pred:string,score:double,phrases:bigint,phrase_length:double,known:boolean>"
 
 
@@ -323,10 +320,9 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 
 def keep_known(docs: DataFrame) -> DataFrame:
     """The documents in a language that is learned: those with no letter, or
-    whose mean phrase is shorter than ``MIN_PHRASE``, go."""
+    most of whose letters are of scripts that occur in no sample, go."""
     model = fit(docs)
-    p = predict_column(model, docs)
-    return docs.filter((p["lang_pred"] != UNKNOWN) & (p["phrase_length"] >= MIN_PHRASE)) if model.langs else docs
+    return docs.filter(predict_column(model, docs)["known"]) if model.langs else docs
 
 
 def op1_language_id(spark, sf_dir):

@@ -314,3 +314,14 @@ def test_every_labelled_language_is_learned(spark):
     assert len(language_id.fit(docs).langs) == 70
     got = language_id.identify(docs).collect()
     assert {r.doc_id: r.lang_pred for r in got} == {i: l for i, _, l in rows}
+
+
+def test_keep_known_keeps_clean_texts_of_large_alphabets(spark):
+    rng = random.Random(9)
+    signs, latin = [chr(c) for c in range(0x4E00, 0x4E00 + 3000)], ["cat", "dog", "the", "mat", "sat", "on", "and"]
+    text = lambda: "".join(rng.choice(signs) for _ in range(300))
+    rows = [(i, text(), "zh") for i in range(40)] + [(i, " ".join(rng.choice(latin) for _ in range(60)), "en") for i in range(40, 80)]
+    new = [(100, text(), None), (101, "I", None), (102, chr(0x9000), None), (103, "the cat " + text()[:30], None)]
+    gone = [(110, "\u03b1\u03b2\u03b3 " * 30, None), (111, "12 !", None), (112, None, None), (113, "", None), (114, "cat " + "\u0434\u0430 " * 9, None)]
+    docs = spark.createDataFrame(rows + new + gone, "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in language_id.keep_known(docs).collect()) == [*range(80), 100, 101, 102, 103]
