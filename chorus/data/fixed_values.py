@@ -51,7 +51,6 @@ LDA_TOPICS = 3
 LDA_NO_BELOW = 2
 LDA_NO_ABOVE = 0.7
 LDA_NO_ABOVE_NOTEBOOK = 0.8
-LDA_KEEP_N = 100000
 PHRASE_MIN_DF = 2
 PHRASE_MAX_DF = 0.8
 TOP_PHRASES = 20

@@ -3,10 +3,9 @@
 Stop-word removal and topic text are per-row array functions.  The
 vocabulary and bags of words are aggregates (document frequency per term
 with map-side partial aggregation).  Topics use Spark ML: ``CountVectorizer``
-(document frequency bounds, at most 100,000 terms) and the online
-variational ``LDA`` with a learned document prior.  The vocabulary list and
-the K x V topic matrix are the only driver-side values; both are bounded by
-the vocabulary cap.
+(document frequency bounds, no other cut) and the online variational ``LDA``
+with a learned document prior.  The vocabulary list and the K x V topic
+matrix are the only driver-side values; both grow with the vocabulary.
 """
 
 from __future__ import annotations
@@ -26,6 +25,8 @@ from chorus.data import fixed_values as fv
 from chorus.functions.text import explode_tokens
 from chorus.operators.tokens import general_stopwords
 
+ALL_TERMS = 2**31 - 1            # CountVectorizer takes a bound; this one cuts nothing
+
 
 def user_stopwords(text: str | None) -> list[str]:
     """The words of a user string: what stands between commas, from its
@@ -115,7 +116,7 @@ def no_topics(docs: DataFrame) -> TopicModel:
 
 def fit_topics(docs: DataFrame, k: int = fv.LDA_TOPICS, max_iter: int = fv.LDA_PASSES,
                seed: int = fv.LDA_SEED, no_below: int = fv.LDA_NO_BELOW,
-               no_above: float = fv.LDA_NO_ABOVE, keep_n: int = fv.LDA_KEEP_N,
+               no_above: float = fv.LDA_NO_ABOVE,
                topn: int = fv.TOPIC_KEYWORDS_N, col: str = "token_clean_topic") -> TopicModel:
     """Ops 40-42.  An empty corpus or vocabulary gives empty tables."""
     spark = docs.sparkSession
@@ -126,7 +127,7 @@ def fit_topics(docs: DataFrame, k: int = fv.LDA_TOPICS, max_iter: int = fv.LDA_P
     if max_df < no_below:
         return no_topics(docs)
     cv = CountVectorizer(inputCol=col, outputCol="_bow", minDF=float(no_below),
-                         maxDF=max_df, vocabSize=keep_n)
+                         maxDF=max_df, vocabSize=ALL_TERMS)
     cvm = cv.fit(docs)
     vocab = list(cvm.vocabulary)
     if not vocab:
@@ -143,8 +144,9 @@ def fit_topics(docs: DataFrame, k: int = fv.LDA_TOPICS, max_iter: int = fv.LDA_P
     finally:
         bows.unpersist()
 
-    words = spark.createDataFrame(list(enumerate(vocab)), "term_index INT, term STRING")
     desc = model.describeTopics(max(topn, 10))
+    named = {i for r in desc.select("termIndices").collect() for i in r.termIndices}     # K rows
+    words = spark.createDataFrame([(i, vocab[i]) for i in sorted(named)], "term_index INT, term STRING")
     topics = (desc.select(F.col("topic").alias("topic_id"),
                           F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("pos", "tw"))
               .select("topic_id", (F.col("pos") + 1).alias("rank"),

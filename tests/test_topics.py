@@ -46,3 +46,12 @@ def test_empty_corpus_gives_empty_tables(spark):
     m = TP.fit_topics(docs)
     assert m.topics.count() == m.assignments.count() == m.keywords.count() == 0
     assert TP.topic_summary(m.assignments, m.keywords).count() == TP.topic_comments(m.assignments).count() == 0
+
+
+def test_lda_keeps_every_term_of_the_vocabulary(spark):
+    terms = 101_000
+    docs = spark.range(2000).select(F.col("id").alias("comment_id"), F.transform(
+        F.sequence(F.lit(0), F.lit(100)), lambda j: F.format_string("t%06d", F.col("id") % 1000 * 101 + j)).alias("token_clean_topic"))
+    m = TP.fit_topics(docs, k=2, max_iter=1)
+    assert len(set(m.vocabulary)) == TP.vocabulary(docs).count() == terms
+    assert {r.term for r in m.topics.collect()} <= set(m.vocabulary)
