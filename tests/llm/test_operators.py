@@ -325,3 +325,76 @@ def test_keep_known_keeps_clean_texts_of_large_alphabets(spark):
     gone = [(110, "\u03b1\u03b2\u03b3 " * 30, None), (111, "12 !", None), (112, None, None), (113, "", None), (114, "cat " + "\u0434\u0430 " * 9, None)]
     docs = spark.createDataFrame(rows + new + gone, "doc_id long, text string, lang string")
     assert sorted(r.doc_id for r in language_id.keep_known(docs).collect()) == [*range(80), 100, 101, 102, 103]
+
+
+def test_pipeline_equals_plain_version(spark, tmp_path):
+    import unicodedata
+
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+    rng = random.Random(11)
+    vocab = ["".join(rng.choice("abcdeéßñ") for _ in range(rng.randint(2, 7))) for _ in range(400)]
+    signs = [chr(c) for c in range(0x4E00, 0x4E00 + 2000)]
+    words = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    zh = lambda n: "".join(rng.choice(signs) for _ in range(n))
+    texts = [words(rng.randint(20, 200)) for _ in range(25)] + [zh(300) for _ in range(25)]
+    langs = {i: "en" if i < 25 else "zh" for i in range(50)}
+    base, passage, signs_passage = words(200).split(), words(120), zh(180)
+    for n in (0, 1, 3, 4, 5, 6, 7, 8, 9, 11):              # five-word J from 1 down to about 0.6
+        w = list(base)
+        for k in range(n):
+            w[10 + k * 17] = f"new{n}"
+        texts.append(" ".join(w))
+    texts += [words(40) + " " + passage + " " + words(40) for _ in range(3)] + [zh(90) + signs_passage + zh(70) for _ in range(3)] + [passage]
+    texts += [None, "", " 12 !", "I", "i", chr(0x9000), "αβγ " * 40, "cat " + "да " * 9, "the cat " + zh(9), "a <|endoftext|> b", words(3000)]
+    texts += texts[3:6] + texts[28:31] + [texts[50].upper()]
+
+    docs = docs_of(spark, texts, langs)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = collections.defaultdict(list)
+    windows = collections.defaultdict(list)
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        got[r.doc_id].append(r)
+        windows[r.sequence_id].append((r.offset, r.length))
+
+    script = lambda c: unicodedata.name(c).split()[0]
+    learned = {script(c) for i in langs if not _out(i) for c in texts[i].lower() if c.isalpha()}
+    letters = {i: [c for c in (t or "").lower() if c.isalpha()] for i, t in enumerate(texts)}
+    left = {i: t for i, t in enumerate(texts) if letters[i] and 2 * sum(script(c) not in learned for c in letters[i]) <= len(letters[i])}
+    assert len(texts) - len(left) == 5
+    left = {i: t for t, i in {t: i for i, t in sorted(left.items())}.items()}
+    sets = {}
+    for i, t in left.items():
+        w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t).encode().split()
+        sets[i] = {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))}
+    near = {i: [j for j in sets if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])] for i in sets}
+    gone = set()
+    for i in sorted(sets):
+        front = [i]
+        while front and i not in gone:
+            front = [k for j in front for k in near[j] if k != i and k not in gone]
+            gone.update(front)
+    assert 0 < len(gone) < 15
+    raw = {i: t.encode() for i, t in left.items() if i not in gone}
+    often = collections.Counter(b[s:s + 400] for b in raw.values() for s in range(len(b) - 399))
+    want = {}
+    for i, b in raw.items():
+        cut = bytearray(len(b))
+        for s in range(len(b) - 399):
+            if often[b[s:s + 400]] > 1:
+                cut[s:s + 400] = b"\1" * 400
+        kept = bytes(c for c, g in zip(b, cut) if not g).decode("utf-8", "ignore")
+        if kept:
+            want[i] = kept
+    assert len(want) < len(raw) and any(want[i] != left[i] for i in want)
+    coder = Tokenizer.from_file(packing.tokenizer_path())
+    assert set(got) == set(want)
+    for i, t in want.items():
+        ids, at = np.array(coder.encode(t, add_special_tokens=False).ids + [1], "<u4"), 0
+        for r in sorted(got[i], key=lambda r: r.start):
+            assert (r.start, r.doc_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids[at:at + r.length].tobytes())), i
+            at += r.length
+        assert at == len(ids)
+    for parts in windows.values():
+        parts.sort()
+        assert all(a + n == b for (a, n), (b, _) in zip([(0, 0), *parts], parts)) and sum(n for _, n in parts) <= 2048
