@@ -212,7 +212,7 @@ class PhraseModel:
         letters = worker_state("letters", letters_table)
         names, at = worker_state("letter scripts", letter_scripts)
         learned = np.isin(np.array(names), self.scripts)
-        out = np.where(letters, np.where(learned[at], self.other, self.foreign), 0).astype(np.int32)
+        out = np.where(letters, np.where(learned[at], self.other, self.foreign), 0).astype(np.uint16 if self.width < 1 << 16 else np.int32)
         out[[ord(ch) for ch in self.letters]] = np.arange(1, len(self.letters) + 1)
         return out
 
@@ -275,9 +275,11 @@ class PhraseModel:
             score = has_letter.astype(float)
         won = counts[at, best]
         mean = np.where(has_letter, n / np.maximum(won, 1), 0.0)
-        letters = np.concatenate(([0], np.cumsum(symbols != 0)))[first]
-        strange = np.concatenate(([0], np.cumsum(symbols == self.foreign)))[first]
-        known = has_letter & (2 * np.diff(strange) <= np.diff(letters))
+        known = has_letter.copy()
+        if len(symbols):
+            begin = first[:-1][has_letter]         # the texts between have no symbols
+            letters = np.add.reduceat(symbols != 0, begin, dtype=np.int64)
+            known[has_letter] = 2 * np.add.reduceat(symbols == self.foreign, begin, dtype=np.int64) <= letters
         names = np.where(has_letter, np.array(self.langs, dtype=object)[best], UNKNOWN)
         return names.tolist(), np.clip(score, 0, 1).tolist(), np.where(has_letter, won, 0).tolist(), mean.tolist(), known.tolist()
 
