@@ -14,4 +14,6 @@ def spark():
     s.stop()
 
 
-SF = "/root/testdata/sf0.001"
+@pytest.fixture(scope="session")
+def sf():
+    return "/root/testdata/sf0.001"

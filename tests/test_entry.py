@@ -1,5 +1,4 @@
 import __spark_entry__ as E
-from conftest import SF
 
 
 def test_entry_runs(spark):
@@ -16,15 +15,15 @@ def test_registry_shapes():
     assert len(qs) >= 50
 
 
-def test_partition_independence(spark):
+def test_partition_independence(spark, sf):
     from chorus.operators import phrases as PH
     from chorus.plans import catalog
-    base = catalog.topic_base(spark, SF).select("comment_id", "vtokens")
+    base = catalog.topic_base(spark, sf).select("comment_id", "vtokens")
     a = sorted(PH.top_ngrams(base.repartition(1), 2).collect())
     b = sorted(PH.top_ngrams(base.repartition(16), 2).collect())
     assert a == b
-    r1 = sorted(catalog.lexicon_results(spark, SF).repartition(1).select("comment_id", "lexicon_score").collect())
-    r2 = sorted(catalog.lexicon_results(spark, SF).repartition(16).select("comment_id", "lexicon_score").collect())
+    r1 = sorted(catalog.lexicon_results(spark, sf).repartition(1).select("comment_id", "lexicon_score").collect())
+    r2 = sorted(catalog.lexicon_results(spark, sf).repartition(16).select("comment_id", "lexicon_score").collect())
     assert r1 == r2
 
 

@@ -76,9 +76,8 @@ def test_cap_counts_pages_read(spark):
     assert ids(S.page_cap(p, 2)) == [5, 6] and ids(S.page_cap(p, 9)) == [5, 6, 7]
 
 
-def test_landed_pages_contract(spark):
-    from conftest import SF
-    lp = S.landed_pages(spark, SF)
+def test_landed_pages_contract(spark, sf):
+    lp = S.landed_pages(spark, sf)
     per = lp.groupBy("video_id").agg(F.count("*").alias("n"), F.max("page_no").alias("mx")).collect()
     assert all(r.n == r.mx + 1 for r in per)          # page numbers run 0..n-1
-    assert S.comments_from_pages(lp).count() <= S.comments(spark, SF).count()
+    assert S.comments_from_pages(lp).count() <= S.comments(spark, sf).count()
