@@ -3,7 +3,8 @@ where SQL can express them."""
 
 from __future__ import annotations
 
-from chorus.llm import exact_dedup, jaccard_join, language_id, line_crf, packing, pieces, quality_model, suffix_dedup, url_filter, warc
+from chorus.llm import (exact_dedup, jaccard_join, language_id, line_crf, packing, pieces, quality_model, suffix_dedup, token_alignment,
+                        token_counts, url_filter, warc)
 
 
 def queries() -> dict:
@@ -18,6 +19,8 @@ def queries() -> dict:
         "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+        "op11_token_counts": token_counts.op11_token_counts,
+        "op13_token_alignment": token_alignment.op13_token_alignment,
     }
 
 
