@@ -3,8 +3,8 @@ where SQL can express them."""
 
 from __future__ import annotations
 
-from chorus.llm import (exact_dedup, jaccard_join, language_id, line_crf, packing, pieces, quality_model, suffix_dedup, token_alignment,
-                        token_counts, url_filter, warc)
+from chorus.llm import (collocations, exact_dedup, jaccard_join, language_id, line_crf, packing, pieces, quality_model, suffix_dedup,
+                        token_alignment, token_counts, url_filter, warc)
 
 
 def queries() -> dict:
@@ -20,9 +20,10 @@ def queries() -> dict:
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_jaccard_join": jaccard_join.op10_jaccard_join,
         "op11_token_counts": token_counts.op11_token_counts,
+        "op12_phrase_collocations": collocations.op12_phrase_collocations,
         "op13_token_alignment": token_alignment.op13_token_alignment,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op9_exact_dedup": exact_dedup.OP9_SQL}
+    return {"op9_exact_dedup": exact_dedup.OP9_SQL, "op12_phrase_collocations": collocations.OP12_SQL}

@@ -38,7 +38,7 @@ from chorus.plans.stage import stage
 
 LEFT, RIGHT = "byte_bpe_50k.json", "piece_bpe_32k.model"
 SPACE = "▁"
-BATCH_BYTES = 500_000
+BATCH_BYTES = 250_000
 BROADCAST_PAIRS = 2_000_000      # rows of 24 bytes: 48 MB
 SHIFT = 32                       # a pair of ids is left << SHIFT | right
 
@@ -86,21 +86,11 @@ class Side:
     def __init__(self, coder, inner: str, outer: str):
         self.coder = coder
         self.length = np.array([len(b) for b in coder.bytes_of], dtype=np.int64)
-        self.at = np.concatenate(([0], np.cumsum(self.length)))
-        self.flat = np.frombuffer(b"".join(coder.bytes_of), dtype=np.uint8)
         n = len(coder.bytes_of)
         self.names = [f"{i}{inner}" for i in range(n)] + [f"{i}{outer}" for i in range(n)]
 
-    def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts and where each text's begin."""
-        ids = self.coder.encode(texts)
-        bounds = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int64)
-        return np.fromiter(chain.from_iterable(ids), dtype=np.int64, count=int(bounds[-1])), bounds
-
-    def text_of(self, ids: np.ndarray) -> np.ndarray:
-        size = self.length[ids]
-        nth = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        return self.flat[np.repeat(self.at[ids], size) + nth]
+    def gives_back(self, ids: list[int], raw: bytes) -> bool:
+        return b"".join(map(self.coder.bytes_of.__getitem__, ids)) == raw
 
 
 class Aligner:
@@ -110,76 +100,56 @@ class Aligner:
 
     def batch(self, texts: list[str]):
         """``n_a, n_b, n_groups, hash, pairs, times`` of each text."""
-        m = len(texts)
+        encoded = [side.coder.encode(texts) for side in (self.a, self.b)]
         raw = [b" " + t.encode() for t in texts]
-        size = np.array([len(r) for r in raw], dtype=np.int64)
-        begin = np.concatenate(([0], np.cumsum(size)))
-        want = np.frombuffer(b"".join(raw), dtype=np.uint8)
-        frames, ok = [], np.array([bool(t) for t in texts], dtype=bool)
-        for side in (self.a, self.b):
-            ids, bounds = side.tokens(texts)
-            row = np.repeat(np.arange(m), np.diff(bounds))
-            total = np.bincount(row, weights=side.length[ids], minlength=m).astype(np.int64)
-            ok &= total == size
-            frames.append((ids, row))
-        kept = []
-        for side, (ids, row) in zip((self.a, self.b), frames):
-            # texts of the right length: are they the right bytes?
-            use = ok[row]
-            ids, row = ids[use], row[use]
-            got, owner = side.text_of(ids), np.repeat(row, side.length[ids])
-            spot = want[np.repeat(ok, size)]
-            ok[np.unique(owner[got != spot])] = False
-            kept.append((ids, row))
-        tables = []
-        for side, (ids, row) in zip((self.a, self.b), kept):
-            use = ok[row]
-            ids, row = ids[use], row[use]
+        ok = [bool(t) and self.a.gives_back(x, r) and self.b.gives_back(y, r) for t, r, x, y in zip(texts, raw, *encoded)]
+        frames = []
+        for side, lists in zip((self.a, self.b), encoded):
+            lists = [x if good else [] for x, good in zip(lists, ok)]
+            sizes = np.array([len(x) for x in lists], dtype=np.int64)
+            ids = np.fromiter(chain.from_iterable(lists), dtype=np.int64, count=int(sizes.sum()))
+            # both sides cover the same bytes, so places may run on through the batch and are sorted
             ends = np.cumsum(side.length[ids])
-            # byte places that rise through the batch, so that one sort serves all documents
-            shift = (begin[:-1] - np.concatenate(([0], np.cumsum(np.where(ok, size, 0))))[:-1])[row]
-            end = ends + shift
-            tables.append(pd.DataFrame({"doc": row, "start": end - side.length[ids], "end": end, "id": ids, "nth": np.arange(len(ids))}))
-        return self._group(tables[0], tables[1], ok, m)
-
-    def _group(self, a: pd.DataFrame, b: pd.DataFrame, ok: np.ndarray, m: int):
-        empty = np.zeros(0, np.int64)
-        if not len(a):
-            return [(0, 0, 0, "", empty, empty)] * m
-        cover_b = pd.merge_asof(a, b, on="start", by="doc", suffixes=("_a", "_b"))          # the B token over each A start
-        cover_a = pd.merge_asof(b, a, on="start", by="doc", suffixes=("_b", "_a"))          # the A token over each B start
-        columns = ["doc", "nth_a", "nth_b", "end_a", "end_b", "id_a", "id_b"]
-        both = pd.concat([cover_b[columns], cover_a[columns]])
-        links = both[both["end_a"].to_numpy() == both["end_b"].to_numpy()].drop_duplicates(["nth_a", "nth_b"])
-        links = links.sort_values("nth_a")
-        doc = links["doc"].to_numpy()
-        last_a, last_b = links["nth_a"].to_numpy(), links["nth_b"].to_numpy()                # a group ends at each link
+            frames.append((ids, sizes, pd.DataFrame({"doc": np.repeat(np.arange(len(texts), dtype=np.int32), sizes),
+                                                     "start": ends - side.length[ids], "end": ends, "nth": np.arange(len(ids))})))
+        return self._group(*frames[0], *frames[1])
+
+    @staticmethod
+    def _links(a: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens that end together, in order: of the pairs that overlap, which
+        are those of a token's start and the other side's token over it, in
+        either direction, those with equal ends."""
+        pairs = []
+        for one, other, first in ((a, b, "nth_a"), (b, a, "nth_b")):
+            names = ("_a", "_b") if first == "nth_a" else ("_b", "_a")
+            over = pd.merge_asof(one, other, on="start", by="doc", suffixes=names)
+            even = over["end_a"].to_numpy() == over["end_b"].to_numpy()
+            pairs.append((over["nth_a"].to_numpy()[even], over["nth_b"].to_numpy()[even]))
+        left, at = np.unique(np.concatenate([p[0] for p in pairs]), return_index=True)         # a token has one partner at most
+        return left, np.concatenate([p[1] for p in pairs])[at]
+
+    def _group(self, ids_a, sizes_a, a, ids_b, sizes_b, b):
+        last_a, last_b = self._links(a, b) if len(a) else (ids_a, ids_b)          # a group ends at each link
         size_a, size_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
         # the names in order: A tokens of a group, then its B tokens
         names, n_a, n_b = self.names, len(self.a.length), len(self.b.length)
         group_at = np.cumsum(size_a + size_b) - size_a - size_b
-        place = np.empty(len(a) + len(b), dtype=np.int64)
-        inside = np.arange(len(a)) - np.repeat(last_a + 1 - size_a, size_a)
-        name = a["id"].to_numpy().copy()
+        place = np.empty(len(ids_a) + len(ids_b), dtype=np.int64)
+        name = ids_a.copy()
         name[last_a] += n_a
-        place[np.repeat(group_at, size_a) + inside] = name
-        inside = np.arange(len(b)) - np.repeat(last_b + 1 - size_b, size_b)
-        name = b["id"].to_numpy().copy()
+        place[np.arange(len(ids_a)) + np.repeat(group_at - (last_a + 1 - size_a), size_a)] = name
+        name = ids_b + 2 * n_a
         name[last_b] += n_b
-        place[np.repeat(group_at + size_a, size_b) + inside] = name + 2 * n_a
-        pair = (links["id_a"].to_numpy() << SHIFT) | links["id_b"].to_numpy()
-        per = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=m))))
-        tokens_a = np.bincount(a["doc"].to_numpy(), minlength=m)
-        tokens_b = np.bincount(b["doc"].to_numpy(), minlength=m)
-        at = np.concatenate(([0], np.cumsum(tokens_a + tokens_b)))
+        place[np.arange(len(ids_b)) + np.repeat(group_at + size_a - (last_b + 1 - size_b), size_b)] = name
+        pair = (ids_a[last_a] << SHIFT) | ids_b[last_b]
+        at = np.concatenate(([0], np.cumsum(sizes_a + sizes_b)))
+        per = np.searchsorted(last_a, np.concatenate(([0], np.cumsum(sizes_a))))
         out = []
-        for i in range(m):
-            if not ok[i]:
-                out.append((0, 0, 0, "", empty, empty))
-                continue
+        for i in range(len(sizes_a)):
             text = "".join([names[x] for x in place[at[i]:at[i + 1]].tolist()])
             pairs, times = np.unique(pair[per[i]:per[i + 1]], return_counts=True)
-            out.append((int(tokens_a[i]), int(tokens_b[i]), int(per[i + 1] - per[i]), hashlib.sha256(text[:-1].encode()).hexdigest(), pairs, times))
+            sha = hashlib.sha256(text[:-1].encode()).hexdigest() if text else ""
+            out.append((int(sizes_a[i]), int(sizes_b[i]), int(per[i + 1] - per[i]), sha, pairs, times))
         return out
 
 
