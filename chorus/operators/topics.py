@@ -1,53 +1,44 @@
 """Topic preparation and LDA topics (ops 34-45).
 
-Stop-word removal and topic text are per-row array functions.  The
-vocabulary and bags of words are aggregates (document frequency per term
-with map-side partial aggregation).  Topics use Spark ML: ``CountVectorizer``
-(document frequency bounds, no other cut) and the online variational ``LDA``
-with a learned document prior.  The vocabulary list and the K x V topic
-matrix are the only driver-side values; both grow with the vocabulary.
+Stop-word removal and topic text are per-row array functions.  Terms are
+counted inside the row; the vocabulary and bags of words are aggregates and
+joins over distinct (document, term) rows.  Topics are fitted by the
+relational variational steps of ``lda``: nothing that grows with the
+vocabulary or the corpus reaches the driver.
 """
 
 from __future__ import annotations
 
-import re
-
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
-from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chorus.data import fixed_values as fv
-from chorus.functions.text import explode_tokens
+from chorus.functions.arrays import exploded_counts
+from chorus.functions.bloom import BloomFilter
+from chorus.functions.text import EDGE_SPACES_RE, explode_tokens
+from chorus.operators import lda
 from chorus.operators.tokens import general_stopwords
+from chorus.plans.stage import stage
 
-ALL_TERMS = 2**31 - 1            # CountVectorizer takes a bound; this one cuts nothing
-
-
-def user_stopwords(text: str | None) -> list[str]:
-    """The words of a user string: what stands between commas, from its
-    first to its last character that is not blank, in lower case."""
-    return sorted(dict.fromkeys(re.findall(r"[^,\s](?:[^,]*[^,\s])?", (text or "").lower())))
-
-
-def topic_stopwords(user_text: str = "", domain: list[str] | None = None) -> list[str]:
-    """Op 34: general list + domain list + user words.  A bounded literal
-    set (it becomes an ``INSET`` hash lookup inside the array filter)."""
-    dom = fv.DOMAIN_STOPWORDS if domain is None else domain
-    return sorted(set(general_stopwords()) | set(dom) | set(user_stopwords(user_text)))
+TOPIC_TERMS = 10                 # terms listed per topic
 
 
 def stopword_table(spark: SparkSession, user_text: str = "", domain: list[str] | None = None) -> DataFrame:
-    """Op 34 as a table: the union of the general list, the domain list and
-    the user string's words."""
+    """Op 34: the union of the general list, the domain list and the words
+    that stand between the commas of a user string, in lower case."""
     dom = fv.DOMAIN_STOPWORDS if domain is None else domain
     fixed = spark.createDataFrame([(w,) for w in (*general_stopwords(), *dom)], "word STRING")
     said = spark.createDataFrame([(user_text,)], "said STRING").select(F.explode(F.split("said", ",")).alias("word"))
-    return fixed.union(said.select(F.lower(F.trim("word")).alias("word")).filter("word <> ''")).distinct()
+    said = said.select(F.lower(F.regexp_replace("word", EDGE_SPACES_RE, "")).alias("word")).filter("word <> ''")
+    return fixed.union(said).distinct()
+
+
+def topic_stopwords(spark: SparkSession, user_text: str = "", domain: list[str] | None = None) -> list[str]:
+    """Op 34 as a literal set for the array filters (an ``INSET`` lookup
+    inside the row); as long as the fixed lists and the user's string."""
+    return sorted(r.word for r in stopword_table(spark, user_text, domain).collect())
 
 
 def add_topic_tokens(df: DataFrame, stopwords: list[str], col: str = "token_clean",
@@ -86,10 +77,12 @@ def vocabulary(docs: DataFrame, col: str = "token_clean_topic", no_below: int =
 
 def bag_of_words(docs: DataFrame, vocab: DataFrame, col: str = "token_clean_topic",
                  id_col: str = "comment_id") -> DataFrame:
-    """Op 38: ``(comment_id, term, count)`` for vocabulary terms."""
-    words = explode_tokens(docs, [id_col], F.col(col), "term")
-    bags = words.groupBy(id_col, "term").agg(F.count("*").alias("count"))
-    return bags.join(vocab.select("term"), "term", "left_semi")
+    """Op 38: ``(comment_id, term, count)`` for vocabulary terms.  Counted in
+    the row; a Bloom filter of the vocabulary keeps most other terms from
+    the join, which is exact.  ``vocab`` is read three times: store it."""
+    rows = exploded_counts(docs, [id_col], F.col(col))
+    rows = rows.filter(BloomFilter.of(vocab, "term").may_hold("term"))
+    return rows.join(vocab.select("term"), "term", "left_semi").select(id_col, "term", F.col("n").alias("count"))
 
 
 def corpus_stats(docs: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -101,78 +94,34 @@ def corpus_stats(docs: DataFrame, vocab: DataFrame) -> DataFrame:
 
 @dataclass
 class TopicModel:
-    vocabulary: list[str]
     topics: DataFrame            # topic_id, rank, term, weight
     assignments: DataFrame       # docs + topic_id, topic_score
-    keywords: DataFrame          # topic_id, topic_keywords, topic_name
 
 
 def no_topics(docs: DataFrame) -> TopicModel:
-    spark = docs.sparkSession
     assigned = docs.withColumns({"topic_id": F.lit(None).cast("int"), "topic_score": F.lit(None).cast("double")}).limit(0)
-    return TopicModel([], spark.createDataFrame([], "topic_id INT, rank INT, weight DOUBLE, term STRING"), assigned,
-                      spark.createDataFrame([], "topic_id INT, topic_keywords STRING, topic_name STRING"))
-
-
-def fit_topics(docs: DataFrame, k: int = fv.LDA_TOPICS, max_iter: int = fv.LDA_PASSES,
-               seed: int = fv.LDA_SEED, no_below: int = fv.LDA_NO_BELOW,
-               no_above: float = fv.LDA_NO_ABOVE,
-               topn: int = fv.TOPIC_KEYWORDS_N, col: str = "token_clean_topic") -> TopicModel:
-    """Ops 40-42.  An empty corpus or vocabulary gives empty tables."""
-    spark = docs.sparkSession
-    n = docs.count()
-    if n == 0:
-        return no_topics(docs)
-    max_df = float(int(no_above * n))
-    if max_df < no_below:
-        return no_topics(docs)
-    cv = CountVectorizer(inputCol=col, outputCol="_bow", minDF=float(no_below),
-                         maxDF=max_df, vocabSize=ALL_TERMS)
-    cvm = cv.fit(docs)
-    vocab = list(cvm.vocabulary)
-    if not vocab:
+    return TopicModel(docs.sparkSession.createDataFrame([], "topic_id INT, rank INT, term STRING, weight DOUBLE"), assigned)
+
+
+def fit_topics(docs: DataFrame, k: int = fv.LDA_TOPICS, passes: int = fv.LDA_PASSES, seed: int = fv.LDA_SEED,
+               no_below: int = fv.LDA_NO_BELOW, no_above: float = fv.LDA_NO_ABOVE, topn: int = TOPIC_TERMS,
+               col: str = "token_clean_topic", id_col: str = "comment_id", block_rows: int = lda.BLOCK_ROWS) -> TopicModel:
+    """Ops 40-41.  Every term of the vocabulary takes part.  An empty corpus
+    or vocabulary gives empty tables."""
+    vocab = stage(vocabulary(docs, col, no_below, no_above, id_col), "vocabulary")
+    if vocab.isEmpty():
         return no_topics(docs)
-    # The online optimizer passes over the corpus once per iteration: keep
-    # the bag-of-words vectors (MEMORY_AND_DISK; a lost block is recomputed
-    # from the stage) instead of re-reading and re-vectorising each time.
-    bows = cvm.transform(docs).persist(StorageLevel.MEMORY_AND_DISK)
-    lda = LDA(k=k, maxIter=max_iter, seed=seed, optimizer="online", featuresCol="_bow",
-              learningOffset=1.0, learningDecay=0.5, subsamplingRate=1.0,
-              optimizeDocConcentration=True, topicDistributionCol="_theta")
-    try:
-        model = lda.fit(bows)
-    finally:
-        bows.unpersist()
-
-    desc = model.describeTopics(max(topn, 10))
-    named = {i for r in desc.select("termIndices").collect() for i in r.termIndices}     # K rows
-    words = spark.createDataFrame([(i, vocab[i]) for i in sorted(named)], "term_index INT, term STRING")
-    topics = (desc.select(F.col("topic").alias("topic_id"),
-                          F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("pos", "tw"))
-              .select("topic_id", (F.col("pos") + 1).alias("rank"),
-                      F.col("tw.termIndices").alias("term_index"), F.col("tw.termWeights").alias("weight"))
-              .join(F.broadcast(words), "term_index").drop("term_index"))
-
-    # A document with an empty bag gets the learned prior's argmax.
-    alpha = [float(a) for a in model.estimatedDocConcentration()]
-    prior_id = max(range(k), key=lambda i: (alpha[i], -i))
-    prior_score = alpha[prior_id] / sum(alpha)
-    # Spark gives an empty bag an all-zero topic vector (K values, small).
-    theta = vector_to_array(F.col("_theta"))
-    assigned = model.transform(cvm.transform(docs)).withColumn("_th", theta)
-    nonzero = F.array_max("_th") > 0
-    assigned = assigned.withColumns({
-        "topic_id": F.when(nonzero, F.array_position("_th", F.array_max("_th")) - 1)
-                     .otherwise(F.lit(prior_id)).cast("int"),
-        "topic_score": F.when(nonzero, F.array_max("_th")).otherwise(F.lit(prior_score)),
-    }).drop("_th", "_theta", "_bow")
+    bags = bag_of_words(docs, vocab, col, id_col).withColumnRenamed("count", "n")
+    weights, mixtures, prior = lda.fit(bags, vocab, k, passes, seed, id_col, block_rows)
+    return TopicModel(lda.top_terms(weights, k, topn), lda.dominant(docs, mixtures, prior, k, id_col))
+
 
+def topic_keywords(topics: DataFrame, topn: int = fv.TOPIC_KEYWORDS_N) -> DataFrame:
+    """Op 42: ``topn`` words and a name of the first three, a row per topic."""
     ordered = F.array_sort(F.collect_list(F.struct("rank", "term")))
-    kw = (topics.filter(F.col("rank") <= topn).groupBy("topic_id").agg(ordered.alias("_t"))
-          .select("topic_id",
-                  F.array_join(F.transform("_t", lambda s: s["term"]), ", ").alias("topic_keywords"),
-                  F.array_join(F.slice(F.transform("_t", lambda s: s["term"]), 1, 3), " / ").alias("topic_name")))
-    return TopicModel(vocab, topics, assigned, kw)
+    words = topics.filter(F.col("rank") <= topn).groupBy("topic_id").agg(F.transform(ordered, lambda s: s["term"]).alias("_t"))
+    return words.select("topic_id", F.array_join("_t", ", ").alias("topic_keywords"),
+                        F.array_join(F.slice("_t", 1, 3), " / ").alias("topic_name"))
 
 
 def topic_summary(assigned: DataFrame, keywords: DataFrame, order: str = "topic_id") -> DataFrame:
@@ -185,4 +134,4 @@ def topic_summary(assigned: DataFrame, keywords: DataFrame, order: str = "topic_
 
 def topic_comments(assigned: DataFrame, n: int = fv.TOPIC_COMMENTS, id_col: str = "comment_id") -> DataFrame:
     """Op 44: the ``n`` comments with the highest topic probability."""
-    return assigned.orderBy(F.col("topic_score").desc(), F.col(id_col)).limit(n)
+    return assigned.orderBy(F.round("topic_score", 9).desc(), F.col(id_col)).limit(n)

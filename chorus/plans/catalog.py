@@ -24,6 +24,7 @@ from chorus.operators import tokens as TK
 from chorus.operators import topics as TP
 from chorus.plans import oracle as O
 from chorus.plans.stage import stage
+from chorus.plans.store import stored
 from chorus.session import scratch_path
 from chorus.sources import sinks as SK
 
@@ -261,9 +262,15 @@ def nlp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TK.lemmatize_comments(prepared(spark, sf_dir))
 
 
+def source(sf_dir: str, name: str) -> str:
+    return f"{sf_dir.rstrip('/')}/{name}.parquet"
+
+
 def nlp_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The token table, written once; its readers need no raw text fields."""
-    return stage(nlp(spark, sf_dir).drop("comment", "date", "like_count", "author"), "nlp")
+    """The stored token table, read by every query over tokens; its readers
+    need no raw text fields."""
+    return stored(spark, "tokens", [source(sf_dir, "documents")], {"stop words": TK.general_stopwords()},
+                  lambda: nlp(spark, sf_dir).drop("comment", "date", "like_count", "author"))
 
 
 _NLP = f"""{O.BASE},
@@ -356,28 +363,28 @@ def q_kpis(spark, sf_dir):
 
 USER_STOPWORDS = "Subscribe, LINK , ,lol,"     # a user string with blanks, case and a trailing comma
 RERUN_STOPWORDS = "the, ereth, thth"           # words excluded on the topic-only rerun
-STOPS = TP.topic_stopwords(USER_STOPWORDS)
 
 
-def topic_base(spark, sf_dir, stops=STOPS) -> DataFrame:
+def stop_words(spark, user_text: str = USER_STOPWORDS, domain=None) -> list[str]:
+    return TP.topic_stopwords(spark, user_text, domain)
+
+
+def topic_base(spark, sf_dir, user_text: str = USER_STOPWORDS) -> DataFrame:
     """Comments with non-empty topic text and their vectoriser tokens."""
-    return PH.phrase_tokens(TP.topic_text(nlp_stage(spark, sf_dir), stops))
+    return PH.phrase_tokens(TP.topic_text(nlp_stage(spark, sf_dir), stop_words(spark, user_text)))
 
 
-def _topic_sql(stops) -> str:
-    return f"""{_NLP},
-topic AS (
-  SELECT comment_id, list_filter(token_clean, lambda t: t NOT IN {O.in_list(stops)} AND length(t) >= 3) AS toks
-  FROM nlp),
-tdocs AS (SELECT comment_id, toks, array_to_string(toks, ' ') AS topic_text FROM topic WHERE len(toks) > 0),
-pdocs AS (SELECT comment_id, {O.vtokens_sql('topic_text')} AS vtokens FROM tdocs)"""
+def _topic_sql(user_text: str, domain=fv.DOMAIN_STOPWORDS) -> str:
+    return f"{_NLP},\n{O.topic_ctes(user_text, domain, TK.general_stopwords())}"
 
 
-_TOPIC = _topic_sql(STOPS)
+_TOPIC = _topic_sql(USER_STOPWORDS)
+_RERUN = _topic_sql(RERUN_STOPWORDS)
 
 
-@register("topic_stopwords", f"""{_NLP}
-SELECT s.word, coalesce(c.n, 0) AS occurrences FROM (SELECT unnest([{O.in_list(STOPS)[1:-1]}]) AS word) s
+@register("topic_stopwords", f"""{_NLP},
+{O.stops_cte(USER_STOPWORDS, fv.DOMAIN_STOPWORDS, TK.general_stopwords())}
+SELECT s.word, coalesce(c.n, 0) AS occurrences FROM stops s
 LEFT JOIN (SELECT word, count(*) AS n FROM (SELECT unnest(token_clean) AS word FROM nlp) GROUP BY word) c USING (word)""")
 def q_topic_stopwords(spark, sf_dir):
     """Op 34: the union of the three lists, with how often each word is left
@@ -390,29 +397,33 @@ def q_topic_stopwords(spark, sf_dir):
 @register("topic_tokens", f"""{_TOPIC}
 SELECT comment_id, array_to_string(toks, ' ') AS token_clean_topic FROM topic""")
 def q_topic_tokens(spark, sf_dir):
-    t = TP.add_topic_tokens(nlp(spark, sf_dir), STOPS)
+    t = TP.add_topic_tokens(nlp(spark, sf_dir), stop_words(spark))
     return t.select("comment_id", F.concat_ws(" ", "token_clean_topic").alias("token_clean_topic"))
 
 
 @register("topic_text", f"""{_TOPIC}
 SELECT comment_id, topic_text FROM tdocs""")
 def q_topic_text(spark, sf_dir):
-    return TP.topic_text(nlp(spark, sf_dir), STOPS).select("comment_id", "topic_text")
+    return TP.topic_text(nlp(spark, sf_dir), stop_words(spark)).select("comment_id", "topic_text")
 
 
-@register("vocabulary", f"""{_TOPIC}
-SELECT term, doc_freq FROM (
-  SELECT term, count(*) AS doc_freq FROM (SELECT unnest(list_distinct(toks)) AS term FROM tdocs) GROUP BY term)
-WHERE doc_freq >= {fv.LDA_NO_BELOW} AND doc_freq <= floor((SELECT count(*) FROM tdocs) * CAST({fv.LDA_NO_ABOVE} AS DOUBLE))""")
-def q_vocabulary(spark, sf_dir):
-    docs = stage(TP.topic_docs(nlp_stage(spark, sf_dir), STOPS), "topic-docs")
-    return TP.vocabulary(docs)
+def topic_corpus(spark, sf_dir, user_text: str = USER_STOPWORDS, domain=None) -> DataFrame:
+    docs = TP.topic_docs(nlp_stage(spark, sf_dir), stop_words(spark, user_text, domain))
+    return docs.select("comment_id", "token_clean_topic")
+
 
+def vocabulary_stage(spark, sf_dir) -> DataFrame:
+    return stage(TP.vocabulary(topic_corpus(spark, sf_dir)), "vocabulary")
 
-_VOCAB = f"""vocab AS (
-  SELECT term FROM (
-    SELECT term, count(*) AS doc_freq FROM (SELECT unnest(list_distinct(toks)) AS term FROM tdocs) GROUP BY term)
-  WHERE doc_freq >= {fv.LDA_NO_BELOW} AND doc_freq <= floor((SELECT count(*) FROM tdocs) * CAST({fv.LDA_NO_ABOVE} AS DOUBLE)))"""
+
+_VOCAB = O.vocab_cte(fv.LDA_NO_BELOW, fv.LDA_NO_ABOVE)
+
+
+@register("vocabulary", f"""{_TOPIC},
+{_VOCAB}
+SELECT term, doc_freq FROM vocab""")
+def q_vocabulary(spark, sf_dir):
+    return TP.vocabulary(topic_corpus(spark, sf_dir))
 
 
 @register("bag_of_words", f"""{_TOPIC},
@@ -420,15 +431,14 @@ _VOCAB = f"""vocab AS (
 SELECT comment_id, term, count(*) AS count FROM (SELECT comment_id, unnest(toks) AS term FROM tdocs)
 WHERE term IN (SELECT term FROM vocab) GROUP BY 1, 2""")
 def q_bag_of_words(spark, sf_dir):
-    docs = stage(TP.topic_docs(nlp_stage(spark, sf_dir), STOPS), "topic-docs")
-    return TP.bag_of_words(docs, TP.vocabulary(docs)).select("comment_id", "term", "count")
+    return TP.bag_of_words(topic_corpus(spark, sf_dir), vocabulary_stage(spark, sf_dir))
 
 
 @register("corpus_stats", f"""{_TOPIC},
 {_VOCAB}
 SELECT (SELECT count(*) FROM vocab) AS vocabulary_size, count(*) AS documents FROM tdocs""")
 def q_corpus_stats(spark, sf_dir):
-    docs = stage(TP.topic_docs(nlp_stage(spark, sf_dir), STOPS), "topic-docs")
+    docs = topic_corpus(spark, sf_dir)
     return TP.corpus_stats(docs, TP.vocabulary(docs))
 
 
@@ -448,10 +458,7 @@ def q_top_trigrams(spark, sf_dir):
 bdocs AS (SELECT comment_id, {O.vtokens_sql("array_to_string(token_clean, ' ')", fv.PHRASE_STOPWORDS_NOTEBOOK)} AS vtokens FROM nlp)
 {O.top_ngrams_sql('bdocs', 2, fv.TOP_PHRASES)}""")
 def q_top_bigrams(spark, sf_dir):
-    # notebook variant: all documents (empty ones count in N), own stop list
-    docs = nlp_stage(spark, sf_dir).withColumn("topic_text", F.concat_ws(" ", "token_clean"))
-    docs = PH.phrase_tokens(docs, stopwords=fv.PHRASE_STOPWORDS_NOTEBOOK)
-    return PH.top_ngrams(docs.select("comment_id", "vtokens"), 2)
+    return PH.top_ngrams(notebook_phrase_docs(spark, sf_dir), 2)
 
 
 @register("tfidf_keywords", f"""{_TOPIC}
@@ -461,53 +468,157 @@ def q_tfidf_keywords(spark, sf_dir):
     return k.select("term", F.round("tfidf_score", 6).alias("tfidf_score"))
 
 
-_RERUN_STOPS = TP.topic_stopwords(RERUN_STOPWORDS)
+# topic-only rerun (op 45): other excluded words, the same stored tokens, no sentiment
 
-
-@register("topics_rerun", f"""{_topic_sql(_RERUN_STOPS)}
+@register("topics_rerun", f"""{_RERUN}
 {O.tfidf_sql('pdocs', fv.TOP_KEYWORDS)}""")
 def q_topics_rerun(spark, sf_dir):
-    """Op 45: topic-only rerun with extra excluded words, reading the
-    staged token table (sentiment is not recomputed)."""
-    staged = nlp_stage(spark, sf_dir)
-    docs = PH.phrase_tokens(TP.topic_text(staged, _RERUN_STOPS))
-    k = PH.tfidf_keywords(docs)
+    """Op 45, keywords: rerun with extra excluded words from the stored
+    token table."""
+    k = PH.tfidf_keywords(topic_base(spark, sf_dir, RERUN_STOPWORDS))
     return k.select("term", F.round("tfidf_score", 6).alias("tfidf_score"))
 
 
-# LDA (rows-only: the sampler is not reproducible across engines)
+@register("topics_rerun_trigrams", f"""{_RERUN}
+{O.top_ngrams_sql('pdocs', 3, fv.TOP_PHRASES)}""")
+def q_rerun_trigrams(spark, sf_dir):
+    """Op 45, phrases: as ``topics_rerun``."""
+    return PH.top_ngrams(topic_base(spark, sf_dir, RERUN_STOPWORDS), 3)
+
+
+# notebook variants: own stop lists, all documents kept
+
+def notebook_phrase_docs(spark, sf_dir) -> DataFrame:
+    """Phrase and keyword input of the notebook: all documents, empty ones
+    too (they count in N), own stop list."""
+    docs = nlp_stage(spark, sf_dir).withColumn("topic_text", F.concat_ws(" ", "token_clean"))
+    return PH.phrase_tokens(docs, stopwords=fv.PHRASE_STOPWORDS_NOTEBOOK).select("comment_id", "vtokens")
+
+
+_NB_DOCS = f"""{_NLP},
+bdocs AS (SELECT comment_id, {O.vtokens_sql("array_to_string(token_clean, ' ')", fv.PHRASE_STOPWORDS_NOTEBOOK)} AS vtokens FROM nlp)"""
+
+
+@register("notebook_trigrams", f"""{_NB_DOCS}
+{O.top_ngrams_sql('bdocs', 3, fv.TOP_PHRASES)}""")
+def q_notebook_trigrams(spark, sf_dir):
+    return PH.top_ngrams(notebook_phrase_docs(spark, sf_dir), 3)
+
+
+@register("notebook_tfidf_keywords", f"""{_NB_DOCS}
+{O.tfidf_sql('bdocs', fv.TOP_KEYWORDS_NOTEBOOK)}""")
+def q_notebook_tfidf(spark, sf_dir):
+    k = PH.tfidf_keywords(notebook_phrase_docs(spark, sf_dir), top=fv.TOP_KEYWORDS_NOTEBOOK)
+    return k.select("term", F.round("tfidf_score", 6).alias("tfidf_score"))
+
+
+def notebook_topic_tokens(spark, sf_dir) -> DataFrame:
+    """The notebook's topic tokens: its domain list alone, no document dropped."""
+    return TP.add_topic_tokens(nlp_stage(spark, sf_dir), sorted(fv.DOMAIN_STOPWORDS_NOTEBOOK))
+
+
+_NB_TOPIC = f"""{_NLP},
+tdocs AS (SELECT comment_id, list_filter(token_clean, lambda t: t NOT IN {O.in_list(fv.DOMAIN_STOPWORDS_NOTEBOOK)} AND length(t) >= 3) AS toks
+  FROM nlp)"""
 
-def topic_model(spark, sf_dir):
-    docs = stage(TP.topic_docs(nlp_stage(spark, sf_dir), STOPS).select("comment_id", "token_clean_topic"),
-                 "topic-docs")
-    return TP.fit_topics(docs)
 
+@register("notebook_vocabulary", f"""{_NB_TOPIC},
+{O.vocab_cte(fv.LDA_NO_BELOW, fv.LDA_NO_ABOVE_NOTEBOOK)}
+SELECT term, doc_freq FROM vocab""")
+def q_notebook_vocabulary(spark, sf_dir):
+    return TP.vocabulary(notebook_topic_tokens(spark, sf_dir), no_above=fv.LDA_NO_ABOVE_NOTEBOOK)
 
-@register("lda_topic_terms")
+
+@register("notebook_word_counts", f"""{_NB_TOPIC}
+SELECT word, count(*) AS count FROM (SELECT unnest(toks) AS word FROM tdocs) GROUP BY word""")
+def q_notebook_word_counts(spark, sf_dir):
+    """Op 30 over the notebook's topic tokens."""
+    return TK.word_counts(notebook_topic_tokens(spark, sf_dir), "token_clean_topic")
+
+
+@register("notebook_token_profile", f"""{_NB_TOPIC}
+SELECT count(n) AS count, round(avg(n), 6) AS mean, round(stddev_samp(n), 6) AS std,
+       round(CAST(min(n) AS DOUBLE), 6) AS min, round(quantile_cont(n, 0.25), 6) AS q25,
+       round(quantile_cont(n, 0.5), 6) AS q50, round(quantile_cont(n, 0.75), 6) AS q75,
+       round(CAST(max(n) AS DOUBLE), 6) AS max
+FROM (SELECT len(toks) AS n FROM tdocs)""")
+def q_notebook_token_profile(spark, sf_dir):
+    """Op 28 over the notebook's topic tokens."""
+    t = notebook_topic_tokens(spark, sf_dir).withColumn("n", F.size("token_clean_topic"))
+    p = TK.token_count_profile(t, "n")
+    return p.select("count", *[F.round(c, 6).alias(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")])
+
+
+# LDA: one stored fit is read by all topic queries
+
+def topic_model(spark, sf_dir, user_text: str = USER_STOPWORDS) -> TP.TopicModel:
+    params = {"general": TK.general_stopwords(), "domain": fv.DOMAIN_STOPWORDS, "user": user_text, "k": fv.LDA_TOPICS,
+              "passes": fv.LDA_PASSES, "seed": fv.LDA_SEED, "below": fv.LDA_NO_BELOW, "above": fv.LDA_NO_ABOVE}
+    made = []
+
+    def fitted() -> TP.TopicModel:
+        if not made:
+            made.append(TP.fit_topics(topic_corpus(spark, sf_dir, user_text)))
+        return made[0]
+
+    sources = [source(sf_dir, "documents")]
+    assigned = stored(spark, "topic-assignments", sources, params, lambda: fitted().assignments)
+    return TP.TopicModel(stored(spark, "topic-terms", sources, params, lambda: fitted().topics), assigned)
+
+
+def _lda_sql(topic: str) -> str:
+    return f"{topic},\n{_VOCAB},\n{O.lda_ctes(fv.LDA_TOPICS, fv.LDA_PASSES, fv.LDA_SEED)}"
+
+
+_LDA = _lda_sql(_TOPIC)
+
+
+@register("lda_topic_terms", f"""{_LDA}
+SELECT topic_id, rank, term, round(weight, 6) AS weight FROM topic_terms""")
 def q_lda_topic_terms(spark, sf_dir):
-    return topic_model(spark, sf_dir).topics
+    return topic_model(spark, sf_dir).topics.select("topic_id", "rank", "term", F.round("weight", 6).alias("weight"))
 
 
-@register("dominant_topic")
+@register("dominant_topic", f"""{_LDA}
+SELECT comment_id, topic_id, round(topic_score, 6) AS topic_score FROM assigned""")
 def q_dominant_topic(spark, sf_dir):
-    return topic_model(spark, sf_dir).assignments.select("comment_id", "topic_id", "topic_score")
+    return topic_model(spark, sf_dir).assignments.select("comment_id", "topic_id", F.round("topic_score", 6).alias("topic_score"))
 
 
-@register("topic_keywords")
+@register("topic_keywords", f"""{_LDA}
+SELECT topic_id, topic_keywords, topic_name FROM topic_words""")
 def q_topic_keywords(spark, sf_dir):
-    return topic_model(spark, sf_dir).keywords
+    return TP.topic_keywords(topic_model(spark, sf_dir).topics)
+
+
+_SUMMARY = """SELECT topic_id, comment_count, topic_keywords, topic_name
+FROM (SELECT topic_id, count(*) AS comment_count FROM assigned GROUP BY topic_id) LEFT JOIN topic_words USING (topic_id)"""
 
 
-@register("topic_summary")
+def topic_summary(spark, sf_dir, user_text: str = USER_STOPWORDS) -> DataFrame:
+    m = topic_model(spark, sf_dir, user_text)
+    return TP.topic_summary(m.assignments, TP.topic_keywords(m.topics))
+
+
+@register("topic_summary", f"""{_LDA}
+{_SUMMARY}""")
 def q_topic_summary(spark, sf_dir):
-    m = topic_model(spark, sf_dir)
-    return TP.topic_summary(m.assignments, m.keywords)
+    return topic_summary(spark, sf_dir)
+
+
+@register("topics_rerun_summary", f"""{_lda_sql(_RERUN)}
+{_SUMMARY}""")
+def q_rerun_summary(spark, sf_dir):
+    """Op 45, topics: as ``topics_rerun``."""
+    return topic_summary(spark, sf_dir, RERUN_STOPWORDS)
 
 
-@register("topic_comments")
+@register("topic_comments", f"""{_LDA}
+SELECT comment_id, topic_id, round(topic_score, 6) AS topic_score FROM assigned
+ORDER BY round(topic_score, 9) DESC, comment_id LIMIT {fv.TOPIC_COMMENTS}""")
 def q_topic_comments(spark, sf_dir):
-    m = topic_model(spark, sf_dir)
-    return TP.topic_comments(m.assignments).select("comment_id", "topic_id", "topic_score")
+    return TP.topic_comments(topic_model(spark, sf_dir).assignments).select(
+        "comment_id", "topic_id", F.round("topic_score", 6).alias("topic_score"))
 
 
 # ---------------------------------------------------------------- 2.1 sources
@@ -607,11 +718,32 @@ def q_write_results_csv(spark, sf_dir):
     return SK.read_csv(spark, path, r.schema)
 
 
-@register("write_topics_csv")
+_RESULT_COLS = ["comment_id", "video_id", "date", "comment", "like_count", "author", "clean_comment"]
+_SCORE_COLS = ["lexicon_label", "lexicon_score", "binary_label", "binary_score", "ternary_label", "ternary_score"]
+
+
+@register("write_topics_csv", f"""{_ALL_SCORES},
+{O.nlp_cte(TK.general_stopwords())},
+{O.topic_ctes(USER_STOPWORDS, fv.DOMAIN_STOPWORDS, TK.general_stopwords())},
+{_VOCAB},
+{O.lda_ctes(fv.LDA_TOPICS, fv.LDA_PASSES, fv.LDA_SEED)}
+SELECT r.comment_id, r.video_id, r.date, r.comment, r.like_count, r.author, r.clean_comment,
+       lexicon_label, round(lexicon_score, 6) AS lexicon_score, binary_label, round(binary_score, 6) AS binary_score,
+       ternary_label, round(ternary_score, 6) AS ternary_score,
+       CAST(to_json(tokens) AS VARCHAR) AS tokens, CAST(to_json(token_clean) AS VARCHAR) AS token_clean,
+       CAST(len(token_clean) AS BIGINT) AS token_count, CAST(to_json(toks) AS VARCHAR) AS token_clean_topic,
+       topic_id, round(topic_score, 6) AS topic_score
+FROM assigned JOIN tdocs USING (comment_id) JOIN nlp USING (comment_id) JOIN results r USING (comment_id)""")
 def q_write_topics_csv(spark, sf_dir):
-    m = topic_model(spark, sf_dir)
-    out = m.assignments.join(m.keywords, "topic_id", "left").select(
-        "comment_id", "token_clean_topic", "topic_id", "topic_score", "topic_keywords", "topic_name")
+    """Op 51: every column of the topic results: the sentiment results, the
+    token columns and the topic of each comment."""
+    scores = results(spark, sf_dir).select(
+        *_RESULT_COLS, *[F.round(c, 6).alias(c) if c.endswith("_score") else c for c in _SCORE_COLS])
+    tokens = nlp_stage(spark, sf_dir).select("comment_id", "tokens", "token_clean", "token_count")
+    topics = topic_model(spark, sf_dir).assignments.withColumn("topic_score", F.round("topic_score", 6))
+    out = topics.join(scores, "comment_id").join(tokens, "comment_id").select(
+        *_RESULT_COLS, *_SCORE_COLS, "tokens", "token_clean", "token_count", "token_clean_topic", "topic_id", "topic_score")
+    out = stage(out, "topic-results")
     path = scratch_path(spark, "topics-csv")
     if not SK.write_topics_csv(out, path):
         return out.limit(0)

@@ -262,3 +262,83 @@ SELECT c.comment_id, c.video_id, c.date, c.comment,
        CASE WHEN c.comment_id % 13 <> 0 THEN c.like_count END AS like_count, c.author
 FROM comments c JOIN page_state s ON c.video_id = s.video_id AND c.comment_id // 100 = s.page_no
 WHERE s.readp AND NOT s.is_error"""
+
+
+def stops_cte(user_text: str, domain, general, name: str = "stops") -> str:
+    fixed = ", ".join(q(w) for w in (*general, *domain))
+    return f"""{name} AS (
+  SELECT DISTINCT word FROM (
+    SELECT unnest([{fixed}]) AS word
+    UNION ALL SELECT lower(regexp_replace(w, '^\\s+|\\s+$', '', 'g')) FROM (SELECT unnest(string_split({q(user_text)}, ',')) AS w))
+  WHERE word <> '')"""
+
+
+def topic_ctes(user_text: str, domain, general) -> str:
+    """CTEs ``stops``, ``topic``, ``tdocs`` and ``pdocs`` over ``nlp``."""
+    return f"""{stops_cte(user_text, domain, general)},
+topic AS (
+  SELECT comment_id, list_filter(token_clean, lambda t: NOT list_contains(sw, t) AND length(t) >= 3) AS toks
+  FROM nlp, (SELECT list(word) AS sw FROM stops)),
+tdocs AS (SELECT comment_id, toks, array_to_string(toks, ' ') AS topic_text FROM topic WHERE len(toks) > 0),
+pdocs AS (SELECT comment_id, {vtokens_sql('topic_text')} AS vtokens FROM tdocs)"""
+
+
+def vocab_cte(no_below: int, no_above: float) -> str:
+    return f"""vocab AS MATERIALIZED (
+  SELECT term, doc_freq FROM (
+    SELECT term, count(*) AS doc_freq FROM (SELECT unnest(list_distinct(toks)) AS term FROM tdocs) GROUP BY term)
+  WHERE doc_freq >= {no_below} AND doc_freq <= floor((SELECT count(*) FROM tdocs) * CAST({no_above} AS DOUBLE)))"""
+
+
+def digamma_sql(x: str) -> str:
+    y = f"(({x}) + 6.0)"
+    return (f"(ln({y}) - 1.0 / (2.0 * {y}) - 1.0 / (12.0 * {y} ** 2) + 1.0 / (120.0 * {y} ** 4) - 1.0 / (252.0 * {y} ** 6) - "
+            + " - ".join(f"1.0 / (({x}) + {i}.0)" for i in range(6)) + ")")
+
+
+def lda_ctes(k: int, passes: int, seed: int) -> str:
+    """The variational passes unrolled, over ``tdocs`` and ``vocab``: CTEs
+    ``topic_terms(topic_id, rank, term, weight)`` and ``assigned(comment_id,
+    topic_id, topic_score)``."""
+    ks = range(k)
+    cols = lambda f: ", ".join(f(i) for i in ks)
+    plus = lambda f: "(" + " + ".join(f(i) for i in ks) + ")"
+    digest = lambda i: f"md5(term || '|{i}|{seed}')"
+    start = lambda i: "(-ln((" + " + ".join(
+        f"(strpos('0123456789abcdef', substr({digest(i)}, {d + 1}, 1)) - 1) * {16 ** (6 - d)}.0" for d in range(7)) + f" + 0.5) / {16 ** 7}.0::DOUBLE))"
+    out = [f"""bags AS MATERIALIZED (
+  SELECT comment_id, term, CAST(count(*) AS DOUBLE) AS n FROM (SELECT comment_id, unnest(toks) AS term FROM tdocs)
+  WHERE term IN (SELECT term FROM vocab) GROUP BY 1, 2)""",
+           f"w0 AS MATERIALIZED (SELECT term, {cols(lambda i: f'CAST({start(i)} AS DOUBLE) AS l{i}')} FROM vocab)"]
+    for t in range(passes):
+        beta = cols(lambda i: f"exp({digamma_sql(f'l{i}')} - {digamma_sql(f's{i}')}) AS b{i}")
+        total = cols(lambda i: f"sum(l{i}) AS s{i}")
+        out.append(f"b{t} AS MATERIALIZED (SELECT term, {beta} FROM w{t}, (SELECT {total} FROM w{t}))")
+        if t == 0:
+            src, take = f"bags JOIN b{t} USING (term)", lambda i: f"b{i}"
+        else:
+            theta = cols(lambda i: f"exp({digamma_sql(f'g{i}')} - {digamma_sql(plus(lambda j: f'g{j}'))}) AS t{i}")
+            out.append(f"m{t} AS MATERIALIZED (SELECT comment_id, {theta} FROM g{t})")
+            src, take = f"bags JOIN b{t} USING (term) JOIN m{t} USING (comment_id)", lambda i: f"t{i} * b{i}"
+        out.append(f"r{t} AS MATERIALIZED (SELECT comment_id, term, {cols(lambda i: f'n * p{i} / {plus(lambda j: f'p{j}')} AS p{i}')} "
+                   f"FROM (SELECT comment_id, term, n, {cols(lambda i: f'{take(i)} AS p{i}')} FROM {src}))")
+        prior = cols(lambda i: f"a{i}" if t else f"CAST({1.0 / k!r} AS DOUBLE) AS a{i}")
+        before = f"SELECT {prior} FROM a{t}" if t else f"SELECT {prior}"
+        out.append(f"g{t + 1} AS MATERIALIZED (SELECT comment_id, {cols(lambda i: f'sum(p{i}) + any_value(a{i}) AS g{i}')} "
+                   f"FROM r{t}, ({before}) GROUP BY comment_id)")
+        out.append(f"a{t + 1} AS MATERIALIZED (SELECT {cols(lambda i: f'avg(g{i} / {plus(lambda j: f'g{j}')}) AS a{i}')} FROM g{t + 1})")
+        out.append(f"w{t + 1} AS MATERIALIZED (SELECT term, {cols(lambda i: f'sum(p{i}) + CAST({1.0 / k!r} AS DOUBLE) AS l{i}')} FROM r{t} GROUP BY term)")
+    terms = " UNION ALL ".join(f"SELECT {i} AS topic_id, term, l{i} / (SELECT sum(l{i}) FROM w{passes}) AS weight FROM w{passes}" for i in ks)
+    out.append(f"""topic_terms AS MATERIALIZED (SELECT * FROM (
+  SELECT topic_id, CAST(row_number() OVER (PARTITION BY topic_id ORDER BY round(weight, 9) DESC, term) AS INTEGER) AS rank, term, weight
+  FROM ({terms})) WHERE rank <= 10)""")
+    best = "CASE " + " ".join(f"WHEN g{i} = greatest({cols(lambda j: f'g{j}')}) THEN {i}" for i in ks) + " END"
+    out.append(f"""assigned AS MATERIALIZED (
+  SELECT comment_id, CAST({best} AS INTEGER) AS topic_id, greatest({cols(lambda i: f'g{i}')}) / {plus(lambda i: f'g{i}')} AS topic_score
+  FROM (SELECT d.comment_id, {cols(lambda i: f'coalesce(g.g{i}, a.a{i}) AS g{i}')}
+        FROM tdocs d LEFT JOIN g{passes} g USING (comment_id), a{passes} a))""")
+    out.append("""topic_words AS (
+  SELECT topic_id, string_agg(term, ', ' ORDER BY rank) FILTER (rank <= 8) AS topic_keywords,
+         string_agg(term, ' / ' ORDER BY rank) FILTER (rank <= 3) AS topic_name
+  FROM topic_terms GROUP BY topic_id)""")
+    return ",\n".join(out)
