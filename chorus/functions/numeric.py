@@ -1,18 +1,16 @@
-"""Numeric column expressions that Spark lacks."""
+"""Numeric expressions that Spark lacks, as SQL text (one expression tree to
+parse, where the column functions would build it call by call)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 DIGAMMA_SHIFT = 6
 
 
-def digamma(x: Column) -> Column:
-    """The digamma function of a positive column: the recurrence moves the
-    argument up by six, where the asymptotic series is good to 3e-9."""
-    y = x + DIGAMMA_SHIFT
-    series = F.ln(y) - 1.0 / (2.0 * y) - 1.0 / (12.0 * y * y) + 1.0 / (120.0 * y * y * y * y) - 1.0 / (252.0 * y * y * y * y * y * y)
-    for i in range(DIGAMMA_SHIFT):
-        series = series - 1.0 / (x + float(i))
-    return series
+def digamma(x: str) -> str:
+    """The digamma function of a positive expression: the recurrence moves
+    the argument up by six, where the asymptotic series is good to 3e-9."""
+    y = f"(({x}) + {DIGAMMA_SHIFT})"
+    square = f"({y} * {y})"
+    series = (f"ln({y}) - 1D / (2D * {y}) - 1D / (12D * {square}) + 1D / (120D * {square} * {square}) "
+              f"- 1D / (252D * {square} * {square} * {square})")
+    return "(" + series + "".join(f" - 1D / (({x}) + {i}D)" for i in range(DIGAMMA_SHIFT)) + ")"

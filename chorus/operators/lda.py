@@ -12,8 +12,8 @@ every topic.  A pass of variational Bayes is a join and an aggregate:
 
 The document prior starts symmetric and is learned: after each pass it is the
 mean mixture of the corpus, so frequent topics have more prior weight.  The
-starting weights come from a hash of the term (exponentially distributed,
-with the seed in it) and the number of passes is fixed, so the same corpus
+starting weights are the prior and what a hash of the term with the seed in
+it gives (exponentially distributed), and the number of passes is fixed, so the same corpus
 gives the same model on any engine and with any partitioning, up to the last
 bits of sums.
 
@@ -25,7 +25,7 @@ the document, so a term in most documents does not meet in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chorus.functions.numeric import digamma
@@ -33,82 +33,66 @@ from chorus.plans.stage import stage
 
 BLOCK_ROWS = 200_000
 HASH_DIGITS = 7                  # hex digits of the hash that give a starting weight
-_HEX = "0123456789abcdef"
 
 
-def start_weight(term: Column, topic: int, seed: int) -> Column:
+def start_weight(term: str, topic: int, seed: int) -> str:
     """A weight from the exponential distribution: minus the logarithm of a
     number in (0, 1) made of the first digits of ``md5(term|topic|seed)``."""
-    digest = F.md5(F.concat(term, F.lit(f"|{topic}|{seed}")))
-    number = sum((F.instr(F.lit(_HEX), F.substring(digest, i + 1, 1)) - 1) * float(16 ** (HASH_DIGITS - 1 - i)) for i in range(HASH_DIGITS))
-    return -F.ln((number + 0.5) / float(16 ** HASH_DIGITS))
+    digits = f"substring(md5(concat({term}, '|{topic}|{seed}')), 1, {HASH_DIGITS})"
+    return f"-ln((cast(conv({digits}, 16, 10) as double) + 0.5D) / {16 ** HASH_DIGITS}D)"
 
 
 def _names(prefix: str, k: int) -> list[str]:
     return [f"{prefix}{i}" for i in range(k)]
 
 
-def _sum(cols: list[Column]) -> Column:
-    out = cols[0]
-    for c in cols[1:]:
-        out = out + c
-    return out
-
-
 def fit(bags: DataFrame, vocabulary: DataFrame, k: int, passes: int, seed: int, id_col: str = "comment_id",
         block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame, list[float]]:
     """``(weights, mixtures, prior)`` from ``bags(id_col, term, n)`` and
     ``vocabulary(term, doc_freq)``: ``weights`` has ``term, l0 ..``,
     ``mixtures`` ``id_col, g0 ..`` (documents with a term), ``prior`` is K
     numbers.  Topic-term prior and sum of the document prior: 1 / k and 1."""
-    ls, gs, ss = _names("l", k), _names("g", k), _names("s", k)
+    topics, ls = range(k), _names("l", k)
+    whole = " + ".join(_names("g", k))
     blocks = F.floor(F.col("doc_freq") / block_rows) + 1
     vocabulary = vocabulary.select("term", blocks.alias("blocks"))
     rows = bags.join(vocabulary, "term").select(
         F.col(id_col).alias("doc"), "term", "blocks", F.col("n").cast("double").alias("n"),
         F.pmod(F.xxhash64(id_col), "blocks").alias("block"))
     rows = stage(rows, "lda-bags")
-    weights = stage(vocabulary.select("term", "blocks", *[start_weight(F.col("term"), i, seed).alias(c) for i, c in enumerate(ls)]), "lda-weights")
-    totals = weights.agg(*[F.sum(c) for c in ls]).first()                       # K numbers
+    weights = stage(vocabulary.selectExpr("term", "blocks", *[f"{1.0 / k!r}D + {start_weight('term', i, seed)} AS l{i}" for i in topics]), "lda-weights")
+    totals = weights.agg(*[F.sum(f"l{i}") for i in topics]).first()               # K numbers
     prior, mixtures = [1.0 / k] * k, None
     for _ in range(passes):
-        beta = weights.select("term", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"),
-                              *[F.exp(digamma(F.col(c)) - digamma(F.lit(t))).alias(f"b{i}") for i, (c, t) in enumerate(zip(ls, totals))])
+        beta = weights.selectExpr("term", "explode(sequence(0L, blocks - 1)) AS block",
+                                  *[f"exp({digamma(f'l{i}')} - {digamma(f'{totals[i]!r}D')}) AS b{i}" for i in topics])
         met = rows.join(beta, ["term", "block"])
-        take = [F.col(f"b{i}") for i in range(k)]
+        take = [f"b{i}" for i in topics]
         if mixtures is not None:
-            whole = digamma(_sum([F.col(c) for c in gs]))
-            theta = mixtures.select("doc", *[F.exp(digamma(F.col(c)) - whole).alias(f"t{i}") for i, c in enumerate(gs)])
+            theta = mixtures.selectExpr("doc", *[f"exp({digamma(f'g{i}')} - {digamma(whole)}) AS t{i}" for i in topics])
             met = met.join(theta, "doc")
-            take = [F.col(f"t{i}") * F.col(f"b{i}") for i in range(k)]
-        met = met.select("doc", "term", "blocks", "n", *[t.alias(f"p{i}") for i, t in enumerate(take)])
-        all_of = _sum([F.col(f"p{i}") for i in range(k)])
-        met = met.select("doc", "term", "blocks", *[(F.col("n") * F.col(f"p{i}") / all_of).alias(f"p{i}") for i in range(k)])
+            take = [f"t{i} * b{i}" for i in topics]
+        met = met.selectExpr("doc", "term", "blocks", "n", *[f"{t} AS p{i}" for i, t in zip(topics, take)])
+        met = met.selectExpr("doc", "term", "blocks", *[f"n * p{i} / ({' + '.join(f'p{j}' for j in topics)}) AS p{i}" for i in topics])
         summed = met.groupingSets([["doc"], ["term", "blocks"]], "doc", "term", "blocks").agg(
-            (F.grouping("doc") == 0).alias("is_doc"), *[F.sum(f"p{i}").alias(c) for i, c in enumerate(ss)])
+            (F.grouping("doc") == 0).alias("is_doc"), *[F.sum(f"p{i}").alias(f"s{i}") for i in topics])
         summed = stage(summed, "lda-pass")
-        mixtures = summed.filter("is_doc").select("doc", *[(F.col(s) + a).alias(g) for s, a, g in zip(ss, prior, gs)])
-        weights = summed.filter("not is_doc").select("term", "blocks", *[(F.col(s) + 1.0 / k).alias(c) for s, c in zip(ss, ls)])
-        totals = weights.agg(*[F.sum(c) for c in ls]).first()                   # K numbers
-        size = _sum([F.col(g) for g in gs])
-        prior = list(mixtures.agg(*[F.avg(F.col(g) / size) for g in gs]).first())          # K numbers
+        mixtures = summed.filter("is_doc").selectExpr("doc", *[f"s{i} + {prior[i]!r}D AS g{i}" for i in topics])
+        weights = summed.filter("not is_doc").selectExpr("term", "blocks", *[f"s{i} + {1.0 / k!r}D AS l{i}" for i in topics])
+        size = " + ".join(f"s{i} + {prior[i]!r}D" for i in topics)
+        state = summed.selectExpr(*[f"sum(if(is_doc, null, s{i} + {1.0 / k!r}D))" for i in topics],
+                                  *[f"avg(if(is_doc, (s{i} + {prior[i]!r}D) / ({size}), null))" for i in topics]).first()     # 2 K numbers
+        totals, prior = state[:k], list(state[k:])
     return weights.select("term", *ls), mixtures.withColumnRenamed("doc", id_col), prior
 
 
 def top_terms(weights: DataFrame, k: int, n: int) -> DataFrame:
     """``topic_id, rank, term, weight``: the ``n`` heaviest terms of each
     topic, weight as a share of the topic (ties by term)."""
-    parts = []
-    for i in range(k):
-        total = weights.select(F.sum(f"l{i}")).scalar()
-        best = weights.select("term", (F.col(f"l{i}") / total).alias("weight"))
-        best = best.orderBy(F.round("weight", 9).desc(), "term").limit(n)
-        best = best.agg(F.array_sort(F.collect_list(F.struct((-F.round("weight", 9)).alias("o"), "term", "weight"))).alias("t"))
-        parts.append(best.select(F.lit(i).alias("topic_id"), F.posexplode("t").alias("pos", "x")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("topic_id", (F.col("pos") + 1).alias("rank"), F.col("x.term").alias("term"), F.col("x.weight").alias("weight"))
+    totals = weights.agg(*[F.sum(f"l{i}") for i in range(k)]).first()          # K numbers
+    long = weights.select("term", F.posexplode(F.array(*[F.col(f"l{i}") / t for i, t in enumerate(totals)])).alias("topic_id", "weight"))
+    order = Window.partitionBy("topic_id").orderBy(F.round("weight", 9).desc(), "term")
+    return long.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).select("topic_id", "rank", "term", "weight")
 
 
 def dominant(docs: DataFrame, mixtures: DataFrame, prior: list[float], k: int, id_col: str = "comment_id") -> DataFrame:
@@ -121,4 +105,4 @@ def dominant(docs: DataFrame, mixtures: DataFrame, prior: list[float], k: int, i
     for i, g in enumerate(gs[1:], 1):
         best = F.when(F.col(g) > score, F.lit(i)).otherwise(best)
         score = F.greatest(score, F.col(g))
-    return out.withColumns({"topic_id": best.cast("int"), "topic_score": score / _sum([F.col(g) for g in gs])}).drop(*gs)
+    return out.withColumns({"topic_id": best.cast("int"), "topic_score": score / F.expr(" + ".join(gs))}).drop(*gs)

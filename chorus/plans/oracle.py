@@ -309,7 +309,7 @@ def lda_ctes(k: int, passes: int, seed: int) -> str:
     out = [f"""bags AS MATERIALIZED (
   SELECT comment_id, term, CAST(count(*) AS DOUBLE) AS n FROM (SELECT comment_id, unnest(toks) AS term FROM tdocs)
   WHERE term IN (SELECT term FROM vocab) GROUP BY 1, 2)""",
-           f"w0 AS MATERIALIZED (SELECT term, {cols(lambda i: f'CAST({start(i)} AS DOUBLE) AS l{i}')} FROM vocab)"]
+           f"w0 AS MATERIALIZED (SELECT term, {cols(lambda i: f'CAST({1.0 / k!r} AS DOUBLE) + CAST({start(i)} AS DOUBLE) AS l{i}')} FROM vocab)"]
     for t in range(passes):
         beta = cols(lambda i: f"exp({digamma_sql(f'l{i}')} - {digamma_sql(f's{i}')}) AS b{i}")
         total = cols(lambda i: f"sum(l{i}) AS s{i}")
