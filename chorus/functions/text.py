@@ -19,7 +19,7 @@ ColumnOrName = Column | str
 
 # Raw regex literals shared with the oracle SQL.
 URL_RE = r"(?U)http\S+|www\S+"
-STRICT_KEEP_RE = r"[^A-Za-z0-9\s'.,!?]+"      # runs: same text after the collapse
+STRICT_GAPS_RE = r"[^A-Za-z0-9'.,!?]+"
 SPACES_RE = r"(?U)\s+"
 EDGE_SPACES_RE = r"(?U)^\s+|\s+$"
 ASCII_PUNCT = r"!-/:-@\[-`{-~"          # string.punctuation as ranges
@@ -33,27 +33,24 @@ def _c(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _base_clean(c: ColumnOrName) -> Column:
+def _without_urls(c: ColumnOrName) -> Column:
+    """Null as empty, URLs deleted; most texts hold none and are spared the
+    regular expression."""
     t = F.coalesce(_c(c).cast("string"), F.lit(""))
-    t = F.translate(t, "\n\r", "  ")
-    return F.regexp_replace(t, URL_RE, "")
-
-
-def _finish(t: Column) -> Column:
-    t = F.regexp_replace(t, SPACES_RE, " ")
-    return F.regexp_replace(t, EDGE_SPACES_RE, "")
+    return F.when(t.contains("http") | t.contains("www"), F.regexp_replace(t, URL_RE, "")).otherwise(t)
 
 
 def clean_strict(c: ColumnOrName) -> Column:
-    """null -> ''; line breaks -> space; drop URLs; every character outside
-    letters, digits, whitespace and ' . , ! ? -> space; collapse; strip."""
-    return _finish(F.regexp_replace(_base_clean(c), STRICT_KEEP_RE, " "))
+    """null -> ''; drop URLs; every character outside letters, digits and
+    ' . , ! ? -> space; collapse; strip.  White space and other characters
+    that go all end in one space, so one pass replaces their runs."""
+    return F.trim(F.regexp_replace(_without_urls(c), STRICT_GAPS_RE, " "))
 
 
 def clean_light(c: ColumnOrName) -> Column:
     """As ``clean_strict`` without the character whitelist (keeps accents,
     emoji and all punctuation)."""
-    return _finish(_base_clean(c))
+    return F.trim(F.regexp_replace(_without_urls(c), SPACES_RE, " "))
 
 
 def video_id(c: ColumnOrName) -> Column:
