@@ -3,8 +3,9 @@
 The transformer pipelines of the analysed application cannot run offline,
 so the classifier is re-aimed as a Spark scoring job: a multinomial naive
 Bayes model trained from aggregates only (counts per class and term, class
-priors, Laplace smoothing) and applied with an explode -> join -> sum per
-comment -> softmax plan.  Whole texts are trained on and scored: the input
+priors, Laplace smoothing) and applied with a count in the row -> join -> sum
+per comment -> softmax plan, in which a comment's distinct terms move and not
+its tokens.  Whole texts are trained on and scored: the input
 limit of the transformer pipelines is theirs, a sum over tokens has none.
 
 * binary:  positive / negative
@@ -18,7 +19,7 @@ class.
 
 The weights table grows with the training vocabulary, so no broadcast hint
 is given: AQE broadcasts it when its measured size is under the threshold
-and keeps a shuffle join otherwise.
+and keeps a shuffle join otherwise, in which hot terms are salted.
 """
 
 from __future__ import annotations
@@ -28,7 +29,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chorus.functions.text import explode_tokens, model_tokens
+from chorus.functions.arrays import exploded_counts
+from chorus.functions.text import model_tokens
+from chorus.operators.hot import salted_join
 
 CLASSES = {
     "binary": ("negative", "positive"),
@@ -39,31 +42,34 @@ CLASSES = {
 @dataclass
 class NaiveBayesModel:
     classes: tuple[str, ...]
-    weights: DataFrame              # term, lp_<class> ...
+    weights: DataFrame              # term, uses, lp_<class> ...
     log_prior: dict[str, Column]    # scalar subqueries
-    joint_weights: DataFrame        # term, lp_<scheme>_<class> ... of all schemes trained together
+    joint_weights: DataFrame        # term, uses, lp_<scheme>_<class> ... of all schemes trained together
+
+
+def _hits(df: DataFrame, weights: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """Each comment's distinct terms, counted in the row, with their weights."""
+    counts = exploded_counts(df, [id_col], model_tokens(F.col(text_col)))
+    return salted_join(counts, weights, "term", "uses", F.col(id_col))
 
 
 def naive_bayes_sums(df: DataFrame, model: NaiveBayesModel, prefix: str,
                      text_col: str = "clean_comment", id_col: str = "comment_id") -> DataFrame:
     """Keyed partial result ``(<id_col>, <prefix>_s_<class>..., <prefix>_m)``
     for comments with at least one known term (others get the priors)."""
-    toks = explode_tokens(df, [id_col], model_tokens(F.col(text_col)), "term")
-    hits = toks.join(model.weights, "term")
-    return hits.groupBy(id_col).agg(
-        *[F.sum(f"lp_{c}").alias(f"{prefix}_s_{c}") for c in model.classes],
-        F.count("*").alias(f"{prefix}_m"))
+    return _hits(df, model.weights, text_col, id_col).groupBy(id_col).agg(
+        *[F.sum(F.col("n") * F.col(f"lp_{c}")).alias(f"{prefix}_s_{c}") for c in model.classes],
+        F.sum("n").alias(f"{prefix}_m"))
 
 
 def scheme_sums(df: DataFrame, models: dict[str, NaiveBayesModel],
                 text_col: str = "clean_comment", id_col: str = "comment_id") -> DataFrame:
     """``naive_bayes_sums`` of schemes that ``fit_schemes`` trained together,
-    side by side: one explode of the tokens, one join, one aggregate."""
-    toks = explode_tokens(df, [id_col], model_tokens(F.col(text_col)), "term")
-    hits = toks.join(next(iter(models.values())).joint_weights, "term")
+    side by side: terms counted once, one join, one aggregate."""
+    hits = _hits(df, next(iter(models.values())).joint_weights, text_col, id_col)
     return hits.groupBy(id_col).agg(
-        *[F.sum(f"lp_{s}_{c}").alias(f"{s}_s_{c}") for s, m in models.items() for c in m.classes],
-        *[F.count("*").alias(f"{s}_m") for s in models])
+        *[F.sum(F.col("n") * F.col(f"lp_{s}_{c}")).alias(f"{s}_s_{c}") for s, m in models.items() for c in m.classes],
+        *[F.sum("n").alias(f"{s}_m") for s in models])
 
 
 def finish_naive_bayes(df: DataFrame, model: NaiveBayesModel, prefix: str) -> DataFrame:
@@ -108,26 +114,27 @@ def _scheme_label(scheme: str):
 def fit_schemes(df: DataFrame, labels: DataFrame, schemes=("binary", "ternary"),
                 text_col: str = "clean_comment", id_col: str = "comment_id") -> dict[str, NaiveBayesModel]:
     """Train several label schemes on the same labelled texts in one pass:
-    one explode, one aggregate of per-(scheme, class) counts per term, written
-    once; each scheme's weights and priors are then read off that table."""
+    terms counted in the row, one aggregate of per-(scheme, class) counts per
+    term, written once; each scheme's weights and priors are then read off
+    that table.  ``uses`` is a term's number of labelled texts."""
     from chorus.plans.stage import stage
     lab = labels.select(F.col("doc_id").alias(id_col), "quality", "toxic")
     train = df.select(id_col, text_col).join(lab, id_col).select(
         text_col, *[_scheme_label(s).alias(f"_y_{s}") for s in schemes])
-    toks = explode_tokens(train, [f"_y_{s}" for s in schemes], model_tokens(F.col(text_col)), "term")
-    counts = stage(toks.groupBy("term").agg(*[
-        F.sum(F.when(F.col(f"_y_{s}") == c, 1).otherwise(0)).alias(f"n_{s}_{c}")
+    toks = exploded_counts(train, [f"_y_{s}" for s in schemes], model_tokens(F.col(text_col)))
+    counts = stage(toks.groupBy("term").agg(F.count("*").alias("uses"), *[
+        F.sum(F.when(F.col(f"_y_{s}") == c, F.col("n")).otherwise(0)).alias(f"n_{s}_{c}")
         for s in schemes for c in CLASSES[s]]), "nb-counts")
     vocab = counts.select(F.count("*").cast("double")).scalar()
     docs = train.agg(*[F.count_if(F.col(f"_y_{s}") == c).cast("double").alias(f"d_{s}_{c}")
                        for s in schemes for c in CLASSES[s]], F.count("*").cast("double").alias("_all"))
     totals = {(s, c): counts.select(F.sum(f"n_{s}_{c}").cast("double")).scalar() for s in schemes for c in CLASSES[s]}
-    joint = counts.select("term", *[
+    joint = counts.select("term", "uses", *[
         F.ln((F.col(f"n_{s}_{c}") + 1.0) / (total + vocab)).alias(f"lp_{s}_{c}") for (s, c), total in totals.items()])
     models = {}
     for s in schemes:
         cs = CLASSES[s]
-        weights = joint.select("term", *[F.col(f"lp_{s}_{c}").alias(f"lp_{c}") for c in cs])
+        weights = joint.select("term", "uses", *[F.col(f"lp_{s}_{c}").alias(f"lp_{c}") for c in cs])
         log_prior = {c: docs.select(F.ln(F.col(f"d_{s}_{c}") / F.col("_all"))).scalar() for c in cs}
         models[s] = NaiveBayesModel(cs, weights, log_prior, joint)
     return models

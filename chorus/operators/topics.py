@@ -19,6 +19,7 @@ from chorus.functions.arrays import exploded_counts
 from chorus.functions.bloom import BloomFilter
 from chorus.functions.text import EDGE_SPACES_RE, explode_tokens
 from chorus.operators import lda
+from chorus.operators.hot import salted_join
 from chorus.operators.tokens import general_stopwords
 from chorus.plans.stage import stage
 
@@ -82,7 +83,7 @@ def bag_of_words(docs: DataFrame, vocab: DataFrame, col: str = "token_clean_topi
     the join, which is exact.  ``vocab`` is read three times: store it."""
     rows = exploded_counts(docs, [id_col], F.col(col))
     rows = rows.filter(BloomFilter.of(vocab, "term").may_hold("term"))
-    return rows.join(vocab.select("term"), "term", "left_semi").select(id_col, "term", F.col("n").alias("count"))
+    return salted_join(rows, vocab, "term", "doc_freq", F.col(id_col)).select(id_col, "term", F.col("n").alias("count"))
 
 
 def corpus_stats(docs: DataFrame, vocab: DataFrame) -> DataFrame:

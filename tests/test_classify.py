@@ -38,3 +38,22 @@ def test_batch_model_agrees_with_spark_scoring(spark):
     for k in a:
         assert a[k][0] == b[k][0]
         assert a[k][1] == pytest.approx(b[k][1], abs=1e-9)
+
+
+def test_hot_terms_are_salted_and_scores_stay(spark, monkeypatch):
+    from chorus.operators import hot
+    df, labels = fixture(spark)
+    plain = {r.comment_id: r.binary_score for r in CL.classifier_scores(df, labels, "binary").collect()}
+    monkeypatch.setattr(CL, "salted_join", lambda *a: hot.salted_join(*a, hot_rows=1))
+    salted = CL.classifier_scores(df, labels, "binary")
+    assert {r.comment_id: pytest.approx(r.binary_score, abs=1e-12) for r in salted.collect()} == plain
+    assert "_salt" in salted._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_no_token_occurrence_moves(spark):
+    """A comment's repeated terms are one row of the join's input."""
+    df = spark.createDataFrame([(1, "spam " * 500 + "ham")], "comment_id long, clean_comment string")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    model = CL.fit_scheme(df, labels, "binary")
+    assert CL._hits(df, model.weights, "clean_comment", "comment_id").count() == 2
+    assert CL.naive_bayes_sums(df, model, "binary").first().binary_m == 501
