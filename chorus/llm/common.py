@@ -35,13 +35,18 @@ def full_text(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
-def worker_state(name: str, make):
-    """A value kept for the life of a Python worker process, so that tasks
-    that follow each other in one worker share it."""
+def worker_state(name: str, make, model: bool = True):
+    """A value kept in a Python worker process, so that tasks that follow
+    each other in one worker share it.  A worker keeps one model at a time:
+    the next operator's takes the place of the last one's."""
     home = sys.modules.setdefault("_chorus_worker_state", types.ModuleType("_chorus_worker_state"))
-    if not hasattr(home, name):
-        setattr(home, name, make())
-    return getattr(home, name)
+    held = home.__dict__.setdefault("held", {})
+    if name not in held:
+        if model:
+            for other in [k for k, v in held.items() if v[0]]:
+                del held[other]
+        held[name] = (model, make())
+    return held[name][1]
 
 
 def utf8_buffers(column) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +103,7 @@ def powers(n: int, base: int) -> np.ndarray:
 
 def _power_tables(n: int):
     """Powers of the base and of its inverse, grown as longer inputs come."""
-    held = worker_state("powers", lambda: {"n": 0})
+    held = worker_state("powers", lambda: {"n": 0}, model=False)
     if held["n"] < n:
         held["n"] = max(n, 1 << 16)
         held["up"], held["down"] = powers(held["n"], BASE), powers(held["n"], BASE_INVERSE)

@@ -23,13 +23,16 @@ classes are joined in three steps, exactly.
    triangle inequality's window: a partner may lie there); regions are
    joined recursively, down to leaves that are compared exactly, counting
    shared shingles by matrix products over blocks of shingles.  A family of
-   more than ``FAMILY_CAP`` sets is dealt out in pairs of blocks.
+   more than ``FAMILY_CAP`` sets or ``FAMILY_SHINGLES`` shingles is dealt out
+   in pairs of blocks.
 3. Components of the links give each document the least ``doc_id`` that it
    reaches.
 
 Cases: null and empty texts have no shingles and link with nothing; a text
-of fewer words than a shingle is one shingle; rows that repeat an id are
-each judged by their text and answered each; extra columns are not read; an
+of fewer words than a shingle is one shingle; sets are told apart by both of
+their keys, so rows that repeat an id are each judged by their text and
+answered each; rows without an id link like others, but their id names no
+component; extra columns are not read; an
 empty table gives an empty result.
 """
 
@@ -42,6 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chorus.functions.bloom import BloomFilter
 from chorus.llm.common import ByteHashes, mix64, slices_by_size, small_batches, table, utf8_buffers, word_bounds
 from chorus.llm.components import connected_components
 from chorus.plans.stage import stage
@@ -49,11 +53,14 @@ from chorus.plans.stage import stage
 SHINGLE = 4
 NUM, DEN = 85, 100
 CLASS_RATIO = 0.6              # lower / upper size of a size class
-LEAF = 400
+LEAF = 12
 PIVOTS = 8
-FAMILY_CAP = 3000
+FAMILY_CAP = 3000              # sets of a family that one task joins
+FAMILY_SHINGLES = 1_500_000    # and their shingles: 12 MB
 BLOCK_BYTES = 1_000_000
-BROADCAST_ROWS = 300_000       # rows of some forty bytes that may be broadcast
+BROADCAST_ROWS = 300_000       # rows of some eighty bytes that may be broadcast
+MET = 200_000                  # sets a task remembers to spare their copies' signatures
+NO_SIGNATURES = np.zeros(0, np.uint64)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -146,28 +153,37 @@ def set_keys(s: np.ndarray) -> tuple[int, int]:
 
 
 def sketch(k: int, num: int, den: int):
-    """``doc_id, n, k1, k2, drops, sigs`` of each text; keys are null without words."""
+    """``doc_id, text_hash, n, k1, k2, drops, sigs`` of each text; keys are
+    null without words.  A set that the task has met gives its signatures no
+    second time (``MET`` sets are remembered), so a group of copies, however
+    large, gives some rows a task."""
 
     def run(batches):
-        tables = SliceTables(num, den)
+        tables, met = SliceTables(num, den), set()
         for batch in batches:
             data, offsets = utf8_buffers(batch.column("text"))
             n, k1, k2, drops, sigs = [], [], [], [], []
             for a, b in slices_by_size(offsets, BLOCK_BYTES):
                 for s in doc_sets(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], k):
                     n.append(len(s))
-                    x, y = set_keys(s) if len(s) else (None, None)
-                    k1.append(x)
-                    k2.append(y)
-                    named, most = tables.signatures(s)
+                    key = set_keys(s) if len(s) else (None, None)
+                    k1.append(key[0])
+                    k2.append(key[1])
+                    if key in met:
+                        named, most = NO_SIGNATURES, None
+                    else:
+                        named, most = tables.signatures(s)
+                        if len(met) >= MET:
+                            met.clear()
+                        met.add(key)
                     drops.append(most)
                     sigs.append(named.view(np.int64))
             ends = np.cumsum([0] + [len(x) for x in sigs])
             flat = np.concatenate(sigs) if sigs else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
                  pa.array(drops, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
-                names=["doc_id", "n", "k1", "k2", "drops", "sigs"])
+                names=["doc_id", "text_hash", "n", "k1", "k2", "drops", "sigs"])
 
     return run
 
@@ -185,9 +201,9 @@ def member_sets(k: int):
             same = np.array([(x, y) == z for x, y, z in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), keys)], dtype=bool)
             at = pa.array(np.flatnonzero(same))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c).take(at) for c in ("family", "i", "j", "block", "rep", "size")]
+                [batch.column(c).take(at) for c in ("family", "i", "j", "block", "cls", "size")]
                 + [pa.array([sets[r].tobytes() for r in np.flatnonzero(same)], pa.binary())],
-                names=["family", "i", "j", "block", "rep", "size", "shingles"])
+                names=["family", "i", "j", "block", "cls", "size", "shingles"])
 
     return run
 
@@ -203,6 +219,7 @@ class RegionJoin:
         self.first = np.concatenate(([0], np.cumsum(self.size)))
         self.width = int(self.element.max(initial=-1)) + 1
         self.linked = np.zeros((len(sets), len(sets)), dtype=bool)
+        self.regions = 0                      # regions that pivots cut out
         self.join(np.arange(len(sets)))
         np.fill_diagonal(self.linked, False)
 
@@ -221,6 +238,7 @@ class RegionJoin:
             window = distance - distance.min(axis=0) <= 2 * (self.den - self.num) / self.den + 1e-9
             regions = {r.tobytes(): r for r in (docs[w] for w in window)}.values()
             if sum(len(r) ** 2 for r in regions) < 0.7 * len(docs) ** 2:
+                self.regions += len(regions)
                 for r in regions:
                     self.join(r)
                 return
@@ -267,25 +285,33 @@ class RegionJoin:
         return out
 
 
+LINKS = "cls bigint, root bigint, links bigint, regions bigint"
+
+
 def join_families(num: int, den: int):
     """Joins the families of a task, which come one after another; yields
-    ``rep, root, links`` (documents linked outside its class)."""
-
-    def answer(key, block, rep, size, sets):
-        if len(rep) < 2:
-            return rep, rep, [0] * len(rep)
-        names, at = np.unique(np.array(rep), return_index=True)
+    ``cls, root, links, regions``: of each class the least class that it
+    reaches here, the documents linked outside it, and in how many regions
+    its family was joined (0: as one leaf; told once a family)."""
+
+    def answer(key, block, cls, size, sets):
+        names, at = np.unique(np.array(cls), return_index=True)          # rows that repeat id and text come twice
+        if len(names) < 2:
+            return names.tolist(), names.tolist(), [0] * len(names), [0] * len(names)
         block, size = np.array(block)[at], np.array(size)[at]
         join = RegionJoin([np.frombuffer(sets[i], dtype=np.uint64) for i in at], num, den)
         if key[1] != key[2]:
             join.linked &= block[:, None] != block[None, :]
-        return names.tolist(), join.roots(names).tolist(), (join.linked @ size).tolist()
+        return names.tolist(), join.roots(names).tolist(), (join.linked @ size).tolist(), [join.regions] + [0] * (len(names) - 1)
+
+    def batch_of(cols):
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["cls", "root", "links", "regions"])
 
     def run(batches):
         key, held = None, ([], [], [], [])
         for batch in batches:
-            out = ([], [], [])
-            cols = [batch.column(c).to_pylist() for c in ("family", "i", "j", "block", "rep", "size", "shingles")]
+            out = ([], [], [], [])
+            cols = [batch.column(c).to_pylist() for c in ("family", "i", "j", "block", "cls", "size", "shingles")]
             for family, i, j, *rest in zip(*cols):
                 if (family, i, j) != key:
                     if key is not None:
@@ -294,56 +320,85 @@ def join_families(num: int, den: int):
                     key, held = (family, i, j), ([], [], [], [])
                 for h, x in zip(held, rest):
                     h.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=["rep", "root", "links"])
+            yield batch_of(out)
         if key is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in answer(key, *held)], names=["rep", "root", "links"])
+            yield batch_of(answer(key, *held))
 
     return run
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
-                    num: int = NUM, den: int = DEN, family_cap: int = FAMILY_CAP) -> DataFrame:
-    """``doc_id, n_shingles, component_id, class_size, n_links`` of every
-    document; ``n_links`` counts the documents it links with."""
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    seen = stage(rows.mapInArrow(sketch(shingle, num, den), "doc_id bigint, n bigint, k1 bigint, k2 bigint, drops int, sigs array<bigint>"), "sketch")
-    classes = stage(seen.filter("k1 is not null").groupBy("k1", "k2").agg(
-        F.min("doc_id").alias("rep"), F.count("*").alias("size")), "classes")
-    # sets that share a signature are tied to the least of them; each set
-    # leaves out its commonest signatures, as many as it may
-    named = seen.select(F.explode("sigs").alias("sig"), "k1").repartition("sig")
-    least = named.groupBy("sig").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
-    shared = named.join(least.select("sig", "lo", "n").hint("shuffle_hash"), "sig").distinct()
+SKETCH = "doc_id bigint, text_hash bigint, n bigint, k1 bigint, k2 bigint, drops int, sigs array<bigint>"
+
+
+def classes_of(seen: DataFrame) -> DataFrame:
+    """A row per distinct set: ``cls`` (its number), keys, the id and text
+    hash of the row that stands for it (the least id; null ones last), how
+    many documents and shingles it has."""
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    out = seen.filter("k1 is not null").groupBy("k1", "k2").agg(F.min(row).alias("r"), F.count("*").alias("size"), F.first("n").alias("n"))
+    return out.select(F.monotonically_increasing_id().alias("cls"), "k1", "k2", F.col("r.doc_id").alias("rep"),
+                      F.col("r.text_hash").alias("rep_hash"), "size", "n")
+
+
+def tied_sets(seen: DataFrame) -> DataFrame:
+    """``k1, lo``: sets that share a signature are tied to the least of them;
+    each set leaves out its commonest signatures, as many as it may.
+
+    Most signatures are found in one set only.  They are moved once, to count
+    them; the shared ones go into a Bloom filter, and only rows that pass it
+    are moved again to meet their signature's count."""
+    named = seen.filter("size(sigs) > 0").select("k1", F.explode("sigs").alias("sig"))
+    least = named.repartition("sig").groupBy("sig").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi"), F.count("*").alias("n"))
+    least = stage(least.filter("lo < hi").select("sig", "lo", "n"), "shared-signatures")
+    shared = named.filter(BloomFilter.of(least, "sig").may_hold("sig")).join(least, "sig").distinct()
     may = seen.filter("k1 is not null").groupBy("k1").agg(F.min("drops").alias("drops"))
     in_table = Window.partitionBy("k1", F.col("sig").bitwiseAND(1)).orderBy(F.desc("n"), "sig")
     shared = shared.join(may, "k1").withColumn("nth", F.row_number().over(in_table))
     drop = F.when(F.col("sig").bitwiseAND(1) == 1, F.shiftright("drops", 16)).otherwise(F.col("drops").bitwiseAND(0x7FFF))
-    ties = stage(shared.filter((F.col("nth") > drop) & (F.col("k1") > F.col("lo"))).select("k1", "lo").distinct(), "ties")
+    return shared.filter((F.col("nth") > drop) & (F.col("k1") > F.col("lo"))).select("k1", "lo").distinct()
+
+
+def joined_families(rows: DataFrame, classes: DataFrame, ties: DataFrame, shingle: int, num: int, den: int, family_cap: int) -> DataFrame:
+    """``LINKS`` of every class in a family, joined family by family."""
     families = connected_components(ties, "k1", "lo")
-    members = classes.filter("rep is not null").join(families, F.col("k1") == F.col("node")).select(
-        "k1", "k2", "rep", "size", F.col("root").alias("family"))
+    members = classes.join(families, F.col("k1") == F.col("node")).select(
+        "cls", "k1", "k2", "rep", "rep_hash", "size", "n", F.col("root").alias("family"))
     members = stage(members, "members")
-    sizes = members.groupBy("family").agg(F.count("*").alias("sets")).filter(F.col("sets") > family_cap)
-    sizes = sizes.select("family", F.ceil(F.col("sets") * 2 / family_cap).cast("int").alias("blocks"))
-    big = sizes.count()
+    sizes = members.groupBy("family").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
+    blocks = F.greatest(F.ceil(F.col("sets") * 2 / family_cap), F.ceil(F.col("shingles") * 2 / FAMILY_SHINGLES)).cast("int")
+    sizes = sizes.filter((F.col("sets") > family_cap) | (F.col("shingles") > FAMILY_SHINGLES)).select("family", blocks.alias("blocks"))
     dealt = members.join(sizes, "family", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = dealt.select("family", "k1", "k2", "rep", "size", "block", other).select(
-        "family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "k1", "k2", "rep", "size")
+    dealt = dealt.select("family", "cls", "k1", "k2", "rep", "rep_hash", "size", "block", other).select(
+        "family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cls", "k1", "k2", "rep", "rep_hash", "size")
     few = members.count() <= BROADCAST_ROWS
-    dealt = dealt.withColumnRenamed("rep", "doc_id")
-    got = rows.join(F.broadcast(dealt) if few else dealt, "doc_id").withColumnRenamed("doc_id", "rep")
-    sets = got.mapInArrow(member_sets(shingle), "family bigint, i int, j int, block int, rep bigint, size bigint, shingles binary")
+    match = rows["doc_id"].eqNullSafe(F.col("rep")) & (rows["text_hash"] == F.col("rep_hash"))
+    got = rows.join(F.broadcast(dealt) if few else dealt, match).select("family", "i", "j", "block", "cls", "k1", "k2", "size", "text")
+    sets = got.mapInArrow(member_sets(shingle), "family bigint, i int, j int, block int, cls bigint, size bigint, shingles binary")
     sets = sets.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
-    found = stage(sets.mapInArrow(join_families(num, den), "rep bigint, root bigint, links bigint"), "links")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"), F.min("root").alias("root"))
-    if big:                      # families that were joined in blocks: components of what the blocks found
-        roots = connected_components(found.filter("rep > root"), "rep", "root")
-        links = links.drop("root").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    known = classes.join(links, "rep", "left").select("k1", "k2", F.coalesce("root", "rep").alias("component_id"),
-                                                      F.col("size").alias("class_size"), F.coalesce("links", F.lit(0)).alias("links"))
+    return stage(sets.mapInArrow(join_families(num, den), LINKS), "links")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
+                    num: int = NUM, den: int = DEN, family_cap: int = FAMILY_CAP) -> DataFrame:
+    """``doc_id, n_shingles, component_id, class_size, n_links`` of every
+    document; ``n_links`` counts the documents it links with."""
+    small_batches(docs.sparkSession)
+    t = F.col(text)
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(t).alias("text_hash"), t.alias("text"))
+    seen = stage(rows.mapInArrow(sketch(shingle, num, den), SKETCH), "sketch")
+    classes = stage(classes_of(seen), "classes")
+    ties = stage(tied_sets(seen), "ties")
+    found = joined_families(rows, classes, ties, shingle, num, den, family_cap)
+    # a class in several blocks has a root in each: components of them all
+    roots = connected_components(found.filter("cls <> root"), "cls", "root")
+    grouped = classes.join(roots.select(F.col("node").alias("cls"), F.col("root").alias("of")), "cls", "left")
+    grouped = grouped.withColumn("of", F.coalesce("of", "cls"))
+    least = grouped.groupBy("of").agg(F.min("rep").alias("component_id"))
+    links = found.groupBy("cls").agg(F.sum("links").alias("links"))
+    known = grouped.join(least, "of").join(links, "cls", "left").select(
+        "k1", "k2", "component_id", F.col("size").alias("class_size"), F.coalesce("links", F.lit(0)).alias("links"))
     out = seen.select("doc_id", "n", "k1", "k2").join(known, ["k1", "k2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
                       F.coalesce("class_size", F.lit(1)).alias("class_size"),
