@@ -15,14 +15,17 @@ ids.  A model with other pieces is run over whole texts.
 
 This is the unigram decoder over the scores that the model file has; the
 library's merges for a BPE file can give other pieces.  Decoding gives the
-text back exactly, for a model that does not normalise.
+text back exactly, for a model that does not normalise, but for the case below.
 
 Cases: null or empty text has no pieces and decodes to empty text; repeated
-rows are encoded each; extra columns are not read.
+rows are encoded each; extra columns are not read.  A text that holds the
+sign that stands for a space, U+2581, decodes to a space there: the file has
+no other spelling for it, and ``round_trip`` is false.
 """
 
 from __future__ import annotations
 
+import struct
 import zlib
 
 import numpy as np
@@ -72,13 +75,28 @@ class PieceModel:
         self.dummy_prefix = sp.encode("a", out_type=str)[0].startswith(SPACE) if plain else True
         self.by_word = all(SPACE not in sp.id_to_piece(i).lstrip(SPACE) for i in plain)
         self.words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+$").findall
+        self.single = frozenset(p for i in plain if len(p := sp.id_to_piece(i)) == 1)
         self.known: dict[str, tuple[bytes, float]] = {}
+        self.older: dict[str, tuple[bytes, float]] = {}
 
     def best_path(self, text: str) -> tuple[list[int], float]:
         """Ids and score of the best path over escaped text."""
         n, worst = len(text), float("-inf")
         best, back, ids = [worst] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
-        best[0], reached = 0.0, 0
+        best[0] = 0.0
+        if self.single.issuperset(text):          # a piece for every character: none is unknown
+            for end, (i, size, score) in self.matches(text):
+                e = end + 1
+                s = best[e - size] + score
+                if s > best[e]:
+                    best[e], back[e], ids[e] = s, e - size, i
+            out, e = [], n
+            while e:
+                out.append(ids[e])
+                e = back[e]
+            out.reverse()
+            return out, best[n]
+        reached = 0
         unknown = self.unknown_score
 
         def skip(upto):
@@ -121,12 +139,15 @@ class PieceModel:
             return b"", 0.0
         t = self.escaped(text)
         words = self.words(t) if self.by_word else [t]
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
+        if len(self.known) > CACHE_WORDS // 2:     # words not met since the last change of halves go
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
         for w in set(words).difference(known):
-            ids, score = self.best_path(w)
-            known[w] = (np.array(ids, dtype="<u4").tobytes(), score)
+            held = older.get(w)
+            if held is None:
+                ids, score = self.best_path(w)
+                held = struct.pack(f"<{len(ids)}I", *ids), score
+            known[w] = held
         got = [known[w] for w in words]
         return b"".join([g[0] for g in got]), float(sum(g[1] for g in got))
 
