@@ -37,7 +37,7 @@ from chorus.llm.common import small_batches, table, worker_state
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 UNKNOWN_PENALTY = 10.0
 
 
