@@ -8,7 +8,7 @@ no join and no Python; a key that was put in always passes, so whatever is
 filtered can be tested exactly afterwards.
 
 The size follows the number of keys (``BITS_PER_KEY``) up to ``MAX_BITS``
-(16 MB), whatever the data; beyond it more keys that were never put in pass,
+(8 MB), whatever the data; beyond it more keys that were never put in pass,
 and the exact test has more to do.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BITS_PER_KEY = 10
-MIN_BITS, MAX_BITS = 1 << 12, 1 << 27
+MIN_BITS, MAX_BITS = 1 << 12, 1 << 26
 
 
 def _positions(cols, bits: int) -> list[Column]:
