@@ -55,7 +55,7 @@ NUM, DEN = 85, 100
 CLASS_RATIO = 0.6              # lower / upper size of a size class
 LEAF = 12
 PIVOTS = 8
-FAMILY_CAP = 3000              # sets of a family that one task joins
+FAMILY_CAP = 1000              # sets of a family that one task joins
 FAMILY_SHINGLES = 1_500_000    # and their shingles: 12 MB
 BLOCK_BYTES = 1_000_000
 BROADCAST_ROWS = 300_000       # rows of some eighty bytes that may be broadcast
