@@ -6,7 +6,8 @@ into one entry: digest, identifier that stays, number of rows.  The runs are
 then exchanged in ``log_F(P)`` rounds of a binomial tree of fan-in ``F``: in
 round ``r`` the partitions whose numbers differ only in digit ``r`` trade
 slices so that each keeps the digests whose own digit ``r`` is its number's,
-and merges the ``F`` sorted slices that it receives.  Equal digests are
+and merges the sorted slices that it receives, told apart where keys fall,
+without sorting again.  Equal digests are
 merged at every level, so a group of copies, however large, is one entry a
 partition from the first run on; after the last round each partition holds
 a share of the digests of its own and no partition ever holds them all.
@@ -47,36 +48,90 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
                        F.monotonically_increasing_id().alias("row_no"))
 
 
-def merge_runs(largest: bool):
-    """A task's runs merged into one: entries with the same digest and
-    length become one that keeps the best identifier and the sum of rows."""
-    sign = 1 if largest else -1
+class Entries:
+    """Entries in the order of their keys, digest and length; columns by name."""
+
+    def __init__(self, key: np.ndarray, **cols: np.ndarray):
+        self.key, self.cols = key, cols
+
+    @classmethod
+    def read(cls, t: pa.Table) -> "Entries":
+        raw = np.frombuffer(b"".join(t["digest"].to_pylist()), dtype=np.uint8).reshape(-1, 32)
+        size = t["n_bytes"].to_numpy().astype(">u8")
+        key = np.ascontiguousarray(np.concatenate([raw, size.view(np.uint8).reshape(-1, 8)], axis=1)).view("S40").ravel()
+        none = t["best_id"].is_null().to_numpy()
+        return cls(key, id=t["best_id"].fill_null(0).to_numpy(), none=none, row=t["best_row"].to_numpy(),
+                   count=t["group_size"].to_numpy(), home=t["home"].to_numpy())
+
+    def take(self, at) -> "Entries":
+        return Entries(self.key[at], **{n: c[at] for n, c in self.cols.items()})
+
+    def runs(self) -> list["Entries"]:
+        """The sorted slices that the rows are made of, cut where keys fall."""
+        cuts = np.flatnonzero(self.key[1:] < self.key[:-1]) + 1
+        return [self.take(slice(a, b)) for a, b in zip([0, *cuts], [*cuts, len(self.key)])]
+
+    def batch(self) -> pa.RecordBatch:
+        raw = self.key.view(np.uint8).reshape(-1, 40)
+        size = np.ascontiguousarray(raw[:, 32:]).view(">u8").ravel().astype(np.int64)
+        digest = pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), len(raw), [None, pa.py_buffer(np.ascontiguousarray(raw[:, :32]).tobytes())])
+        c = self.cols
+        return pa.RecordBatch.from_arrays(
+            [digest.cast(pa.binary()), pa.array(size), pa.array(c["id"], pa.int64(), mask=c["none"]), pa.array(c["row"]), pa.array(c["count"]),
+             pa.array(c["home"], pa.int32())], names=["digest", "n_bytes", "best_id", "best_row", "group_size", "home"])
+
+
+def merge_two(a: Entries, b: Entries) -> Entries:
+    """Two sorted slices as one: each entry's place is its own number and
+    that of the other slice's entries before it."""
+    key = np.empty(len(a.key) + len(b.key), dtype=a.key.dtype)
+    to_a = np.arange(len(a.key)) + np.searchsorted(b.key, a.key, side="left")
+    to_b = np.arange(len(b.key)) + np.searchsorted(a.key, b.key, side="right")
+    key[to_a], key[to_b] = a.key, b.key
+    cols = {}
+    for n in a.cols:
+        cols[n] = np.empty(len(key), dtype=a.cols[n].dtype)
+        cols[n][to_a], cols[n][to_b] = a.cols[n], b.cols[n]
+    return Entries(key, **cols)
+
+
+def one_a_group(e: Entries, largest: bool) -> Entries:
+    """Equal neighbours as one entry: the best identifier, of its rows the
+    last, and the sum of rows; a null identifier is worse than any other."""
+    new = np.ones(len(e.key), dtype=bool)
+    new[1:] = e.key[1:] != e.key[:-1]
+    at = np.flatnonzero(new)
+    if len(at) == len(e.key):
+        return e
+    group = np.cumsum(new) - 1
+    c, low = e.cols, np.iinfo(np.int64).min
+    value = c["id"] if largest else ~c["id"]                 # ~x falls as x rises, without overflow
+    some = np.logical_or.reduceat(~c["none"], at)[group] & c["none"]
+    value = np.where(some, low, value)
+    best = (value == np.maximum.reduceat(value, at)[group]) & ~some
+    row = np.maximum.reduceat(np.where(best, c["row"], low), at)
+    keep = np.flatnonzero(best & (c["row"] == row[group]))
+    keep = keep[np.unique(group[keep], return_index=True)[1]]
+    out = e.take(keep)
+    out.cols["count"] = np.add.reduceat(c["count"], at)
+    return out
+
+
+def merge_runs(largest: bool, sort: bool = False):
+    """A task's rows as one run.  ``sort``: rows in any order are sorted into
+    the first run; otherwise they are sorted slices, which are merged two by
+    two, equal entries at every step."""
 
     def merge(batches):
-        batches = list(batches)
+        batches = [b for b in batches if b.num_rows]
         if not batches:
             return
-        t = pa.Table.from_batches(batches).combine_chunks()
-        if not t.num_rows:
-            return
-        raw = np.frombuffer(b"".join(t["digest"].to_pylist()), dtype=">u8").reshape(-1, 4)
-        size = t["n_bytes"].to_numpy()
-        lowest = np.iinfo(np.int64).min
-        ids = t["best_id"].fill_null(lowest).to_numpy() if largest else t["best_id"].fill_null(np.iinfo(np.int64).max).to_numpy()
-        row, count = t["best_row"].to_numpy(), t["group_size"].to_numpy()
-        order = np.lexsort((row, sign * ids if not largest else ids, size, raw[:, 3], raw[:, 2], raw[:, 1], raw[:, 0]))
-        raw, size = raw[order], size[order]
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = (raw[1:] != raw[:-1]).any(axis=1) | (size[1:] != size[:-1])
-        at = np.flatnonzero(new)
-        last = np.append(at[1:], len(order)) - 1      # the best of each group is its last
-        keep = order[last]
-        home = t["home"].to_numpy()[keep]
-        yield pa.RecordBatch.from_arrays(
-            [t["digest"].take(pa.array(keep)).combine_chunks() if isinstance(t["digest"], pa.ChunkedArray) else t["digest"].take(pa.array(keep)),
-             pa.array(size[last]), t["best_id"].take(pa.array(keep)).combine_chunks(), pa.array(row[keep]),
-             pa.array(np.add.reduceat(count[order], at)), pa.array(home, pa.int32())],
-            names=["digest", "n_bytes", "best_id", "best_row", "group_size", "home"])
+        e = Entries.read(pa.Table.from_batches(batches).combine_chunks())
+        runs = [one_a_group(r, largest) for r in ([e.take(np.argsort(e.key, kind="stable"))] if sort else e.runs())]
+        while len(runs) > 1:
+            pairs = [one_a_group(merge_two(a, b), largest) for a, b in zip(runs[::2], runs[1::2])]
+            runs = pairs + runs[len(pairs) * 2:]
+        yield runs[0].batch()
 
     return merge
 
@@ -93,7 +148,7 @@ def merged_groups(rows: DataFrame, keep: str = "largest", partitions: int | None
     value = F.conv(F.substring(F.hex("digest"), 1, 8), 16, 10).cast("bigint")      # home: uniform in the digest
     run = rows.select("digest", "n_bytes", F.col("doc_id").alias("best_id"), F.col("row_no").alias("best_row"),
                       F.lit(1).cast("bigint").alias("group_size"), (value % F.lit(partitions)).cast("int").alias("home"))
-    run = run.mapInArrow(merge_runs(largest), RUN)
+    run = run.mapInArrow(merge_runs(largest, sort=True), RUN)
     if partitions == 1:
         return run.repartitionById(1, F.lit(0)).mapInArrow(merge_runs(largest), RUN).drop("home")
     for r in range(rounds):
