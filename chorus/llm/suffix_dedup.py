@@ -386,11 +386,11 @@ def without(raw: bytes, spans: list | None) -> bytes:
     return b"".join(raw[a:b] for a, b in zip(ends, [x["start"] for x in spans] + [len(raw)]))
 
 
-def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chars: str = "n_chars") -> DataFrame:
+def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chars: str = "n_chars", min_len: int = MIN_LEN) -> DataFrame:
     """The documents with the repeated passages cut from their texts (bytes
     of a character cut in two go with them) and ``chars``, if there, counted
     anew; documents of which nothing is left go."""
-    rows, copies, spans = repeated_spans(docs, doc_id, text)
+    rows, copies, spans = repeated_spans(docs, doc_id, text, min_len)
     cuts, few = all_cuts(copies, spans)
     cuts = cuts.select(F.col("ref").alias("_cut_ref"), F.col("spans").alias("_cut_spans"))
 
