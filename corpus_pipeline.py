@@ -8,8 +8,8 @@ last return the columns of ``docs``.
 * exact_dedup: of equal texts the one with the largest ``doc_id`` stays.
 * jaccard_join: of documents that links of five-word shingles (80 %) reach,
   the one with the least ``doc_id`` stays.
-* suffix_dedup: passages of 400 bytes or more that occur twice are cut out;
-  documents of which nothing is left go.
+* suffix_dedup: passages of 256 bytes or more that occur twice are cut out,
+  so those of over 50 words; documents of which nothing is left go.
 * packing: what is left is tokenised and packed into sequences of 2048.
 """
 
@@ -26,6 +26,7 @@ from chorus.llm.common import table
 from chorus.plans.stage import stage
 
 SHINGLE, NUM, DEN = 5, 80, 100
+PASSAGE_BYTES = 256             # a passage of over 50 words is longer, in any of the learned languages
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +42,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _suffix.cut_repeats(docs)
+    return _suffix.cut_repeats(docs, min_len=PASSAGE_BYTES)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
