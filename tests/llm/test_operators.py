@@ -376,13 +376,14 @@ def test_pipeline_equals_plain_version(spark, tmp_path):
             gone.update(front)
     assert 0 < len(gone) < 15
     raw = {i: t.encode() for i, t in left.items() if i not in gone}
-    often = collections.Counter(b[s:s + 400] for b in raw.values() for s in range(len(b) - 399))
+    long = corpus_pipeline.PASSAGE_BYTES
+    often = collections.Counter(b[s:s + long] for b in raw.values() for s in range(len(b) - long + 1))
     want = {}
     for i, b in raw.items():
         cut = bytearray(len(b))
-        for s in range(len(b) - 399):
-            if often[b[s:s + 400]] > 1:
-                cut[s:s + 400] = b"\1" * 400
+        for s in range(len(b) - long + 1):
+            if often[b[s:s + long]] > 1:
+                cut[s:s + long] = b"\1" * long
         kept = bytes(c for c, g in zip(b, cut) if not g).decode("utf-8", "ignore")
         if kept:
             want[i] = kept
