@@ -8,8 +8,9 @@ A candidate inside a longer one that is at least ``drop_percent`` per cent as
 frequent is dropped.  The first ``top`` of each language are returned.
 
 Growth.  Words and pairs are counted first; a phrase is never more frequent
-than its parts, so what stays below ``min_count`` is not grown.  A pair's own
-score is then exact, and its count ``a`` and that of its first word ``l``
+than its parts, so what stays below ``min_count`` is not grown: pairs with a
+rarer word are held back by a Bloom filter of the words that reach it, inside
+the row, and what it passes by chance falls by its count.  A pair's own score is then exact, and its count ``a`` and that of its first word ``l``
 bound whatever grows out of it: for a longer phrase of count ``a'``, the cut
 after the first word gives ``a' * a' / (l * r) <= a' / l <= a / l``, so no
 extension scores above ``floor(1000000 * a / l)``.
@@ -44,6 +45,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chorus.functions.bloom import BloomFilter
 from chorus.llm.common import full_text, table
 from chorus.plans.stage import stage
 
@@ -145,7 +147,9 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", min_co
     all_words = stage(counted(windows(said, 1), 1), "word-counts")
     totals = all_words.groupBy("lang").agg(F.sum("a").alias("n"))
     words = all_words.filter(F.col("a") >= min_count)
-    pairs = stage(scored_pairs(counted(windows(said, 2), min_count), words), "pair-scores")
+    frequent = BloomFilter.of(words, "lang", "w1")
+    grown_words = windows(said, 2).filter(frequent.may_hold("lang", "w1") & frequent.may_hold("lang", "w2"))
+    pairs = stage(scored_pairs(counted(grown_words, min_count), words), "pair-scores")
     width = width or 2 * top
     tau, grown, triples = None, None, None
     while True:
