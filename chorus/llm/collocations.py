@@ -8,12 +8,11 @@ A candidate inside a longer one that is at least ``drop_percent`` per cent as
 frequent is dropped.  The first ``top`` of each language are returned.
 
 Growth.  Words and pairs are counted first; a phrase is never more frequent
-than its parts, so what stays below ``min_count`` is not grown: pairs with a
-rarer word are held back by a Bloom filter of the words that reach it, inside
-the row, and what it passes by chance falls by its count.  A pair's own score is then exact, and its count ``a`` and that of its first word ``l``
-bound whatever grows out of it: for a longer phrase of count ``a'``, the cut
-after the first word gives ``a' * a' / (l * r) <= a' / l <= a / l``, so no
-extension scores above ``floor(1000000 * a / l)``.
+than its parts, so a pair below ``min_count`` is not grown.  A pair's own score
+is then exact, and its count ``a`` and that of its first word ``l`` bound
+whatever grows out of it: for a longer phrase of count ``a'``, the cut after
+the first word gives ``a' * a' / (l * r) <= a' / l <= a / l``, so no extension
+scores above ``floor(1000000 * a / l)``.
 
 Frontier.  A round takes per language a threshold, the score that the best
 ``width`` pairs or so reach (from a histogram of scores), and grows
@@ -45,13 +44,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chorus.functions.bloom import BloomFilter
 from chorus.llm.common import full_text, table
 from chorus.plans.stage import stage
 
 MIN_COUNT, TOP, DROP_PERCENT, SCALE = 10, 2000, 50, 1_000_000
 PIECE_BREAKS = r"[.,;:!?\x0A-\x0D]"
-BLANKS = r"[\x20\x09]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_PAIRS = 300_000         # rows of some eighty bytes: 24 MB
 GROWTH = 4
@@ -59,9 +56,10 @@ GROWTH = 4
 
 def pieces(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """``lang, words`` of every piece that has a word."""
-    low = F.translate(full_text(text), UPPER, LOWER)
-    cut = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.explode_outer(F.split(low, PIECE_BREAKS)).alias("piece"))
-    words = cut.select("lang", F.array_remove(F.split("piece", BLANKS), "").alias("words"))
+    cut = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.explode_outer(F.split(full_text(text), PIECE_BREAKS)).alias("piece"))
+    # the plain lower-casing is the faster one, and the same for a piece of ASCII
+    low = F.when(F.octet_length("piece") == F.length("piece"), F.lower("piece")).otherwise(F.translate("piece", UPPER, LOWER))
+    words = cut.select("lang", F.array_remove(F.split(F.replace(low, F.lit("\t"), F.lit(" ")), " "), "").alias("words"))
     return words.filter(F.size("words") > 0)
 
 
@@ -75,6 +73,16 @@ def windows(words: DataFrame, n: int) -> DataFrame:
     return rows.filter(F.col(names[-1]).isNotNull())
 
 
+def joined(*words: str) -> Column:
+    """Words as one string; none holds a space, so ``with_words`` undoes it."""
+    return F.concat(*[x for w in words for x in (F.lit(" "), F.col(w))][1:])
+
+
+def with_words(phrases: DataFrame, n: int) -> DataFrame:
+    """``w1 .. wn`` instead of ``phrase``."""
+    return phrases.withColumns({f"w{i}": F.get(F.split("phrase", " "), i - 1) for i in range(1, n + 1)}).drop("phrase")
+
+
 def counted(rows: DataFrame, min_count: int) -> DataFrame:
     """``a``, the number of equal rows, where it is ``min_count`` or more."""
     return rows.groupBy(*rows.columns).agg(F.count("*").alias("a")).filter(F.col("a") >= min_count)
@@ -147,9 +155,8 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", min_co
     all_words = stage(counted(windows(said, 1), 1), "word-counts")
     totals = all_words.groupBy("lang").agg(F.sum("a").alias("n"))
     words = all_words.filter(F.col("a") >= min_count)
-    frequent = BloomFilter.of(words, "lang", "w1")
-    grown_words = windows(said, 2).filter(frequent.may_hold("lang", "w1") & frequent.may_hold("lang", "w2"))
-    pairs = stage(scored_pairs(counted(grown_words, min_count), words), "pair-scores")
+    two = windows(said, 2).select("lang", joined("w1", "w2").alias("phrase"))
+    pairs = stage(scored_pairs(with_words(counted(two, min_count), 2), words), "pair-scores")
     width = width or 2 * top
     tau, grown, triples = None, None, None
     while True:
@@ -162,11 +169,11 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", min_co
         if grown is not None:
             ask = ask.join(grown, ["lang", "w1", "w2"], "left_anti")
         ask = stage(ask, "grow")
-        rows = windows(said, 3)
+        three = windows(said, 3).select("lang", joined("w1", "w2").alias("head"), "w3")
         if ask.count() <= broadcast_pairs:
-            found = counted(rows.join(F.broadcast(ask), ["lang", "w1", "w2"], "left_semi").select("lang", "w1", "w2", "w3"), min_count)
-        else:
-            found = counted(rows, min_count).join(ask, ["lang", "w1", "w2"], "left_semi")
+            three = three.join(F.broadcast(ask.select("lang", joined("w1", "w2").alias("head"))), ["lang", "head"], "left_semi")
+        found = with_words(counted(three.select("lang", joined("head", "w3").alias("phrase")), min_count), 3)
+        found = found.join(ask, ["lang", "w1", "w2"], "left_semi")          # all, if they were not broadcast
         found = stage(scored_triples(found, pairs, words), "triples")
         grown = ask if grown is None else grown.unionByName(ask)
         triples = found if triples is None else triples.unionByName(found)
