@@ -25,16 +25,18 @@ from pyspark.sql import types as T
 from chorus.data import lexicon as L
 from chorus.functions.text import count_char, is_all_caps, sentiment_label, strip_outer_punct
 
-MAX_BROADCAST_LEXICON = 1_000_000   # entries; a published lexicon is ~7.5k
+BROADCAST_LEXICON = 100_000   # entries (some sixty bytes each) of a shipped mapping that may be broadcast
 
 
 def lexicon_table(spark: SparkSession, mapping: dict[str, float] | None = None) -> DataFrame:
+    """A mapping as ``(token, valence)``; its size is known here, so a short
+    one carries a broadcast hint.  A lexicon that is a table already is
+    passed to the scorer as it is, of any size and without a hint."""
     m = L.SEED_LEXICON if mapping is None else mapping
-    if len(m) > MAX_BROADCAST_LEXICON:
-        raise ValueError(f"lexicon of {len(m)} entries exceeds the broadcast bound")
     schema = T.StructType([T.StructField("token", T.StringType(), False),
                            T.StructField("valence", T.DoubleType(), False)])
-    return spark.createDataFrame([(k.lower(), float(v)) for k, v in sorted(m.items())], schema)
+    table = spark.createDataFrame([(k.lower(), float(v)) for k, v in sorted(m.items())], schema)
+    return F.broadcast(table) if len(m) <= BROADCAST_LEXICON else table
 
 
 def vader_tokens(text: Column) -> Column:
@@ -104,7 +106,7 @@ def lexicon_sums(df: DataFrame, lexicon: DataFrame | None = None,
     least one lexicon hit.  A comment without a hit scores 0, so callers can
     left-join this small table instead of re-shuffling the text."""
     spark = df.sparkSession
-    lex = F.broadcast(lexicon_table(spark)) if lexicon is None else lexicon
+    lex = lexicon_table(spark) if lexicon is None else lexicon
     lex = lex.select(F.lower("token").alias("_lt"), F.col("valence").cast("double").alias("_val"))
 
     text = F.col(text_col)

@@ -10,10 +10,11 @@ aggregation, so frequent words do not concentrate rows in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chorus.data import fixed_values as fv
+from chorus.functions.bloom import BloomFilter
 from chorus.functions.text import explode_tokens, lemma_of, simple_tokens, word_tokens
 
 
@@ -38,6 +39,33 @@ def add_lemma_tokens(df: DataFrame, text_col: str = "clean_comment", out: str =
     return df.withColumn(out, F.filter(lem, lambda t: F.length(t) >= min_len))
 
 
+def kept_words(text_col: str = "clean_comment", stopwords: list[str] | None = None) -> Column:
+    """Word tokens that are not stop words, before lemmas."""
+    stops = general_stopwords() if stopwords is None else stopwords
+    return F.filter(word_tokens(text_col), lambda t: ~t.isin(*stops))
+
+
+def add_lemma_tokens_from_table(df: DataFrame, lemmas: DataFrame, text_col: str = "clean_comment", out: str = "token_clean",
+                                stopwords: list[str] | None = None, min_len: int = 3, id_col: str = "comment_id") -> DataFrame:
+    """Op 26 with a table ``(form, lemma)`` of any size, one row per form;
+    forms it lacks take the built-in rules.
+
+    Only words that the table may hold, told by a Bloom filter inside the
+    row, move to meet it, with their place and without text; lemmas come
+    back to their places by one aggregate per comment.  ``lemmas`` is read
+    twice: store it.
+    """
+    words = df.select(id_col, kept_words(text_col, stopwords).alias("_w"))
+    forms = words.select(id_col, F.posexplode_outer("_w").alias("_i", "form")).filter(F.col("form").isNotNull())
+    forms = forms.filter(BloomFilter.of(lemmas, "form").may_hold("form"))
+    found = forms.join(lemmas.select("form", F.col("lemma").alias("_l")), "form")
+    mine = found.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("_i", "_l"))).alias("_m"))
+    both = df.join(words, id_col).join(mine, id_col, "left").withColumn("_m", F.coalesce("_m", F.map_from_entries(
+        F.array().cast("array<struct<k:int,v:string>>"))))
+    lemma = F.transform("_w", lambda t, i: F.coalesce(F.try_element_at(F.col("_m"), i), lemma_of(t)))
+    return both.withColumn(out, F.filter(lemma, lambda t: F.length(t) >= min_len)).drop("_w", "_m")
+
+
 def add_token_count(df: DataFrame, col: str = "token_clean", out: str = "token_count") -> DataFrame:
     """Op 27."""
     return df.withColumn(out, F.size(col).cast("long"))

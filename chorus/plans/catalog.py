@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from chorus import sources as S
 from chorus.data import fixed_values as fv
+from chorus.data import lexicon as LXD
+from chorus.functions.text import explode_tokens
 from chorus.operators import classify as CL
 from chorus.operators import cleaning as C
 from chorus.operators import lexicon as LX
@@ -126,6 +128,39 @@ def q_lexicon_label(spark, sf_dir):
     return lexicon_results(spark, sf_dir).select("comment_id", "lexicon_label")
 
 
+# a user's own lexicon: words of the labelled comments, by how often those are toxic
+
+_USER_LEXICON = f"""ul_words AS (
+  SELECT DISTINCT p.comment_id, l.toxic, unnest(regexp_extract_all(lower(p.clean_comment), '[a-z]{{3,}}')) AS token
+  FROM prepared p JOIN labels l ON l.doc_id = p.comment_id),
+user_lexicon AS (
+  SELECT token, 3.0::DOUBLE - 6.0::DOUBLE * CAST(sum(toxic) AS DOUBLE) / count(*) AS valence FROM ul_words
+  WHERE token NOT IN {O.in_list([*LXD.BOOSTERS, *LXD.DAMPENERS, *LXD.NEGATIONS])}
+  GROUP BY token HAVING count(*) >= 3)"""
+
+
+def user_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(token, valence)`` of every word that three labelled comments or
+    more hold: 3 if none of them is toxic, -3 if all are."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("clean_comment"), F.lit("[a-z]{3,}"), 0))
+    labels = S.read_table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "comment_id")
+    rows = explode_tokens(prepared_stage(spark, sf_dir).join(labels, "comment_id"), ["toxic"], words, "token")
+    rows = rows.filter(~F.col("token").isin(*LXD.BOOSTERS, *LXD.DAMPENERS, *LXD.NEGATIONS))
+    counts = rows.groupBy("token").agg(F.sum("toxic").cast("double").alias("bad"), F.count("*").alias("n")).filter("n >= 3")
+    return counts.select("token", (F.lit(3.0) - F.lit(6.0) * F.col("bad") / F.col("n")).alias("valence"))
+
+
+@register("lexicon_user_table", f"""{O.BASE},
+{_USER_LEXICON},
+{O.lexicon_ctes(lexicon="user_lexicon AS v")}
+SELECT comment_id, lexicon_label, round(lexicon_score, 6) AS lexicon_score FROM lex_scored""")
+def q_lexicon_user_table(spark, sf_dir):
+    """Op 13 with a user's table, of any size: no hint, no limit."""
+    lexicon = stage(user_lexicon(spark, sf_dir), "user-lexicon")
+    scored = LX.lexicon_scores(prepared_stage(spark, sf_dir), lexicon)
+    return scored.select("comment_id", "lexicon_label", F.round("lexicon_score", 6).alias("lexicon_score"))
+
+
 def classifier_results(spark: SparkSession, sf_dir: str, scheme: str) -> DataFrame:
     p = prepared_stage(spark, sf_dir)
     return CL.classifier_scores(p, S.read_table(spark, sf_dir, "labels"), scheme)
@@ -291,6 +326,31 @@ def q_lemma_tokens(spark, sf_dir):
     return nlp(spark, sf_dir).select("comment_id", F.concat_ws(" ", "token_clean").alias("token_clean"))
 
 
+# op 26 with a lemma table: the corpus' own forms, endings cut
+
+_LEMMA_RULE = r"(ing|tion|edh|er|en|ch)$"
+
+
+@register("lemma_table_tokens", f"""{O.BASE},
+lt_words AS (SELECT comment_id, list_filter(regexp_extract_all(lower(clean_comment), '[a-z0-9]+(?:[''.][a-z0-9]+)*'),
+                                            lambda t: t NOT IN {O.in_list(TK.general_stopwords())}) AS kept FROM prepared),
+lt_forms AS (SELECT DISTINCT w AS form, regexp_replace(w, '{_LEMMA_RULE}', '') AS lemma FROM (SELECT unnest(kept) AS w FROM lt_words)
+             WHERE length(w) > 6 AND regexp_matches(w, '{_LEMMA_RULE}')),
+lt_rows AS (SELECT comment_id, i, kept[i] AS w FROM (SELECT comment_id, kept, unnest(range(1, len(kept) + 1)) AS i FROM lt_words)),
+lt_lemmas AS (SELECT r.comment_id, r.i, coalesce(f.lemma, {O.lemma_sql('r.w')}) AS lemma FROM lt_rows r LEFT JOIN lt_forms f ON f.form = r.w)
+SELECT w.comment_id, coalesce(string_agg(l.lemma, ' ' ORDER BY l.i), '') AS token_clean
+FROM lt_words w LEFT JOIN (SELECT * FROM lt_lemmas WHERE length(lemma) >= 3) l USING (comment_id) GROUP BY w.comment_id""")
+def q_lemma_table_tokens(spark, sf_dir):
+    """Op 26 with a ``(form, lemma)`` table of any size; forms it lacks take
+    the built-in rules."""
+    p = prepared_stage(spark, sf_dir).select("comment_id", "clean_comment")
+    words = explode_tokens(p, [], TK.kept_words("clean_comment"), "form").distinct()
+    table = stage(words.filter((F.length("form") > 6) & F.col("form").rlike(_LEMMA_RULE))
+                  .select("form", F.regexp_replace("form", _LEMMA_RULE, "").alias("lemma")), "lemma-table")
+    out = TK.add_lemma_tokens_from_table(p, table)
+    return out.select("comment_id", F.concat_ws(" ", "token_clean").alias("token_clean"))
+
+
 @register("token_count", f"""{_NLP}
 SELECT comment_id, CAST(len(token_clean) AS BIGINT) AS token_count FROM nlp""")
 def q_token_count(spark, sf_dir):
@@ -665,21 +725,23 @@ def q_page_errors(spark, sf_dir):
 MULTI_VIDEOS = ("src1", "src3", "src5")
 
 
-@register("multi_video", f"""SELECT * FROM ({O.page_rows_sql(fv.DEFAULT_MAX_PAGES)})
+@register("multi_video", f"""SELECT * FROM ({O.page_rows_sql()})
 WHERE video_id IN {O.in_list(MULTI_VIDEOS)}""")
 def q_multi_video(spark, sf_dir):
-    return S.multi_video(S.page_cap(S.landed_pages(spark, sf_dir), fv.DEFAULT_MAX_PAGES), MULTI_VIDEOS)
+    """Op 5: every comment of the named videos."""
+    return S.comments_from_pages(S.multi_video(S.landed_pages(spark, sf_dir), MULTI_VIDEOS))
+
+
+_PROFILED = ["comment_id", "video_id", "date", "comment", "like_count", "author", "quality", "toxic"]
 
 
-@register("null_profile", f"""WITH r AS ({O.page_rows_sql()})
-SELECT 'comment_id' AS "column", count(*) - count(comment_id) AS nulls FROM r
-UNION ALL SELECT 'video_id', count(*) - count(video_id) FROM r
-UNION ALL SELECT 'date', count(*) - count(date) FROM r
-UNION ALL SELECT 'comment', count(*) - count(comment) FROM r
-UNION ALL SELECT 'like_count', count(*) - count(like_count) FROM r
-UNION ALL SELECT 'author', count(*) - count(author) FROM r""")
+@register("null_profile", f"""WITH {O.COMMENTS},
+r AS (SELECT c.*, l.quality, l.toxic FROM comments c LEFT JOIN labels l ON l.doc_id = c.comment_id)
+{" UNION ALL ".join(f"SELECT '{c}' AS " + '"column"' + f", count(*) - count({c}) AS nulls FROM r" for c in _PROFILED)}""")
 def q_null_profile(spark, sf_dir):
-    return C.null_profile(S.comments_from_pages(S.landed_pages(spark, sf_dir)))
+    """Op 11 over all comments with what is known of their labels."""
+    labels = S.read_table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "comment_id")
+    return C.null_profile(S.comments(spark, sf_dir).join(labels, "comment_id", "left").select(*_PROFILED))
 
 
 @register("preview", f"""{O.BASE}

@@ -64,9 +64,9 @@ def _caps(w: str) -> str:
     return f"({w} = upper({w}) AND {w} <> lower({w}))"
 
 
-def lexicon_ctes(src: str = "prepared") -> str:
+def lexicon_ctes(src: str = "prepared", lexicon: str | None = None) -> str:
     """CTEs ending in ``lex_scored(comment_id, lexicon_score, lexicon_label)``."""
-    lex = values(sorted((k.lower(), v) for k, v in L.SEED_LEXICON.items()), ["token", "valence"])
+    lex = lexicon or values(sorted((k.lower(), v) for k, v in L.SEED_LEXICON.items()), ["token", "valence"])
     boost, damp, neg = in_list(L.BOOSTERS), in_list(L.DAMPENERS), in_list(L.NEGATIONS)
     parts = [f"""lx_t AS (
   SELECT comment_id, clean_comment,

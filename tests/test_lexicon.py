@@ -92,3 +92,14 @@ def test_lexicon_is_broadcast(spark):
     df = spark.createDataFrame([(1, "good")], "comment_id long, clean_comment string")
     plan = LX.lexicon_sums(df)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
+
+
+def test_a_lexicon_table_of_any_size_takes_no_hint(spark):
+    from pyspark.sql import functions as F
+    big = spark.range(1_200_000).select(F.concat(F.lit("w"), "id").alias("token"), (F.col("id") % 5 - 2).cast("double").alias("valence"))
+    df = spark.createDataFrame([(1, "w4 and w9"), (2, "w1199995"), (3, "w2 nothing")], "comment_id long, clean_comment string")
+    got = {r.comment_id: r.lexicon_label for r in LX.lexicon_scores(df, big).collect()}
+    assert got == {1: "positive", 2: "negative", 3: "neutral"}
+    plan = LX.lexicon_scores(df, big)._jdf.queryExecution().analyzed().toString()
+    assert "strategy=broadcast" not in plan
+    assert len(LX.lexicon_table(spark, {f"t{i}": 1.0 for i in range(100_001)}).collect()) == 100_001
