@@ -8,7 +8,7 @@ no join and no Python; a key that was put in always passes, so whatever is
 filtered can be tested exactly afterwards.
 
 The size follows the number of keys (``BITS_PER_KEY``) up to ``MAX_BITS``
-(8 MB), whatever the data; beyond it more keys that were never put in pass,
+(1 MB), whatever the data; beyond it more keys that were never put in pass,
 and the exact test has more to do.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BITS_PER_KEY = 10
-MIN_BITS, MAX_BITS = 1 << 12, 1 << 26
+MIN_BITS, MAX_BITS = 1 << 12, 1 << 23
 
 
 def _positions(cols, bits: int) -> list[Column]:
@@ -43,7 +43,7 @@ class BloomFilter:
         words = at.groupBy(F.shiftright("p", 6).alias("i")).agg(F.bit_or(one).alias("w"))
         empty = keys.sparkSession.range(bits // 64).select(F.col("id").alias("i"), F.lit(0).cast("long").alias("w"))
         words = words.unionByName(empty).groupBy("i").agg(F.bit_or("w").alias("w"))
-        whole = words.agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("all"))       # bits / 64 words
+        whole = words.agg(F.sort_array(F.collect_list(F.struct("i", "w"))).alias("all"))       # bits / 64 words
         return cls(bits, whole.select(F.transform("all", lambda x: x["w"])).scalar())
 
     def may_hold(self, *cols) -> Column:
