@@ -63,7 +63,7 @@ def test_vocabulary_exact_thresholds(spark):
 def test_topic_docs_drop_all_filtered(spark):
     df = spark.createDataFrame([(1, ["the", "video", "ab"]), (2, ["cat", "cat"]), (3, [])],
                                "comment_id long, token_clean array<string>")
-    docs = TP.topic_docs(df, TP.topic_stopwords()).collect()
+    docs = TP.topic_docs(df, TP.topic_stopwords(spark)).collect()
     assert [(d.comment_id, d.token_clean_topic) for d in docs] == [(2, ["cat", "cat"])]
     empty = spark.createDataFrame([(1, [])], "comment_id long, token_clean_topic array<string>")
     model = TP.fit_topics(empty)
