@@ -67,8 +67,8 @@ def test_topic_docs_drop_all_filtered(spark):
     assert [(d.comment_id, d.token_clean_topic) for d in docs] == [(2, ["cat", "cat"])]
     empty = spark.createDataFrame([(1, [])], "comment_id long, token_clean_topic array<string>")
     model = TP.fit_topics(empty)
-    assert model.vocabulary == []
-    assert model.topics.columns == ["topic_id", "rank", "weight", "term"]
+    keywords = TP.topic_keywords(model.topics)
+    assert model.topics.columns == ["topic_id", "rank", "term", "weight"]
     assert model.assignments.columns == ["comment_id", "token_clean_topic", "topic_id", "topic_score"]
-    assert model.keywords.columns == ["topic_id", "topic_keywords", "topic_name"]
-    assert all(t.isEmpty() for t in (model.topics, model.assignments, model.keywords))
+    assert keywords.columns == ["topic_id", "topic_keywords", "topic_name"]
+    assert all(t.isEmpty() for t in (model.topics, model.assignments, keywords))
