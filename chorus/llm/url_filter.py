@@ -87,10 +87,12 @@ def labelled_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(LABELLED_URLS), "url string, label int")
 
 
-def train(labelled: DataFrame, epochs: int = EPOCHS, rate: float = RATE, l2: float = L2) -> tuple[list[float], float]:
-    """Weights by bucket and the intercept, from ``(url, label)`` rows; rows
+def train(labelled: DataFrame, epochs: int = EPOCHS, rate: float = RATE, l2: float = L2,
+          max_training: int = MAX_TRAINING) -> tuple[list[float], float]:
+    """Weights by bucket and the intercept, from ``(url, label)`` rows, of
+    which the first ``max_training`` by a hash of the URL are read; rows
     without a label are left out."""
-    rows = (labelled.filter("label is not null").orderBy("url", "label").limit(MAX_TRAINING)
+    rows = (labelled.filter("label is not null").orderBy(F.xxhash64("url"), "url", "label").limit(max_training)
             .select(features(host_of(F.col("url")), path_of(F.col("url"))).alias("x"), F.col("label").cast("double").alias("y")))
     one = rows.agg(F.array_sort(F.collect_list(F.struct("y", "x"))).alias("rows"))
     one = one.withColumn("used", F.array_sort(F.array_distinct(F.flatten(F.transform("rows", lambda r: r["x"])))))
