@@ -99,7 +99,7 @@ def short_comments(df: DataFrame, col: str = "token_count", max_tokens: int = 3)
 
 
 def word_counts(df: DataFrame, col: str = "token_clean") -> DataFrame:
-    """Op 30: ``(word, count)`` over all token lists, most frequent first."""
+    """Op 30: ``(word, count)`` over all token lists, in no order."""
     words = explode_tokens(df, [], F.col(col), "word")
     return words.groupBy("word").agg(F.count("*").alias("count"))
 

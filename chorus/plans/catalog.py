@@ -22,6 +22,7 @@ from chorus.operators import cleaning as C
 from chorus.operators import lexicon as LX
 from chorus.operators import reports as R
 from chorus.operators import phrases as PH
+from chorus.operators import profile as PR
 from chorus.operators import tokens as TK
 from chorus.operators import topics as TP
 from chorus.plans import oracle as O
@@ -374,6 +375,69 @@ def q_token_count_shape(spark, sf_dir):
     return TK.token_count_shape(nlp(spark, sf_dir))
 
 
+# op 28 as the violin shows it: box, points beyond the whiskers, density
+
+_BOX = f"""{_NLP},
+tc AS (SELECT comment_id, CAST(len(token_clean) AS BIGINT) AS token_count FROM nlp),
+tq AS (SELECT count(*) AS comments, min(token_count)::DOUBLE AS min, max(token_count)::DOUBLE AS max,
+         quantile_cont(token_count, 0.25) AS q25, quantile_cont(token_count, 0.5) AS q50,
+         quantile_cont(token_count, 0.75) AS q75, coalesce(stddev_samp(token_count), 0) AS std FROM tc),
+tw AS (SELECT min(token_count) AS whisker_low, max(token_count) AS whisker_high FROM tc, tq
+       WHERE token_count BETWEEN q25 - {PR.WHISKER_IQRS} * (q75 - q25) AND q75 + {PR.WHISKER_IQRS} * (q75 - q25))"""
+
+
+def token_value_counts(spark, sf_dir):
+    """How many comments have each token count: small, and read more than once."""
+    return stage(PR.value_counts(nlp_stage(spark, sf_dir)), "token-value-counts")
+
+
+@register("token_count_box", f"""{_BOX}
+SELECT comments, min, max, q25, q50, q75, q75 - q25 AS iqr, whisker_low::DOUBLE AS whisker_low, whisker_high::DOUBLE AS whisker_high,
+       (SELECT count(*) FROM tc WHERE token_count < whisker_low OR token_count > whisker_high) AS outliers
+FROM tq, tw""")
+def q_token_count_box(spark, sf_dir):
+    return PR.box(token_value_counts(spark, sf_dir))
+
+
+@register("token_count_outliers", f"""{_BOX}
+SELECT comment_id, token_count, CASE WHEN token_count < whisker_low THEN 'low' ELSE 'high' END AS side
+FROM tc, tw WHERE token_count < whisker_low OR token_count > whisker_high""")
+def q_token_count_outliers(spark, sf_dir):
+    return PR.outliers(nlp_stage(spark, sf_dir), token_value_counts(spark, sf_dir))
+
+
+@register("token_count_density", f"""{_BOX},
+tb AS (SELECT *, CASE WHEN max > min THEN greatest(
+         least(std, (q75 - q25) / {PR.NORMAL_IQR}) * {PR.SILVERMAN} * pow(comments, -0.2), (max - min) * {PR.LEAST_BANDWIDTH})
+         ELSE 1.0 END AS bw FROM tq WHERE comments > 0),
+tp AS (SELECT *, CAST(ceil((max - min + {2 * PR.SPAN_BANDWIDTHS} * bw) / (bw / {PR.STEPS_A_BANDWIDTH})) AS BIGINT) AS points FROM tb),
+tg AS (SELECT *, unnest(range(0, points + 1)) AS point, (max - min + {2 * PR.SPAN_BANDWIDTHS} * bw) / points AS step FROM tp),
+ta AS (SELECT point, bw, comments, min - {PR.SPAN_BANDWIDTHS} * bw + point * step AS x FROM tg)
+SELECT point, round(any_value(x), 6) AS x,
+       round(sum(exp(-0.5 * pow((x - token_count) / bw, 2))) / any_value(comments * bw * sqrt(2 * pi())), 6) AS density
+FROM ta, tc GROUP BY point""")
+def q_token_count_density(spark, sf_dir):
+    d = PR.density(token_value_counts(spark, sf_dir))
+    return d.select("point", F.round("x", 6).alias("x"), F.round("density", 6).alias("density"))
+
+
+def word_sketches(spark, sf_dir):
+    """The stored sketches of every video: the KPIs of any choice of videos
+    are merged from them, and comments are not read again."""
+    return stored(spark, "word-sketches", [source(sf_dir, "documents")],
+                  {"stop words": TK.general_stopwords(), "lg_k": PR.SKETCH_LG_K}, lambda: PR.word_sketches(nlp_stage(spark, sf_dir)))
+
+
+@register("video_kpis_sketched")
+def q_video_kpis_sketched(spark, sf_dir):
+    """KPIs per video (``level`` video) and over all (``level`` all, no
+    ``video_id``); ``unique_words`` is an estimate, so there is no twin: tests
+    hold it against the exact number."""
+    s = word_sketches(spark, sf_dir)
+    total = PR.merged(s).select(F.lit("all").alias("level"), F.lit(None).cast("string").alias("video_id"), "*")
+    return PR.merged(s, "video_id").select(F.lit("video").alias("level"), "*").unionByName(total)
+
+
 @register("short_comments", f"""{_NLP}
 SELECT comment_id, CAST(len(token_clean) AS BIGINT) AS token_count FROM nlp WHERE len(token_clean) <= 3""")
 def q_short_comments(spark, sf_dir):
