@@ -29,6 +29,7 @@ from chorus.plans import oracle as O
 from chorus.plans.stage import stage
 from chorus.plans.store import stored
 from chorus.session import scratch_path
+from chorus.sources import published as PB
 from chorus.sources import sinks as SK
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -829,21 +830,36 @@ def q_batch_model(spark, sf_dir):
 
 # ---------------------------------------------------------------- 2.8 sinks
 
-@register("write_results_csv", f"""{_ALL_SCORES}
+_EXPORT = f"""{_ALL_SCORES}
 SELECT comment_id, video_id, date, comment, like_count, author, clean_comment,
        lexicon_label, round(lexicon_score, 6) AS lexicon_score, binary_label, round(binary_score, 6) AS binary_score,
        ternary_label, round(ternary_score, 6) AS ternary_score
-FROM results""")
-def q_write_results_csv(spark, sf_dir):
-    r = results(spark, sf_dir).select(
+FROM results"""
+
+
+def export_rows(spark, sf_dir) -> DataFrame:
+    return results(spark, sf_dir).select(
         "comment_id", "video_id", "date", "comment", "like_count", "author", "clean_comment",
         "lexicon_label", F.round("lexicon_score", 6).alias("lexicon_score"),
         "binary_label", F.round("binary_score", 6).alias("binary_score"),
         "ternary_label", F.round("ternary_score", 6).alias("ternary_score"))
+
+
+@register("write_results_csv", _EXPORT)
+def q_write_results_csv(spark, sf_dir):
+    r = export_rows(spark, sf_dir)
     path = SK.write_csv(r, scratch_path(spark, "results-csv"))
     return SK.read_csv(spark, path, r.schema)
 
 
+@register("publish_results_csv", _EXPORT)
+def q_publish_results_csv(spark, sf_dir):
+    """Op 50 published as one: ordered parts and a manifest, read back by it."""
+    path = scratch_path(spark, "results-published")
+    PB.publish_csv(export_rows(spark, sf_dir), path, ["comment_id"])
+    return PB.read_published(spark, path)
+
+
 _RESULT_COLS = ["comment_id", "video_id", "date", "comment", "like_count", "author", "clean_comment"]
 _SCORE_COLS = ["lexicon_label", "lexicon_score", "binary_label", "binary_score", "ternary_label", "ternary_score"]
 

@@ -25,53 +25,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from chorus.session import ensure_checkpoint_dir
+from chorus.sources.files import Files
 
 VERSION = 1
 TTL_SECONDS = 7 * 24 * 3600
 WRITES: Counter = Counter()          # tables written by this process, by name
 
 
-class _Files:
-    """The few file operations needed, through Spark's file systems."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.jvm, self.conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        self.fs = self.path(root).getFileSystem(self.conf)
-
-    def path(self, p: str):
-        return self.jvm.org.apache.hadoop.fs.Path(p)
-
-    def read(self, p: str) -> str | None:
-        if not self.fs.exists(self.path(p)):
-            return None
-        stream = self.fs.open(self.path(p))
-        try:
-            return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
-        finally:
-            stream.close()
-
-    def write(self, p: str, text: str) -> None:
-        stream = self.fs.create(self.path(p), True)
-        stream.write(bytearray(text.encode()))
-        stream.close()
-
-    def listing(self, p: str) -> list:
-        path = self.path(p)
-        return list(self.fs.listStatus(path)) if self.fs.exists(path) else []
-
-    def files(self, p: str):
-        """``(path, length, time)`` of every file below a path."""
-        for s in self.listing(p):
-            if s.isDirectory():
-                yield from self.files(s.getPath().toString())
-            else:
-                yield s.getPath().toString(), s.getLen(), s.getModificationTime()
-
-
 def fingerprint(spark: SparkSession, sources: list[str]) -> str:
     h = hashlib.sha256()
     for source in sources:
-        for row in sorted(_Files(spark, source).files(source)):
+        for row in sorted(Files(spark, source).files(source)):
             h.update(repr(row).encode())
     return h.hexdigest()
 
@@ -85,7 +49,7 @@ def stored(spark: SparkSession, name: str, sources: list[str], params: dict, bui
     published, else built, written once and published."""
     key = hashlib.sha256(json.dumps([VERSION, name, params, fingerprint(spark, sources)], sort_keys=True, default=str).encode()).hexdigest()[:24]
     root = _root(spark)
-    files = _Files(spark, root)
+    files = Files(spark, root)
     pointer = f"{root}/{name}-{key}.json"
     held = files.read(pointer)
     if held is None:
@@ -109,7 +73,7 @@ def expire(spark: SparkSession, ttl_seconds: float | None = None) -> int:
     if ttl_seconds is None:
         ttl_seconds = float(spark.conf.get("spark.chorus.store.ttlSeconds", str(TTL_SECONDS)))
     root, before = _root(spark), (time.time() - ttl_seconds) * 1000
-    files, named, dropped = _Files(spark, root), set(), 0
+    files, named, dropped = Files(spark, root), set(), 0
     listing = files.listing(root)
     for s in listing:
         if s.isDirectory():
@@ -128,5 +92,5 @@ def expire(spark: SparkSession, ttl_seconds: float | None = None) -> int:
 
 def clear(spark: SparkSession) -> None:
     """Drop the whole store; no table of it may be in use."""
-    files = _Files(spark, _root(spark))
+    files = Files(spark, _root(spark))
     files.fs.delete(files.path(_root(spark)), True)

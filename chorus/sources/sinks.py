@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_OPTS = {"header": "true", "quote": '"', "escape": '"', "encoding": "UTF-8"}
+CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "encoding": "UTF-8"}
 
 
-def _arrays_to_json(df: DataFrame) -> DataFrame:
+def arrays_to_json(df: DataFrame) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
@@ -28,7 +28,7 @@ def _arrays_to_json(df: DataFrame) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     """Op 50: write ``df`` as CSV (header, no index)."""
-    _arrays_to_json(df).write.mode(mode).options(**_OPTS).csv(path)
+    arrays_to_json(df).write.mode(mode).options(**CSV_OPTIONS).csv(path)
     return path
 
 
@@ -41,9 +41,13 @@ def write_topics_csv(df: DataFrame, path: str, mode: str = "overwrite") -> bool:
     return True
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Read back a written result with its schema (list columns as text)."""
-    flat = T.StructType([
+def flat_schema(schema: T.StructType) -> T.StructType:
+    """The schema as CSV holds it: list columns as text, all nullable."""
+    return T.StructType([
         T.StructField(f.name, T.StringType() if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))
                       else f.dataType, True) for f in schema.fields])
-    return spark.read.options(**_OPTS).option("multiLine", "true").schema(flat).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Read back a written result with its schema (list columns as text)."""
+    return spark.read.options(**CSV_OPTIONS).option("multiLine", "true").schema(flat_schema(schema)).csv(path)
