@@ -26,12 +26,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chorus.functions.arrays import exploded_counts
 from chorus.functions.text import model_tokens
 from chorus.operators.hot import salted_join
+from chorus.sources.files import Files
 
 CLASSES = {
     "binary": ("negative", "positive"),
@@ -155,7 +156,7 @@ def classifier_scores(df: DataFrame, labels: DataFrame, scheme: str,
 
 def export_model(model: NaiveBayesModel, path: str) -> str:
     """Write the model as parquet (weights + one priors row) to a shared
-    folder, where each Python worker loads it once."""
+    folder of any file system that Spark writes to."""
     model.weights.write.mode("overwrite").parquet(f"{path}/weights")
     spark = model.weights.sparkSession
     spark.range(1).select(*[model.log_prior[c].alias(c) for c in model.classes]) \
@@ -163,44 +164,52 @@ def export_model(model: NaiveBayesModel, path: str) -> str:
     return path
 
 
-def make_predict_fn(path: str, classes: tuple[str, ...]):
-    """``make_predict_fn`` for ``predict_batch_udf``: loads the exported
-    model once per Python worker and scores batches of texts with NumPy.
-    Same tokens, smoothing and tie rule as ``naive_bayes_scores``."""
+def ship_model(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    """Have Spark bring the files of an exported model to every executor's
+    own disk (``addFile``: each executor fetches them once, through Spark's
+    file systems); the names of the weight and prior files there.  The model
+    does not pass through the driver's memory.  Spark's part names are unique,
+    so any number of models can be shipped."""
+    files = Files(spark, path)
+    names = []
+    for part in ("weights", "priors"):
+        found = sorted(p for p, _, _ in files.files(f"{path}/{part}") if p.endswith(".parquet"))
+        for p in found:
+            spark.sparkContext.addFile(p)
+        names.append([p.rsplit("/", 1)[-1] for p in found])
+    return names[0], names[1]
 
-    def load():
-        import re
 
+def make_predict_fn(weights: list[str], priors: list[str], classes: tuple[str, ...]):
+    """``make_predict_fn`` for ``predict_batch_udf``: opens the shipped model
+    once per Python worker and scores batches of token lists (joined by
+    spaces) with NumPy.  Same smoothing and tie rule as ``naive_bayes_scores``.
+
+    All workers of an executor read one memory-mapped copy of the model.
+    """
+
+    def load():
         import numpy as np
-        import pyarrow.dataset as ds
-        from pyarrow import fs as pafs
-
-        def _read_parquet(p):
-            if "://" in p and not p.startswith("file:"):
-                filesystem, p = pafs.FileSystem.from_uri(p)
-            else:
-                filesystem, p = None, p.removeprefix("file://").removeprefix("file:")
-            return ds.dataset(p, filesystem=filesystem, format="parquet").to_table()
-
-        w = _read_parquet(f"{path}/weights").to_pandas()
-        pri = _read_parquet(f"{path}/priors").to_pandas()
-        prior = np.array([float(pri[c].iloc[0]) for c in classes])
-        mat = w[[f"lp_{c}" for c in classes]].to_numpy(dtype=float)
-        index = {t: i for i, t in enumerate(w["term"].tolist())}
+        from pyspark import SparkFiles
+
+        from chorus.functions.mapped_table import MappedTable
+
+        table = MappedTable.of_parquet([SparkFiles.get(w) for w in weights], "term", [f"lp_{c}" for c in classes])
+        prior = MappedTable.rows_of([SparkFiles.get(p) for p in priors], list(classes))[0]
         order = np.argsort(np.array(classes))          # alphabetical tie rule
         names = np.array(classes, dtype=object)
-        pat = re.compile(r"[a-z0-9]+")
 
         def predict(texts):
             n = len(texts)
             z = np.tile(prior, (n, 1))
-            found = [[i for i in map(index.get, pat.findall(str(t).lower())) if i is not None] for t in texts]
-            sizes = np.array([len(f) for f in found])
-            hit = np.flatnonzero(sizes)
-            if hit.size:
-                flat = np.fromiter((i for f in found for i in f), dtype=np.int64, count=int(sizes.sum()))
-                starts = np.concatenate(([0], np.cumsum(sizes[hit])[:-1]))
-                z[hit] += np.add.reduceat(mat[flat], starts, axis=0) / sizes[hit, None]
+            lists = ["" if t is None else t for t in texts]
+            place, text = table.find([t.split() for t in lists])
+            if place.size:
+                uses = np.bincount(text, minlength=n)
+                hit = uses > 0
+                for c in range(len(classes)):
+                    total = np.bincount(text, weights=table.values[place, c], minlength=n)
+                    z[hit, c] += total[hit] / uses[hit]
             e = np.exp(z - z.max(axis=1, keepdims=True))
             p = e / e.sum(axis=1, keepdims=True)
             best = order[np.argmax(p[:, order], axis=1)]
@@ -213,12 +222,14 @@ def make_predict_fn(path: str, classes: tuple[str, ...]):
 
 def batch_model_scores(df: DataFrame, path: str, classes: tuple[str, ...], prefix: str,
                        text_col: str = "clean_comment", batch_size: int = 32) -> DataFrame:
-    """Op 17: score ``text_col`` with a user batch model through
-    ``predict_batch_udf`` (Arrow batches of ``batch_size`` texts)."""
+    """Op 17: score ``text_col`` with an exported model through
+    ``predict_batch_udf`` (Arrow batches of ``batch_size`` texts).  Texts are
+    split into tokens by Spark; a null text has none and gets the priors."""
     from pyspark.ml.functions import predict_batch_udf
     from pyspark.sql import types as T
     rt = T.StructType([T.StructField("label", T.StringType()), T.StructField("score", T.DoubleType())])
-    udf = predict_batch_udf(make_predict_fn(path, tuple(classes)), return_type=rt, batch_size=batch_size)
-    out = df.withColumn("_pred", udf(F.col(text_col)))
+    weights, priors = ship_model(df.sparkSession, path)
+    udf = predict_batch_udf(make_predict_fn(weights, priors, tuple(classes)), return_type=rt, batch_size=batch_size)
+    out = df.withColumn("_pred", udf(F.coalesce(F.array_join(model_tokens(F.col(text_col)), " "), F.lit(""))))
     return out.withColumns({f"{prefix}_label": F.col("_pred.label"),
                             f"{prefix}_score": F.col("_pred.score")}).drop("_pred")
