@@ -30,10 +30,10 @@ def _hashes(keys: list[bytes]) -> np.ndarray:
 
 class MappedTable:
     def __init__(self, folder: str):
-        load = lambda name: np.load(f"{folder}/{name}.npy", mmap_mode="r")
+        load = lambda name: np.asarray(np.load(f"{folder}/{name}.npy", mmap_mode="r"))
         self.hashes, self.starts, self.ends = load("hashes"), load("starts"), load("ends")
         self.rows, self.values = load("rows"), load("values")
-        self.bytes = np.memmap(f"{folder}/bytes", dtype=np.uint8, mode="r") if os.path.getsize(f"{folder}/bytes") else np.zeros(0, np.uint8)
+        self.bytes = np.asarray(np.memmap(f"{folder}/bytes", dtype=np.uint8, mode="r")) if os.path.getsize(f"{folder}/bytes") else np.zeros(0, np.uint8)
 
     @staticmethod
     def rows_of(parquet: list[str], columns: list[str]) -> np.ndarray:
@@ -90,11 +90,18 @@ class MappedTable:
         keys = [w.encode() for w in ids]
         found = np.full(len(keys), -1, np.int64)
         if keys and len(self.hashes):
-            hashes = _hashes(keys)
+            hashes, sizes = _hashes(keys), np.fromiter(map(len, keys), dtype=np.int64, count=len(keys))
+            joined, begins = np.frombuffer(b"".join(keys), np.uint8), np.cumsum(sizes) - sizes
             lo, hi = np.searchsorted(self.hashes, hashes, "left"), np.searchsorted(self.hashes, hashes, "right")
-            for i in np.flatnonzero(lo < hi):
-                for j in range(lo[i], hi[i]):           # more than one only if hashes agree
-                    if self.bytes[self.starts[j]:self.ends[j]].tobytes() == keys[i]:
-                        found[i] = self.rows[j]
+            for k in range(int((hi - lo).max())):       # more than one round only if hashes agree
+                i = np.flatnonzero((lo + k < hi) & (found < 0))
+                j = lo[i] + k
+                alike = self.ends[j] - self.starts[j] == sizes[i]
+                i, j = i[alike], j[alike]
+                n = sizes[i]
+                ramp = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                differs = self.bytes[np.repeat(self.starts[j], n) + ramp] != joined[np.repeat(begins[i], n) + ramp]
+                same = np.bincount(np.repeat(np.arange(len(i)), n), weights=differs, minlength=len(i)) == 0
+                found[i[same]] = self.rows[j[same]]
         place = found[word] if len(keys) else np.zeros(0, np.int64)
         return place[place >= 0], owner[place >= 0]

@@ -118,7 +118,7 @@ def _build(args):
 
     from chorus.functions.mapped_table import MappedTable
     t = MappedTable.of_parquet(args, "term", ["a", "b"])
-    return os.stat(f"{args[0]}.mapped/values.npy").st_ino, len(t.hashes), type(t.values).__name__
+    return os.stat(f"{args[0]}.mapped/values.npy").st_ino, len(t.hashes), type(t.values.base).__name__
 
 
 def test_workers_of_an_executor_share_one_copy(tmp_path):
