@@ -2,8 +2,8 @@
 
 The scoring rules and their constants are the published ones of the
 valence-aware lexicon method (Hutto & Gilbert, ICWSM 2014).  The word list
-below is a small choice of words; their valences (-4..+4) are those of the
-method's published word list (MIT licence) where it holds the word.  Any
+below is a small choice of words; their valences (-4..+4) follow the method's
+published word list (MIT licence), from memory and not compared with it.  Any
 ``(token, valence)`` table can be passed instead (``lexicon_table``).  Booster, dampener and
 negation words must not appear in the lexicon (checked in tests): the context
 rules rely on it.
