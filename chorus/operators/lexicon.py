@@ -40,8 +40,7 @@ def lexicon_table(spark: SparkSession, mapping: dict[str, float] | None = None)
 
 
 def vader_tokens(text: Column) -> Column:
-    toks = F.split(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), r"(?U)\s+")
-    toks = F.filter(toks, lambda t: t != "")
+    toks = F.filter(F.split(text, r"(?U)\s+"), lambda t: t != "")     # outer space leaves empty ones
     return F.transform(toks, strip_outer_punct)
 
 
