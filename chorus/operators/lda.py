@@ -17,21 +17,29 @@ it gives (exponentially distributed), and the number of passes is fixed, so the
 gives the same model on any engine and with any partitioning, up to the last
 bits of sums.
 
-Nothing grows on the driver: it sees numbers per topic only.  The E-step joins
-in term blocks: a term found in more than ``BLOCK_ROWS`` documents has its
-weights copied to so many blocks, over which its rows are dealt by a hash of
-the document, so a term in most documents does not meet in one task.
+Nothing grows on the driver but the weights of the ``HOT_TERMS`` most frequent
+terms, whose number is bounded.  A document's terms lie in one row, as two
+arrays, in a table bucketed by document, so a pass moves the mixtures to them
+and not the rows.  The frequent terms, which hold nearly all rows, meet
+their weights by a broadcast and add up inside the task; only rows of a rare
+term, which none of ``BLOCK_ROWS`` documents or more is, are shuffled.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chorus.functions.numeric import digamma
+from chorus.operators.hot import frequent_join, hot_size
 from chorus.plans.stage import stage
+from chorus.session import scratch_path
 
 BLOCK_ROWS = 200_000
+HOT_TERMS = 200_000              # terms whose weights are copied to every task: some 10 MB
+BUCKET_ROWS = 4_000_000          # (document, term) pairs of a bucket
 HASH_DIGITS = 7                  # hex digits of the hash that give a starting weight
 
 
@@ -46,44 +54,64 @@ def _names(prefix: str, k: int) -> list[str]:
     return [f"{prefix}{i}" for i in range(k)]
 
 
+def _by_document(rows: DataFrame, name: str, pairs: int) -> DataFrame:
+    """``rows(doc, id, n)`` as a table of a row per document, bucketed by it:
+    ``hot`` and ``rare``, the pairs of frequent terms (``id`` from 0) and of
+    the others."""
+    spark = rows.sparkSession
+    buckets = max(spark.sparkContext.defaultParallelism, -(-pairs // BUCKET_ROWS))
+    pair = F.struct("id", "n")
+    docs = rows.repartition(buckets, "doc").groupBy("doc").agg(
+        F.collect_list(F.when(F.col("id") >= 0, pair)).alias("hot"), F.collect_list(F.when(F.col("id") < 0, pair)).alias("rare"))
+    docs.write.format("parquet").option("path", scratch_path(spark, "lda-docs")).bucketBy(buckets, "doc").saveAsTable(name)
+    return spark.table(name)
+
+
 def fit(bags: DataFrame, vocabulary: DataFrame, k: int, passes: int, seed: int, id_col: str = "comment_id",
-        block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame, list[float]]:
+        block_rows: int = BLOCK_ROWS, hot_terms: int = HOT_TERMS) -> tuple[DataFrame, DataFrame, list[float]]:
     """``(weights, mixtures, prior)`` from ``bags(id_col, term, n)`` and
     ``vocabulary(term, doc_freq)``: ``weights`` has ``term, l0 ..``,
     ``mixtures`` ``id_col, g0 ..`` (documents with a term), ``prior`` is K
     numbers.  Topic-term prior and sum of the document prior: 1 / k and 1."""
     topics, ls = range(k), _names("l", k)
     whole = " + ".join(_names("g", k))
-    blocks = F.floor(F.col("doc_freq") / block_rows) + 1
-    vocabulary = vocabulary.select("term", blocks.alias("blocks"))
-    rows = bags.join(vocabulary, "term").select(
-        F.col(id_col).alias("doc"), "term", "blocks", F.col("n").cast("double").alias("n"),
-        F.pmod(F.xxhash64(id_col), "blocks").alias("block"))
-    rows = stage(rows, "lda-bags")
-    weights = stage(vocabulary.selectExpr("term", "blocks", *[f"{1.0 / k!r}D + {start_weight('term', i, seed)} AS l{i}" for i in topics]), "lda-weights")
+    spark = bags.sparkSession
+    least = hot_size(vocabulary, "doc_freq", block_rows, hot_terms)
+    place = F.monotonically_increasing_id()
+    terms = stage(vocabulary.select("term", "doc_freq", F.when(F.col("doc_freq") >= least, place).otherwise(-1 - place).alias("id")), "lda-terms")
+    pairs, rare = terms.agg(F.sum("doc_freq"), F.count_if(F.col("id") < 0)).first()          # two numbers
+    bags = stage(bags.select(F.col(id_col).alias("doc"), "term", F.col("n").cast("double").alias("n")), "lda-bags")
+    table = f"chorus_lda_{uuid.uuid4().hex}"
+    docs = _by_document(frequent_join(bags, terms, "term", "doc_freq").select("doc", "id", "n"), table, pairs or 0)
+    weights = stage(terms.selectExpr("id", *[f"{1.0 / k!r}D + {start_weight('term', i, seed)} AS l{i}" for i in topics]), "lda-weights")
     totals = weights.agg(*[F.sum(f"l{i}") for i in topics]).first()               # K numbers
     prior, mixtures = [1.0 / k] * k, None
     for _ in range(passes):
-        beta = weights.selectExpr("term", "explode(sequence(0L, blocks - 1)) AS block",
-                                  *[f"exp({digamma(f'l{i}')} - {digamma(f'{totals[i]!r}D')}) AS b{i}" for i in topics])
-        met = rows.join(beta, ["term", "block"])
-        take = [f"b{i}" for i in topics]
+        beta = weights.selectExpr("id", *[f"exp({digamma(f'l{i}')} - {digamma(f'{totals[i]!r}D')}) AS b{i}" for i in topics])
+        take, known, held = [f"b{i}" for i in topics], [], docs
         if mixtures is not None:
             theta = mixtures.selectExpr("doc", *[f"exp({digamma(f'g{i}')} - {digamma(whole)}) AS t{i}" for i in topics])
-            met = met.join(theta, "doc")
-            take = [f"t{i} * b{i}" for i in topics]
-        met = met.selectExpr("doc", "term", "blocks", "n", *[f"{t} AS p{i}" for i, t in zip(topics, take)])
-        met = met.selectExpr("doc", "term", "blocks", *[f"n * p{i} / ({' + '.join(f'p{j}' for j in topics)}) AS p{i}" for i in topics])
-        summed = met.groupingSets([["doc"], ["term", "blocks"]], "doc", "term", "blocks").agg(
+            take, known = [f"t{i} * b{i}" for i in topics], _names("t", k)
+            held = docs.join(theta.hint("shuffle_hash"), "doc")
+        met = None
+        for part, table_part in (("hot", F.broadcast(beta.filter("id >= 0"))), ("rare", beta.filter("id < 0"))):
+            if part == "rare" and not rare:
+                continue
+            rows = held.select("doc", *known, F.explode_outer(part).alias("_p")).filter("_p is not null").select("doc", *known, "_p.id", "_p.n")
+            rows = rows.join(table_part, "id").selectExpr("doc", "id", "n", *[f"{t} AS p{i}" for i, t in zip(topics, take)])
+            met = rows if met is None else met.unionByName(rows)
+        met = met.selectExpr("doc", "id", *[f"n * p{i} / ({' + '.join(f'p{j}' for j in topics)}) AS p{i}" for i in topics])
+        summed = met.groupingSets([["doc"], ["id"]], "doc", "id").agg(
             (F.grouping("doc") == 0).alias("is_doc"), *[F.sum(f"p{i}").alias(f"s{i}") for i in topics])
         summed = stage(summed, "lda-pass")
         mixtures = summed.filter("is_doc").selectExpr("doc", *[f"s{i} + {prior[i]!r}D AS g{i}" for i in topics])
-        weights = summed.filter("not is_doc").selectExpr("term", "blocks", *[f"s{i} + {1.0 / k!r}D AS l{i}" for i in topics])
+        weights = summed.filter("not is_doc").selectExpr("id", *[f"s{i} + {1.0 / k!r}D AS l{i}" for i in topics])
         size = " + ".join(f"s{i} + {prior[i]!r}D" for i in topics)
         state = summed.selectExpr(*[f"sum(if(is_doc, null, s{i} + {1.0 / k!r}D))" for i in topics],
                                   *[f"avg(if(is_doc, (s{i} + {prior[i]!r}D) / ({size}), null))" for i in topics]).first()     # 2 K numbers
         totals, prior = state[:k], list(state[k:])
-    return weights.select("term", *ls), mixtures.withColumnRenamed("doc", id_col), prior
+    spark.sql(f"DROP TABLE {table}")
+    return weights.join(terms, "id").select("term", *ls), mixtures.withColumnRenamed("doc", id_col), prior
 
 
 def top_terms(weights: DataFrame, k: int, n: int) -> DataFrame:

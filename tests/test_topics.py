@@ -8,6 +8,7 @@ from chorus.functions.arrays import exploded_counts
 from chorus.functions.bloom import BloomFilter
 from chorus.operators import lda
 from chorus.operators import topics as TP
+from chorus.operators.hot import frequent_join, hot_size
 
 
 def corpus(spark):
@@ -145,3 +146,28 @@ def test_bloom_filter_passes_every_key(spark):
     got = {r["key"]: (r.n, r.ok) for r in rows.groupBy("key").agg(F.count("*").alias("n"), F.count_if(bloom.may_hold("w")).alias("ok")).collect()}
     assert got[True] == (20_000, 20_000) and got[False][1] < 0.06 * got[False][0]
     assert keys.filter(BloomFilter.of(keys.limit(0), "w").may_hold("w")).count() == 0
+
+
+def test_lda_of_frequent_and_rare_terms(spark):
+    """Terms met by a broadcast and those met by a shuffle make one model."""
+    docs = corpus(spark)
+    rows = [(r.comment_id, r.token_clean_topic) for r in docs.collect()]
+    lam, gam, _ = plain_fit(rows, 3, 4, 99)
+    vocab = TP.vocabulary(docs, no_above=0.5)
+    bags = TP.bag_of_words(docs, vocab).withColumnRenamed("count", "n")
+    for hot in (0, 3):
+        assert hot_size(vocab, "doc_freq", hot_keys=hot) > vocab.agg(F.min("doc_freq")).first()[0]
+        weights, mixtures, _ = lda.fit(bags, vocab, 3, 4, 99, hot_terms=hot)
+        got = {r.term: r for r in weights.collect()}
+        assert set(got) == set(lam) and all(math.isclose(got[t][f"l{i}"], lam[t][i], rel_tol=1e-5) for t in lam for i in range(3))
+        mix = {r.comment_id: r for r in mixtures.collect()}
+        assert set(mix) == set(gam) and all(math.isclose(mix[d][f"g{i}"], gam[d][i], rel_tol=1e-5) for d in gam for i in range(3))
+
+
+def test_join_of_hot_and_rare_keys(spark):
+    rows = spark.range(3000).select(F.expr("cast(floor(sqrt(id)) as string)").alias("k"), "id")
+    table = rows.groupBy("k").agg(F.count("*").alias("n")).filter("k != '7'")
+    want = sorted(map(tuple, rows.join(table, "k").select("k", "id", "n").collect()))
+    for keys, most in ((0, 200_000), (0, 50), (10, 200_000), (100_000, 200_000)):
+        got = frequent_join(rows, table, "k", "n", most, keys).select("k", "id", "n")
+        assert sorted(map(tuple, got.collect())) == want
