@@ -33,6 +33,7 @@ SAMPLE_BYTES = 16_000
 BUCKETS = 1 << 14
 GRAMS = (2, 4)
 BLOCK_BYTES = 1_000_000
+TRAIN_BYTES = 1 << 17            # texts of a training block
 EM_STEPS = 200
 FIT_STEPS = 300
 KEEP_AT = 0.5
@@ -151,19 +152,23 @@ class LinearScorer:
 
     @classmethod
     def train(cls, data: np.ndarray, offsets: np.ndarray, target: np.ndarray, steps: int = FIT_STEPS, l2: float = 1e-6):
-        bucket, row = hashed_grams(data, offsets)
         n = len(offsets) - 1
-        size = np.maximum(np.bincount(row, minlength=n), 1)
-        key, times = np.unique(row * BUCKETS + bucket, return_counts=True)
-        row, bucket = key // BUCKETS, key % BUCKETS
-        x = times / size[row] * 100                               # per cent
+        blocks = [_counted(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], a)
+                  for a, b in slices_by_size(offsets, TRAIN_BYTES)]
+        every = np.arange(BUCKETS)
         w, b = np.zeros(BUCKETS), 0.0
         m, v, mb, vb = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0
         for t in range(1, steps + 1):
-            z = b + np.bincount(row, weights=x * w[bucket], minlength=n)
-            r = 1 / (1 + np.exp(-np.clip(z, -50, 50))) - target
-            g = np.bincount(bucket, weights=x * r[row], minlength=BUCKETS) / n + l2 * w
-            gb = r.mean()
+            g, r = np.zeros(BUCKETS), np.zeros(n)
+            for first, size, each, bucket, times in blocks:
+                rows, bucket = slice(first, first + len(size)), bucket.astype(np.intp)
+                row = np.repeat(np.arange(len(size)), each)
+                x = times / size[row] * 100                       # per cent
+                z = b + np.bincount(row, weights=x * w[bucket], minlength=len(size))
+                r[rows] = 1 / (1 + np.exp(-np.clip(z, -50, 50))) - target[rows]
+                # the sum so far leads, so terms add up in the order of the rows, whatever the blocks
+                g = np.bincount(np.concatenate([every, bucket]), weights=np.concatenate([g, x * r[rows][row]]), minlength=BUCKETS)
+            g, gb = g / n + l2 * w, r.mean()
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
             w = w - 0.05 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-8)
@@ -171,6 +176,18 @@ class LinearScorer:
         return cls(w * 100, float(b))
 
 
+def _counted(data: np.ndarray, offsets: np.ndarray, first: int):
+    """The n-grams of some texts, the first of them row ``first``: number of
+    n-grams and of buckets met of each text, then bucket and times met, in the
+    order of texts and buckets, in as few bytes as hold them."""
+    bucket, row = hashed_grams(data, offsets)
+    n = len(offsets) - 1
+    key, times = np.unique(row * BUCKETS + bucket, return_counts=True)
+    narrow = np.min_scalar_type(int(times.max(initial=0)))
+    return (first, np.maximum(np.bincount(row, minlength=n), 1), np.bincount(key // BUCKETS, minlength=n),
+            (key % BUCKETS).astype(np.uint16), times.astype(narrow))
+
+
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS,
         sample_bytes: int = SAMPLE_BYTES):
     """``(LabelModel, LinearScorer, documents with pattern)``."""
@@ -185,12 +202,13 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_docs
     model = LabelModel(np.array([r.pattern for r in seen]), np.array([r["count"] for r in seen]))
     ids = voted.filter(F.col("doc_id").isNotNull() & (F.col("n") <= sample_bytes)).groupBy("doc_id").agg(
         F.min("pattern").alias("pattern")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    got = rows.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "pattern").collect()    # at most sample_docs
-    got = sorted({r.doc_id: r for r in got}.values(), key=lambda r: r.doc_id)
-    if not got:
+    got = rows.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "pattern").toArrow()    # at most sample_docs
+    if not got.num_rows:
         return model, LinearScorer(np.zeros(BUCKETS), 0.0)
-    target = model.posterior(np.array([r.pattern for r in got]))
-    data, offsets = utf8_buffers(pa.array([r.text or "" for r in got], pa.string()))
+    place = {k: i for i, k in enumerate(got["doc_id"].to_pylist())}
+    got = got.take([place[k] for k in sorted(place)])
+    target = model.posterior(got["pattern"].to_numpy())
+    data, offsets = utf8_buffers(got["text"])
     return model, LinearScorer.train(data, offsets, target)
 
 

@@ -2,6 +2,7 @@
 versions, and held-out measures."""
 
 import math
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -113,6 +114,32 @@ def test_scorer_equals_plain_sum():
         assert math.isclose(z, 0.25 + total / max(n, 1), rel_tol=1e-9, abs_tol=1e-9)
 
 
+def test_training_holds_little_beside_the_texts_and_equals_plain_steps():
+    rng = np.random.default_rng(5)
+    texts = ["", "a"] + [" ".join(f"w{k}" for k in rng.integers(0, 9000, n)) for n in rng.integers(1, 2000, 400)]
+    data, offsets = utf8_buffers(pa.array(texts))
+    target = rng.random(len(texts))
+    tracemalloc.start()
+    got = Q.LinearScorer.train(data, offsets, target, steps=3)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    print("bytes held", most, "of texts", len(data))
+    assert len(data) > 2_000_000 and most < 16 * len(data)
+
+    x = np.zeros((len(texts), Q.BUCKETS))
+    for i, t in enumerate(texts):
+        bucket = Q.hashed_grams(*utf8_buffers(pa.array([t])))[0]
+        np.add.at(x[i], bucket, 100 / max(len(bucket), 1))
+    w, b, m, v, mb, vb = np.zeros(Q.BUCKETS), 0.0, 0.0, 0.0, 0.0, 0.0
+    for t in (1, 2, 3):
+        r = 1 / (1 + np.exp(-(b + x @ w))) - target
+        g, gb = r @ x / len(x) + 1e-6 * w, r.mean()
+        m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
+        w = w - 0.05 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-8)
+        b = b - 0.05 * (mb / (1 - 0.9 ** t)) / (np.sqrt(vb / (1 - 0.99 ** t)) + 1e-8)
+    assert math.isclose(got.bias, b, rel_tol=1e-9) and np.allclose(got.weights, w * 100, rtol=1e-6, atol=1e-6)
+
+
 def test_quality_of_documents_by_their_labels(spark):
     """Neither model sees the labels; they are all held out."""
     sf = "/root/testdata/sf0.1"
