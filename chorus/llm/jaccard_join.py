@@ -57,7 +57,8 @@ LEAF = 12
 PIVOTS = 8
 FAMILY_CAP = 1000              # sets of a family that one task joins
 FAMILY_SHINGLES = 1_500_000    # and their shingles: 12 MB
-BLOCK_BYTES = 1_000_000
+BLOCK_BYTES = 250_000          # of text whose shingles are hashed at a time, some fifty bytes held for each
+TASK_SIGNATURES = 400_000      # signatures that a task counts, some 90 MB
 BROADCAST_ROWS = 300_000       # rows of some eighty bytes that may be broadcast
 MET = 200_000                  # sets a task remembers to spare their copies' signatures
 NO_SIGNATURES = np.zeros(0, np.uint64)
@@ -153,8 +154,8 @@ def set_keys(s: np.ndarray) -> tuple[int, int]:
 
 
 def sketch(k: int, num: int, den: int):
-    """``doc_id, text_hash, n, k1, k2, drops, sigs`` of each text; keys are
-    null without words.  A set that the task has met gives its signatures no
+    """``doc_id, text_hash, n, k1, k2, drops, named, sigs`` of each text, with
+    ``named`` the number of signatures; keys are null without words.  A set that the task has met gives its signatures no
     second time (``MET`` sets are remembered), so a group of copies, however
     large, gives some rows a task."""
 
@@ -182,8 +183,9 @@ def sketch(k: int, num: int, den: int):
             flat = np.concatenate(sigs) if sigs else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
-                 pa.array(drops, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
-                names=["doc_id", "text_hash", "n", "k1", "k2", "drops", "sigs"])
+                 pa.array(drops, pa.int32()), pa.array(np.diff(ends), pa.int32()),
+                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
+                names=["doc_id", "text_hash", "n", "k1", "k2", "drops", "named", "sigs"])
 
     return run
 
@@ -327,7 +329,7 @@ def join_families(num: int, den: int):
     return run
 
 
-SKETCH = "doc_id bigint, text_hash bigint, n bigint, k1 bigint, k2 bigint, drops int, sigs array<bigint>"
+SKETCH = "doc_id bigint, text_hash bigint, n bigint, k1 bigint, k2 bigint, drops int, named int, sigs array<bigint>"
 
 
 def classes_of(seen: DataFrame) -> DataFrame:
@@ -345,10 +347,12 @@ def tied_sets(seen: DataFrame) -> DataFrame:
     each set leaves out its commonest signatures, as many as it may.
 
     Most signatures are found in one set only.  They are moved once, to count
-    them; the shared ones go into a Bloom filter, and only rows that pass it
-    are moved again to meet their signature's count."""
-    named = seen.filter("size(sigs) > 0").select("k1", F.explode("sigs").alias("sig"))
-    least = named.repartition("sig").groupBy("sig").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi"), F.count("*").alias("n"))
+    them, in as many tasks as hold ``TASK_SIGNATURES`` each; the shared ones
+    go into a Bloom filter, and only rows that pass it are moved again to
+    meet their signature's count."""
+    total = seen.agg(F.coalesce(F.sum("named"), F.lit(0))).first()[0]
+    named = seen.filter("named > 0").select("k1", F.explode("sigs").alias("sig"))
+    least = named.repartition(max(1, -(-total // TASK_SIGNATURES)), "sig").groupBy("sig").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi"), F.count("*").alias("n"))
     least = stage(least.filter("lo < hi").select("sig", "lo", "n"), "shared-signatures")
     shared = named.filter(BloomFilter.of(least, "sig").may_hold("sig")).join(least, "sig").distinct()
     may = seen.filter("k1 is not null").groupBy("k1").agg(F.min("drops").alias("drops"))

@@ -75,3 +75,26 @@ def test_regions_on_the_given_documents(spark):
     got = found.agg(J.F.count("*").alias("sets"), J.F.sum("links").alias("links"), J.F.sum("regions").alias("regions")).first()
     assert got.sets > 100 and got.links > 100
     print("sets in families", got.sets, "regions", got.regions)
+
+
+def test_signatures_are_counted_in_tasks_of_bounded_size(spark, monkeypatch):
+    """As many tasks as the signatures need, whatever the session's shuffle
+    partitions, and the same groups."""
+    rng = random.Random(6)
+    bases = [[f"w{rng.randrange(500)}" for _ in range(150)] for _ in range(8)]
+    docs = docs_of(spark, [(10 * i + k, near(rng, base, k)) for i, base in enumerate(bases) for k in range(3)]).cache()
+    whole = sorted(map(tuple, J.near_duplicates(docs).collect()))
+    tasks, total, stage = {}, [], J.stage
+
+    def watched(df, name):
+        if name == "shared-signatures":
+            tasks[name] = df.rdd.getNumPartitions()
+        out = stage(df, name)
+        if name == "sketch":
+            total.append(out.agg(J.F.sum(J.F.size("sigs"))).first()[0])
+        return out
+
+    monkeypatch.setattr(J, "TASK_SIGNATURES", 50, raising=False)
+    monkeypatch.setattr(J, "stage", watched)
+    assert sorted(map(tuple, J.near_duplicates(docs).collect())) == whole
+    assert tasks["shared-signatures"] == -(-total[0] // 50) > 8

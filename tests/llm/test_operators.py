@@ -278,6 +278,16 @@ def test_pipeline(spark, sf):
         assert apply(spark, odd.limit(0), sf).count() == 0
 
 
+def test_pipeline_cuts_each_text_once(spark):
+    """The filter on what is left must not cut the texts a second time, in a
+    second Python worker a task."""
+    passage = " ".join(f"p{k}" for k in range(120))
+    docs = docs_of(spark, [f"a b c {passage} d", f"e f {passage} g h", passage, "alone"])
+    cut = suffix_dedup.cut_repeats(docs, min_len=256)
+    assert sorted(r.text for r in cut.collect()) == ["a b cd", "alone", "e fg h"]
+    assert cut._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_pipeline_near_copies_link_at_five_words_and_80_percent(spark, sf):
     import corpus_pipeline
     words = [f"w{k}" for k in range(235)]
