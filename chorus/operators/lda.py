@@ -27,15 +27,12 @@ term, which none of ``BLOCK_ROWS`` documents or more is, are shuffled.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chorus.functions.numeric import digamma
 from chorus.operators.hot import frequent_join, hot_size
-from chorus.plans.stage import stage
-from chorus.session import scratch_path
+from chorus.plans.stage import stage, stage_bucketed, stage_large, unstage
 
 BLOCK_ROWS = 200_000
 HOT_TERMS = 200_000              # terms whose weights are copied to every task: some 10 MB
@@ -54,7 +51,7 @@ def _names(prefix: str, k: int) -> list[str]:
     return [f"{prefix}{i}" for i in range(k)]
 
 
-def _by_document(rows: DataFrame, name: str, pairs: int) -> DataFrame:
+def _by_document(rows: DataFrame, pairs: int) -> DataFrame:
     """``rows(doc, id, n)`` as a table of a row per document, bucketed by it:
     ``hot`` and ``rare``, the pairs of frequent terms (``id`` from 0) and of
     the others."""
@@ -63,29 +60,30 @@ def _by_document(rows: DataFrame, name: str, pairs: int) -> DataFrame:
     pair = F.struct("id", "n")
     docs = rows.repartition(buckets, "doc").groupBy("doc").agg(
         F.collect_list(F.when(F.col("id") >= 0, pair)).alias("hot"), F.collect_list(F.when(F.col("id") < 0, pair)).alias("rare"))
-    docs.write.format("parquet").option("path", scratch_path(spark, "lda-docs")).bucketBy(buckets, "doc").saveAsTable(name)
-    return spark.table(name)
+    return stage_bucketed(docs, "lda-docs", "doc", buckets)
 
 
 def fit(bags: DataFrame, vocabulary: DataFrame, k: int, passes: int, seed: int, id_col: str = "comment_id",
-        block_rows: int = BLOCK_ROWS, hot_terms: int = HOT_TERMS) -> tuple[DataFrame, DataFrame, list[float]]:
+        block_rows: int = BLOCK_ROWS, hot_terms: int = HOT_TERMS, feeds: tuple[DataFrame, ...] = ()) -> tuple[DataFrame, DataFrame, list[float]]:
     """``(weights, mixtures, prior)`` from ``bags(id_col, term, n)`` and
     ``vocabulary(term, doc_freq)``: ``weights`` has ``term, l0 ..``,
     ``mixtures`` ``id_col, g0 ..`` (documents with a term), ``prior`` is K
-    numbers.  Topic-term prior and sum of the document prior: 1 / k and 1."""
+    numbers.  Topic-term prior and sum of the document prior: 1 / k and 1.
+    ``feeds``: large stage tables that only ``bags`` reads.  Tables go when
+    their last reader is done, so one pass lies on disk besides the documents."""
     topics, ls = range(k), _names("l", k)
     whole = " + ".join(_names("g", k))
-    spark = bags.sparkSession
     least = hot_size(vocabulary, "doc_freq", block_rows, hot_terms)
     place = F.monotonically_increasing_id()
     terms = stage(vocabulary.select("term", "doc_freq", F.when(F.col("doc_freq") >= least, place).otherwise(-1 - place).alias("id")), "lda-terms")
     pairs, rare = terms.agg(F.sum("doc_freq"), F.count_if(F.col("id") < 0)).first()          # two numbers
-    bags = stage(bags.select(F.col(id_col).alias("doc"), "term", F.col("n").cast("double").alias("n")), "lda-bags")
-    table = f"chorus_lda_{uuid.uuid4().hex}"
-    docs = _by_document(frequent_join(bags, terms, "term", "doc_freq").select("doc", "id", "n"), table, pairs or 0)
+    bags = stage_large(bags.select(F.col(id_col).alias("doc"), "term", F.col("n").cast("double").alias("n")), "lda-bags")
+    unstage(*feeds)
+    docs = _by_document(frequent_join(bags, terms, "term", "doc_freq").select("doc", "id", "n"), pairs or 0)
+    unstage(bags)
     weights = stage(terms.selectExpr("id", *[f"{1.0 / k!r}D + {start_weight('term', i, seed)} AS l{i}" for i in topics]), "lda-weights")
     totals = weights.agg(*[F.sum(f"l{i}") for i in topics]).first()               # K numbers
-    prior, mixtures = [1.0 / k] * k, None
+    prior, mixtures, last = [1.0 / k] * k, None, None
     for _ in range(passes):
         beta = weights.selectExpr("id", *[f"exp({digamma(f'l{i}')} - {digamma(f'{totals[i]!r}D')}) AS b{i}" for i in topics])
         take, known, held = [f"b{i}" for i in topics], [], docs
@@ -103,14 +101,17 @@ def fit(bags: DataFrame, vocabulary: DataFrame, k: int, passes: int, seed: int,
         met = met.selectExpr("doc", "id", *[f"n * p{i} / ({' + '.join(f'p{j}' for j in topics)}) AS p{i}" for i in topics])
         summed = met.groupingSets([["doc"], ["id"]], "doc", "id").agg(
             (F.grouping("doc") == 0).alias("is_doc"), *[F.sum(f"p{i}").alias(f"s{i}") for i in topics])
-        summed = stage(summed, "lda-pass")
+        summed = stage_large(summed, "lda-pass")
+        if last is not None:
+            unstage(last)
+        last = summed
         mixtures = summed.filter("is_doc").selectExpr("doc", *[f"s{i} + {prior[i]!r}D AS g{i}" for i in topics])
         weights = summed.filter("not is_doc").selectExpr("id", *[f"s{i} + {1.0 / k!r}D AS l{i}" for i in topics])
         size = " + ".join(f"s{i} + {prior[i]!r}D" for i in topics)
         state = summed.selectExpr(*[f"sum(if(is_doc, null, s{i} + {1.0 / k!r}D))" for i in topics],
                                   *[f"avg(if(is_doc, (s{i} + {prior[i]!r}D) / ({size}), null))" for i in topics]).first()     # 2 K numbers
         totals, prior = state[:k], list(state[k:])
-    spark.sql(f"DROP TABLE {table}")
+    unstage(docs)
     return weights.join(terms, "id").select("term", *ls), mixtures.withColumnRenamed("doc", id_col), prior
 
 

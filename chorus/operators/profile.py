@@ -7,7 +7,7 @@ quartiles nor density see them again.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chorus.functions.text import explode_tokens
@@ -96,13 +96,14 @@ def density(counts: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- word sketches
 
 def word_sketches(df: DataFrame, by: str = "video_id", text_col: str = "clean_comment", tokens_col: str = "token_clean",
-                  lg_k: int = SKETCH_LG_K) -> DataFrame:
+                  lg_k: int = SKETCH_LG_K, chars: Column | None = None) -> DataFrame:
     """``(by, comments, chars, words, sketch)``: what the KPIs need of each
     group, in a form that merges.  New groups are appended and ``merged``
     reads them with the old ones; no comment is read again.  ``sketch`` is a
     HyperLogLog of the group's words (null without words); a group's words
-    are merged inside each task first, so a group of any size splits."""
-    sizes = df.groupBy(by).agg(F.count("*").alias("comments"), F.sum(F.length(text_col)).alias("chars"),
+    are merged inside each task first, so a group of any size splits.
+    ``chars``: the length of the text, where ``df`` has it and not the text."""
+    sizes = df.groupBy(by).agg(F.count("*").alias("comments"), F.sum(F.length(text_col) if chars is None else chars).alias("chars"),
                                F.coalesce(F.sum(F.size(tokens_col)), F.lit(0)).cast("long").alias("words"))
     words = explode_tokens(df, [by], F.col(tokens_col), "_word")
     seen = words.groupBy(F.col(by).alias("_by")).agg(F.hll_sketch_agg("_word", lg_k).alias("sketch"))

@@ -21,10 +21,22 @@ def sentiment_results(prepared: DataFrame, labels: DataFrame,
     the comments are joined to both on ``comment_id``, so the text rows move
     once whatever the number of models.
     """
+    return _scored(prepared, prepared, labels, lexicon, id_col)
+
+
+def sentiment_scores(prepared: DataFrame, labels: DataFrame,
+                     lexicon: DataFrame | None = None, id_col: str = "comment_id") -> DataFrame:
+    """Op 18 without the comments: their ids with all three labels and
+    scores, a hundred bytes each, for results that take the texts from
+    elsewhere."""
+    return _scored(prepared.select(id_col), prepared, labels, lexicon, id_col)
+
+
+def _scored(rows: DataFrame, prepared: DataFrame, labels: DataFrame, lexicon: DataFrame | None, id_col: str) -> DataFrame:
     key = prepared.select(id_col, "clean_comment")
     lx = LX.lexicon_sums(key, lexicon, id_col=id_col)
     models = CL.fit_schemes(prepared, labels, ("binary", "ternary"), id_col=id_col)
-    out = prepared.join(lx, id_col, "left").join(CL.scheme_sums(key, models, id_col=id_col), id_col, "left")
+    out = rows.join(lx, id_col, "left").join(CL.scheme_sums(key, models, id_col=id_col), id_col, "left")
     out = LX.finish_lexicon(out)
     for s, m in models.items():
         out = CL.finish_naive_bayes(out, m, s)

@@ -17,12 +17,12 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chorus.sources.files import Files
-from chorus.sources.sinks import CSV_OPTIONS, arrays_to_json, flat_schema
+from chorus.sources.sinks import CSV_OPTIONS, arrays_to_json, flat_schema, writer
 
 KEEP = 2                         # versions kept: the newest, and the one before for readers under way
 PART_ROWS = 1_000_000            # a CSV with line breaks inside its texts is read a file a task
@@ -43,7 +43,21 @@ def _manifest(files: Files, path: str) -> dict:
     return json.loads(files.read(held[-1]))
 
 
-def publish_csv(df: DataFrame, path: str, order: list[str], keep: int = KEEP, part_rows: int = PART_ROWS) -> dict:
+def ordered_join(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, which has one row per ``key``,
+    in the order of ``key``: both are dealt together to ranges of it, so the
+    rows move once for the join and the order; a table row is then handed to
+    the rows of its key by a window."""
+    cols = [c for c in table.columns if c != key]
+    both = rows.withColumn("_held", F.lit(None).cast(table.select(F.struct(*cols).alias("_held")).schema[0].dataType)).withColumn("_row", F.lit(True))
+    given = table.select(key, F.struct(*cols).alias("_held"), F.lit(False).alias("_row"))
+    dealt = both.unionByName(given, allowMissingColumns=True).repartitionByRange(key)
+    held = dealt.withColumn("_held", F.first("_held", ignorenulls=True).over(Window.partitionBy(key)))
+    return held.filter(F.col("_row") & F.col("_held").isNotNull() & F.col(key).isNotNull()).select(*rows.columns, "_held.*")
+
+
+def publish_csv(df: DataFrame, path: str, order: list[str], keep: int = KEEP, part_rows: int = PART_ROWS,
+                ordered: bool = False, packed: bool = False) -> dict:
     """Write ``df`` as CSV parts ordered by ``order`` and publish them as one
     version; returns its manifest.
 
@@ -51,6 +65,8 @@ def publish_csv(df: DataFrame, path: str, order: list[str], keep: int = KEEP, pa
     inside, and named in that order.  Rows with equal keys land in one range,
     so ``order`` should end with a unique column; a range of any size is cut
     into files of ``part_rows`` rows.  List columns are written as JSON text.
+    ``ordered``: the rows of ``df`` lie in such ranges already, as those of
+    ``ordered_join`` do; ``packed``: parts are ``.csv.gz``.
     If the write fails its folder is dropped, the error goes on to the
     caller and the version before stays the readable one.
     """
@@ -60,10 +76,11 @@ def publish_csv(df: DataFrame, path: str, order: list[str], keep: int = KEEP, pa
     name = uuid.uuid4().hex[:12]
     folder = f"{path.rstrip('/')}/parts-{name}"
     seen = Observation(f"published-{name}")
-    rows = arrays_to_json(df).repartitionByRange(*order).sortWithinPartitions(*order).observe(seen, F.count(F.lit(1)).alias("rows"))
+    rows = arrays_to_json(df)
+    rows = (rows if ordered else rows.repartitionByRange(*order)).sortWithinPartitions(*order).observe(seen, F.count(F.lit(1)).alias("rows"))
     try:
-        rows.write.options(**CSV_OPTIONS).option("maxRecordsPerFile", str(part_rows)).csv(folder)
-        parts = sorted((p.rsplit("/", 1)[-1], length) for p, length, _ in files.files(folder) if p.endswith(".csv"))
+        writer(rows, packed).option("maxRecordsPerFile", str(part_rows)).csv(folder)
+        parts = sorted((p.rsplit("/", 1)[-1], length) for p, length, _ in files.files(folder) if p.endswith((".csv", ".csv.gz")))
         held = _manifests(files, path)
         number = 1 + (int(held[-1].rsplit("/", 1)[-1].split("-")[1]) if held else 0)
         manifest = {"version": number, "folder": f"parts-{name}", "parts": [list(p) for p in parts],

@@ -9,10 +9,11 @@ told apart on read-back.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+PACKED = {"compression": "gzip"}
 CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "encoding": "UTF-8"}
 
 
@@ -26,18 +27,24 @@ def arrays_to_json(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    """Op 50: write ``df`` as CSV (header, no index)."""
-    arrays_to_json(df).write.mode(mode).options(**CSV_OPTIONS).csv(path)
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", packed: bool = False) -> str:
+    """Op 50: write ``df`` as CSV (header, no index); ``packed``: as
+    ``.csv.gz``, which readers of CSV open as they do plain files."""
+    writer(arrays_to_json(df), packed).mode(mode).csv(path)
     return path
 
 
-def write_topics_csv(df: DataFrame, path: str, mode: str = "overwrite") -> bool:
+def writer(df: DataFrame, packed: bool = False) -> DataFrameWriter:
+    return df.write.options(**CSV_OPTIONS, **(PACKED if packed else {}))
+
+
+def write_topics_csv(df: DataFrame, path: str, mode: str = "overwrite", packed: bool = False, rows: DataFrame | None = None) -> bool:
     """Op 51: topic results including list columns, only if there are any
-    rows.  Returns whether anything was written."""
-    if df.isEmpty():
+    rows.  Returns whether anything was written.  ``rows``: a table that is
+    empty if ``df`` is and cheaper to ask."""
+    if (df if rows is None else rows).isEmpty():
         return False
-    write_csv(df, path, mode)
+    write_csv(df, path, mode, packed)
     return True
 
 
