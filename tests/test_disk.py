@@ -5,8 +5,11 @@ import os
 from collections import Counter
 
 import pytest
+from test_classify import fixture
 from test_topics import corpus
 
+from chorus.operators import classify as CL
+from chorus.operators import reports as R
 from chorus.operators import topics as TP
 from chorus.session import ensure_checkpoint_dir, scratch_path
 from chorus.sources import sinks as SK
@@ -35,3 +38,16 @@ def test_packed_topics_are_read_back(spark):
     assert glob.glob(f"{path.removeprefix('file:')}/*.csv.gz")
     assert tuple(SK.read_csv(spark, path, df.schema).first()) == (1, 'say "hi"\nthere', '["a","b"]')
     assert not SK.write_topics_csv(df, path, packed=True, rows=df.limit(0))
+
+
+@pytest.mark.parametrize("hot", [1, 200_000])
+def test_scores_without_texts(spark, monkeypatch, hot):
+    monkeypatch.setattr(CL, "HOT_TERMS", hot)
+    df, labels = fixture(spark)
+    got = R.sentiment_scores(df, labels)
+    assert got.columns == ["comment_id", "lexicon_score", "lexicon_label", "binary_label", "binary_score", "ternary_label", "ternary_score"]
+    got = {r.comment_id: r for r in got.collect()}
+    for scheme in CL.CLASSES:
+        want = CL.classifier_scores(df, labels, scheme).collect()
+        assert {r.comment_id: (r[f"{scheme}_label"], pytest.approx(r[f"{scheme}_score"], abs=1e-12)) for r in want} == {
+            k: (r[f"{scheme}_label"], r[f"{scheme}_score"]) for k, r in got.items()}
