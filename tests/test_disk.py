@@ -5,6 +5,7 @@ import os
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 from test_classify import fixture
 from test_topics import corpus
 
@@ -12,6 +13,7 @@ from chorus.operators import classify as CL
 from chorus.operators import reports as R
 from chorus.operators import topics as TP
 from chorus.session import ensure_checkpoint_dir, scratch_path
+from chorus.sources import published as PB
 from chorus.sources import sinks as SK
 
 
@@ -40,6 +42,25 @@ def test_packed_topics_are_read_back(spark):
     assert not SK.write_topics_csv(df, path, packed=True, rows=df.limit(0))
 
 
+def test_an_ordered_join_moves_rows_once(spark):
+    rows = spark.range(300).select(F.when(F.col("id") < 299, F.col("id") % 290).alias("k"), F.concat(F.lit("text "), "id").alias("text"))
+    table = spark.range(1000).filter("id % 3 = 0").select(F.col("id").alias("k"), F.when(F.col("id") > 3, F.col("id") * 2).alias("n"))
+    got = PB.ordered_join(rows.repartition(5), table, "k")
+    assert sorted(map(str, got.collect())) == sorted(map(str, rows.join(table, "k").collect()))
+    parts = [[r.k for r in p] for p in got.rdd.glom().collect() if p]
+    flat = [k for p in parts for k in p]
+    assert flat == sorted(flat)
+    plan = PB.ordered_join(rows, table, "k")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange rangepartitioning") == 1 and "hashpartitioning" not in plan
+
+
+def test_packed_parts_are_published(spark, tmp_path):
+    df = spark.range(100).select(F.col("id").alias("comment_id"), F.lit('a "q",\nb').alias("comment"))
+    m = PB.publish_csv(df.repartitionByRange("comment_id"), f"file://{tmp_path}/out", ["comment_id"], part_rows=30, ordered=True, packed=True)
+    assert m["rows"] == 100 and m["parts"] and all(p.endswith(".csv.gz") for p, _ in m["parts"])
+    assert sorted(map(tuple, PB.read_published(spark, f"file://{tmp_path}/out").collect())) == sorted(map(tuple, df.collect()))
+
+
 @pytest.mark.parametrize("hot", [1, 200_000])
 def test_scores_without_texts(spark, monkeypatch, hot):
     monkeypatch.setattr(CL, "HOT_TERMS", hot)
