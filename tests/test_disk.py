@@ -7,9 +7,11 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 from test_classify import fixture
+from test_phrases import TEXTS, docs_df, py_tfidf
 from test_topics import corpus
 
 from chorus.operators import classify as CL
+from chorus.operators import phrases as PH
 from chorus.operators import reports as R
 from chorus.operators import topics as TP
 from chorus.session import ensure_checkpoint_dir, scratch_path
@@ -42,6 +44,17 @@ def test_packed_topics_are_read_back(spark):
     assert not SK.write_topics_csv(df, path, packed=True, rows=df.limit(0))
 
 
+def test_tfidf_in_slices(spark, tables, monkeypatch):
+    monkeypatch.setattr(PH, "SLICE_PAIRS", 5)
+    monkeypatch.setattr(PH, "HOT_TERMS", 1)
+    got = [(r.term, r.tfidf_score) for r in PH.tfidf_keywords(docs_df(spark, [*TEXTS, "", "?"])).collect()]
+    want = py_tfidf([*TEXTS, "", "?"])
+    assert [t for t, _ in got] == [t for t, _ in want]
+    assert [s for _, s in got] == pytest.approx([s for _, s in want], abs=1e-12)
+    left = tables()
+    assert left["top-terms"] == PH.MOST_SLICES and not {"term-runs", "kept-terms", "norm-part", "norms"} & set(left)
+
+
 def test_an_ordered_join_moves_rows_once(spark):
     rows = spark.range(300).select(F.when(F.col("id") < 299, F.col("id") % 290).alias("k"), F.concat(F.lit("text "), "id").alias("text"))
     table = spark.range(1000).filter("id % 3 = 0").select(F.col("id").alias("k"), F.when(F.col("id") > 3, F.col("id") * 2).alias("n"))
